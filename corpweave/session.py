@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
@@ -33,3 +34,28 @@ def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def named(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of ``df`` but some, safe for any name."""
+    return [F.col(f"`{c}`") for c in df.columns if c not in without]
+
+
+def map_arrow(df: DataFrame, run, kept: list[str], fields: list[tuple[str, str]]) -> DataFrame:
+    """``df.mapInArrow`` for columns of any name.
+
+    ``run`` takes batches whose columns stand in the order of ``df`` and yields lists of arrays: the columns ``kept``,
+    then ``fields`` (name, type)."""
+    import pyarrow as pa
+
+    at = {c: i for i, c in enumerate(df.columns)}
+    plain = df.toDF(*(f"c{i}" for i in range(len(at))))
+    types = dict(plain.dtypes)
+    names = [f"c{at[c]}" for c in kept] + [f"f{i}" for i in range(len(fields))]
+    ddl = ", ".join(f"{n} {t}" for n, t in zip(names, [*(types[f"c{at[c]}"] for c in kept), *(t for _, t in fields)]))
+
+    def batches(it):
+        for arrays in run(it):
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return plain.mapInArrow(batches, ddl).toDF(*kept, *(n for n, _ in fields))
