@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpweave.llm import decontaminate, packing, simhash
+from corpweave.llm import decontaminate, language, licenses, packing, pii, quality, simhash, topk, urls, warc
 from corpweave.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +28,87 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: The key of the pseudonyms in the registered queries; a real run takes its own from a secret store.
+PII_KEY = "registered query, not a secret"
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@_query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of license texts and notices in all documents."""
+    return licenses.scanned(_table(spark, sf_dir, "documents"))
+
+
+@_query("op2_language_id")
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out; ``rejected`` marks narrow margins."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learned = language.dictionaries(docs.where(~F.coalesce(held_out(), F.lit(False))))
+    found = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), language.identify(F.col("text"), learned).alias("f"))
+    return found.select("doc_id", "held_out", F.col("f.lang").alias("lang_pred"), "f.score", "f.margin", "f.rejected")
+
+
+_RULES = [("org/", True), ("example.org/es/", False), ("example.org/en/1", False), ("com/fr/", True), ("com/de/", False)]
+#: Globs for hosts that are blocked where no rule fits.
+_BLOCKED = ["spam", "casino", "pills", "adult", "bets", "ads-track", "phish", "malware"]
+
+_OP3_SQL = """
+with p as (
+  select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages
+), r as (
+  select page_id, host, path, case
+    when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/en/1') then 'example.org/en/1'
+    when (host = 'example.org' or host like '%.example.org') and starts_with(path, '/es/') then 'example.org/es/'
+    when (host = 'com' or host like '%.com') and starts_with(path, '/fr/') then 'com/fr/'
+    when (host = 'com' or host like '%.com') and starts_with(path, '/de/') then 'com/de/'
+    when (host = 'org' or host like '%.org') and starts_with(path, '/') then 'org/' end as rule from p
+)
+select page_id, host, path, rule, case
+    when rule in ('org/', 'com/fr/') then 'allow'
+    when rule is not null then 'block'
+    when regexp_matches(host, 'spam|casino|pills|adult|bets|ads-track|phish|malware') then 'block' else 'allow' end as verdict from r
+"""
+
+
+@_query("op3_url_filter", _OP3_SQL)
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict for every page's URL: the longest rule that fits, else the blocked globs."""
+    rules = [r for text, allow in _RULES for r in urls.prefix_rules(text, allow, base=1)]
+    rules += [urls.Rule(f"*{w}**", f"*{w}**", False, 0) for w in _BLOCKED]
+    found = urls.judged(_table(spark, sf_dir, "pages"), rules)
+    own = F.when(F.col("rule").isin([t for t, _ in _RULES]), F.col("rule"))
+    return found.select("page_id", "host", "path", own.alias("rule"), "verdict")
+
+
+_OP4_SQL = """
+with v as (
+  select vec_id, [floor(256 * cast(x as double)) for x in embedding] as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len([1 for x in embedding if x is null or not isfinite(x)]) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+), r as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+)
+select * from r where rank <= 5
+"""
+
+
+@_query("op4_exact_topk", _OP4_SQL)
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector against all others."""
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @_query("op5_simhash")
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of all documents and their components at three or fewer differing bits."""
@@ -38,6 +116,58 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@_query("op6_pii")
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of all documents with pseudonyms, and what was replaced."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.pseudonymised(docs, PII_KEY, findings_col="findings")
+    return found.select("doc_id", "text", F.size("findings").alias("n_found"), F.col("findings.kind").alias("kinds"), F.col("findings.start").alias("starts"), F.col("findings.pseudonym").alias("pseudonyms"))
+
+
+def _op7_sql() -> str:
+    text = "payload"
+    for pattern, replacement in warc.STEPS:
+        p, r = (x.replace("'", "''").replace("\n", "\\n") for x in (pattern, replacement))
+        r = {"\\n": "' || chr(10) || '"}.get(r, r)
+        text = f"regexp_replace({text}, '{p}', '{r}', 'g')"
+    uuid = "'<urn:uuid:' || substr({0}, 1, 8) || '-' || substr({0}, 9, 4) || '-' || substr({0}, 13, 4) || '-' || substr({0}, 17, 4) || '-' || substr({0}, 21, 12) || '>'".format
+    return f"""
+with p as (
+  select page_id, coalesce(url, '') as target_uri, coalesce(html, '') as payload from pages
+), d as (
+  select *, 'sha256:' || sha256(payload) as payload_digest from p
+), r as (
+  select *, sha256(concat_ws('|', coalesce(cast(page_id as varchar), ''), target_uri, payload_digest)) as h,
+    regexp_extract_all(payload, '(?i)<a\\b[^>]*?\\bhref="([^"]*)"', 1) as links,
+    regexp_replace(regexp_extract(payload, '(?is)<title\\b[^>]*>(.*?)</title[ \\t\\r\\n\\f]*>', 1), '[ \\t\\r\\n\\f]+', ' ', 'g') as title from d
+), k as (
+  select page_id, 'metadata' as type, {uuid("h")} as refers_to, target_uri, payload_digest,
+    concat_ws(chr(10), 'title: ' || title, 'source-digest: ' || payload_digest, 'source-http: HTTP/1.1 200 OK; Content-Type: text/html; charset=utf-8',
+      case when len(links) > 0 then array_to_string(['outlink: ' || x for x in links], chr(10)) end) as block from r
+  union all
+  select page_id, 'conversion', {uuid("h")}, target_uri, payload_digest, {text} from r
+), m as (select *, sha256(refers_to || '|' || type) as h2 from k)
+select page_id, type, {uuid("h2")} as record_id, refers_to, target_uri, block, 'sha256:' || sha256(block) as block_digest, payload_digest,
+  cast(octet_length(encode(block)) as integer) as content_length from m
+"""
+
+
+@_query("op7_warc_derivatives", _op7_sql())
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages."""
+    made = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
+    return made.select(F.col("key").alias("page_id"), "type", "record_id", "refers_to", "target_uri", "block", "block_digest", "payload_digest", F.octet_length("block").alias("content_length"))
+
+
+@_query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels of documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs.where(~F.coalesce(held_out(), F.lit(False))), _table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), quality.score_column(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 @_query("op9_best_fit_packing")
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
@@ -84,6 +214,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@_query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return _QUERIES
 
