@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 SAMPLE = 2500
 #: N-gram sizes in bytes and the number of slots.
 SIZES = (1, 2, 3, 4)
-SLOTS = 1 << 18
+HASHED = 1 << 18
+#: Slots after the hashed ones: runs of a repeated word, and of a repeated line, of 2, 4, 8 and so on.
+RUNS = 16
+SLOTS = HASHED + 2 * RUNS
 #: Bytes whose n-grams are found at once, so that a very long text needs no more memory.
 CHUNK = 1 << 20
 FOLDS = 5
@@ -33,8 +36,24 @@ FOLDS = 5
 THRESHOLD = 0.7
 
 
+def _runs(parts: list[bytes]) -> int:
+    """How many of 2, 4, 8 ... times some part stands in a row."""
+    longest = run = 1
+    for a, b in zip(parts, parts[1:]):
+        run = run + 1 if a == b else 1
+        longest = run if run > longest else longest
+    return min(longest.bit_length() - 1, RUNS)
+
+
 def features(data: bytes) -> np.ndarray:
-    """Slots of the byte n-grams of a text between spaces, each once, in ascending order."""
+    """Slots of the byte n-grams of a text between spaces, and of its repeats, each once, in ascending order."""
+    low = data.lower()
+    words, lines = _runs(low.split()), _runs([x for x in low.split(b"\n") if x.strip()])
+    repeats = np.r_[HASHED : HASHED + words, HASHED + RUNS : HASHED + RUNS + lines].astype(np.uint32)
+    return np.concatenate([_grams(data), repeats])
+
+
+def _grams(data: bytes) -> np.ndarray:
     whole = b" " + data + b" "
     found = None
     for at in range(0, len(whole), CHUNK):
@@ -48,7 +67,7 @@ def features(data: bytes) -> np.ndarray:
         s = np.concatenate(slots)
         if found is None and len(whole) <= CHUNK:
             return np.unique(s)
-        found = np.zeros(SLOTS, bool) if found is None else found
+        found = np.zeros(HASHED, bool) if found is None else found
         found[s] = True
     return np.flatnonzero(found).astype(np.uint32)
 
