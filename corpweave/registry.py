@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that register queries when they are imported.
-MODULES: list[str] = []
+MODULES: list[str] = [
+    "corpweave.plans.texts",
+]
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
