@@ -12,6 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Modules that register queries when they are imported.
 MODULES: list[str] = [
     "corpweave.plans.texts",
+    "corpweave.plans.relational",
 ]
 
 _queries: dict[str, Query] = {}
