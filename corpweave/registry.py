@@ -13,6 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 MODULES: list[str] = [
     "corpweave.plans.texts",
     "corpweave.plans.relational",
+    "corpweave.plans.gaps",
 ]
 
 _queries: dict[str, Query] = {}
