@@ -14,6 +14,8 @@ MODULES: list[str] = [
     "corpweave.plans.texts",
     "corpweave.plans.relational",
     "corpweave.plans.gaps",
+    "corpweave.plans.distances",
+    "corpweave.plans.statistics",
 ]
 
 _queries: dict[str, Query] = {}
