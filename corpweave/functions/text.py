@@ -46,6 +46,11 @@ TOPICS = [
 ]
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def plain_marks(text: Column) -> Column:
     """Curly quotes and long dashes in their plain form."""
     return F.translate(text, QUOTES_FROM, QUOTES_TO)
@@ -77,11 +82,14 @@ def boilerplate_removed(text: Column, leading: bool = True) -> Column:
 
 def lines_deduplicated(text: Column) -> Column:
     """Without non-blank lines that equal the line before them, apart from spaces around."""
-    lines = F.split(text, "\n", -1)
-    bare = F.transform(lines, lambda x: F.trim(x))
+    pairs = F.transform(F.split(text, "\n", -1), lambda x: F.struct(x.alias("line"), F.trim(x).alias("bare")))
+
     # a dropped line equals the kept one, so comparing with the line before is enough
-    keep = F.filter(F.transform(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.when((i == 0) | (F.get(bare, i) == "") | (F.get(bare, i) != F.get(bare, i - 1)), F.get(lines, i))), lambda x: x.isNotNull())
-    return F.array_join(keep, "\n")
+    def kept(rows: Column) -> Column:
+        fresh = F.filter(rows, lambda r, i: (i == 0) | (r["bare"] == "") | (r["bare"] != F.get(rows, i - 1)["bare"]))
+        return F.array_join(F.transform(fresh, lambda r: r["line"]), "\n")
+
+    return bound(pairs, kept)
 
 
 def document_cleaned(text: Column) -> Column:
@@ -200,5 +208,5 @@ def inverted_to_text(index: Column, keep_clashes: bool = False) -> Column:
     """Text of a map from word to positions. Of words at one position the last by name stays, or all with ``keep_clashes``."""
     pairs = F.array_sort(F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("at"), e["key"].alias("word"))))))
     if not keep_clashes:
-        pairs = F.filter(F.transform(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: F.when((i == F.size(pairs) - 1) | (F.get(pairs, i)["at"] != F.get(pairs, i + 1)["at"]), F.get(pairs, i))), lambda x: x.isNotNull())
+        pairs = bound(pairs, lambda rows: F.filter(rows, lambda r, i: (i == F.size(rows) - 1) | (r["at"] != F.get(rows, i + 1)["at"])))
     return F.when(F.size(F.map_keys(index)) > 0, F.array_join(F.transform(pairs, lambda x: x["word"]), " ")).otherwise("")

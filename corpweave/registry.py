@@ -16,6 +16,7 @@ MODULES: list[str] = [
     "corpweave.plans.gaps",
     "corpweave.plans.distances",
     "corpweave.plans.statistics",
+    "corpweave.plans.sources",
 ]
 
 _queries: dict[str, Query] = {}
