@@ -17,6 +17,7 @@ MODULES: list[str] = [
     "corpweave.plans.distances",
     "corpweave.plans.statistics",
     "corpweave.plans.sources",
+    "corpweave.plans.models",
 ]
 
 _queries: dict[str, Query] = {}
