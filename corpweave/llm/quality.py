@@ -32,6 +32,8 @@ SLOTS = HASHED + 2 * RUNS
 #: Bytes whose n-grams are found at once, so that a very long text needs no more memory.
 CHUNK = 1 << 20
 FOLDS = 5
+#: What is added to the counts of n-grams; a little, as most n-grams of one class are in no document of the other.
+SMOOTH = 0.03
 #: Documents with lower scores are rejected.
 THRESHOLD = 0.7
 
@@ -89,7 +91,7 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
-def log_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
+def log_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
     """Log ratio of the smoothed shares of every slot's indicator in classes 1 and 0."""
     p, q = (np.bincount(np.concatenate([r for r, k in zip(rows, y) if k == c]), minlength=SLOTS) + smooth for c in (1, -1))
     return np.log((p / p.sum()) / (q / q.sum()))

@@ -183,23 +183,34 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def classes(prints: DataFrame) -> DataFrame:
+    """(fp, root, component) for the distinct fingerprints of (id, fp): the root is the same in a component, and the
+    component is its smallest id."""
+    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
+    roots = components(links(least.select("fp")))
+    named = least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    return named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "root", "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: (id, fp long, component id: the smallest id that can be reached)."""
-    prints = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col)).alias("fp")))
-    classes = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(classes.select("fp")))
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = named.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.join(named.join(ids, "root").select("fp", "component"), "fp").select(F.col("id").alias(id_col), "fp", F.col("component").alias("component_id"))
+    prints = cut(docs.select(F.col(f"`{id_col}`").alias("id"), fingerprint_column(F.col(f"`{text_col}`")).alias("fp")))
+    return prints.join(classes(prints).select("fp", "component"), "fp").select(F.col("id").alias(id_col), "fp", F.col("component").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without all but the smallest id of each group of near-duplicates, all columns as they were.
 
-    Of rows that repeat an id that stays, the smallest row stays."""
-    found = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("__id"), "component_id")
-    gone = found.where("not (__id <=> component_id)").select("__id").distinct()
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]), "left_anti")
-    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        return kept
-    return kept.groupBy(kept[id_col].alias("__id")).agg(F.min(F.struct(*(kept[c] for c in docs.columns))).alias("__row")).select("__row.*")
+    Of rows that repeat the id that stays in a group, the smallest row stays. Unless ids repeat, only the ids that go
+    meet the documents, in a join by id."""
+    names, at = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*at)
+    id_, text = (F.col(at[names.index(c)]) for c in (id_col, text_col))
+    prints = cut(plain.select(id_.alias("id"), fingerprint_column(text).alias("fp")))
+    named = classes(prints)
+    if prints.groupBy("id").count().where("count > 1").isEmpty():
+        gone = prints.join(named, "fp").where("not (id <=> component)").select("id")
+        return plain.join(gone, id_.eqNullSafe(gone["id"]), "left_anti").toDF(*names)
+    rows = plain.withColumn("fp", fingerprint_column(text)).join(named, "fp").where(id_.eqNullSafe(F.col("component")))
+    one = rows.groupBy("root").agg(F.min(F.struct(*at)).alias("row"))
+    return one.select("row.*").toDF(*names)

@@ -8,8 +8,8 @@ fixed size, each block in a few passes over the candidates.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part; missing ids take
 no part; a shorter vector counts as filled up with zeros; a query that repeats an id is asked once, with its smallest
-vector; candidates that repeat an id are separate rows, and none has its query's id; scores beyond a long are cut to
-its range; an empty table gives no rows; other columns are ignored.
+vector; candidates that repeat an id are separate rows, and none has its query's id; scores beyond 2^61 are cut to it;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ BINS = 1024
 ROWS = 2048
 #: Integers up to here are exact as floating-point numbers.
 EXACT = 1 << 53
+#: Scores are cut to this, so that differences of two stay within a long.
+MOST = 1 << 61
 #: Components are cut to this, so that they are exact both ways.
 LIMIT = 1 << 52
 
@@ -58,7 +60,7 @@ def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     if top < EXACT:
         return (q @ c.T).astype(np.int64)
     big = q.astype(np.int64).astype(object) @ c.astype(np.int64).astype(object).T
-    return np.clip(big, -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(big, -MOST, MOST).astype(np.int64)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray):
@@ -145,7 +147,7 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
 def _kth(candidates: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, bins: int) -> np.ndarray:
     """The kth best score of each query (or a bound below all scores, if there are fewer)."""
     longest = candidates.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0]
-    bound = [min(2**62, int((float(x) * float(longest)) ** 0.5 * (1 + 1e-9)) + 2) for x in (q * q).sum(axis=1)]
+    bound = [min(MOST, int((float(x) * float(longest)) ** 0.5 * (1 + 1e-9)) + 2) for x in (q * q).sum(axis=1)]
     low = np.array([-b for b in bound], np.int64)
     width = np.array([-(-(2 * b + 1) // bins) for b in bound], np.int64)
     done = np.zeros(len(ids), bool)
