@@ -253,3 +253,37 @@ def udf_04(spark, sf_dir):
 def udf_05(spark, sf_dir):
     """UDF-05: an accumulator class is a native aggregate."""
     return _docs(spark, sf_dir).groupBy("lang").agg(F.sum("n_chars").alias("total"), F.max("n_chars").alias("most"))
+
+
+@query("src_09_text_files", "select item_id, md5(text) as digest from benchmark")
+def src_09(spark, sf_dir):
+    """SRC-09 and SRC-10: whole text files, with columns out of their paths."""
+    at = folder(spark)
+    table(spark, sf_dir, "benchmark").select("item_id", "text").write.partitionBy("item_id").option("lineSep", "\u0001").text(at)
+    f = readers.text_files(spark, f"{at}/*/*")
+    key = F.regexp_extract("path", "item_id=([0-9]+)", 1).cast("long")
+    return f.select(key.alias("item_id"), F.md5(F.rtrim("text", F.lit("\u0001"))).alias("digest"))
+
+
+@query("src_08_class_archive", "select cast(doc_id as varchar) as key, case when quality = 1 and toxic = 1 then '1,2' when quality = 1 then '1' else '2' end as ids from labels where quality = 1 or toxic = 1")
+def src_08(spark, sf_dir):
+    """SRC-08: an archive with a CSV file for each class, to a sorted set of classes by key. The archive is made by one
+    task for each class out of the labels, which is fit for a test table."""
+    import io
+    import zipfile
+
+    from pyspark.sql import types as T
+
+    labels = table(spark, sf_dir, "labels")
+    long = labels.select("doc_id", F.explode(F.array_compact(F.array(F.when(F.col("quality") == 1, 1), F.when(F.col("toxic") == 1, 2)))).alias("k"))
+
+    def zipped(key, pdf):
+        import pandas as pd
+
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(f"labels_SDG{key[0]}.csv", "doi,rest\n" + "".join(f" {i} ,x\n" for i in pdf.doc_id))
+        return pd.DataFrame({"content": [out.getvalue()]})
+
+    made = long.groupBy("k").applyInPandas(zipped, T.StructType([T.StructField("content", T.BinaryType())]))
+    return readers.unzipped(made, "doi").select("key", F.array_join("classes", ",").alias("ids"))

@@ -54,8 +54,13 @@ def one_hot(spark: SparkSession, path: str, prefix: str) -> tuple[DataFrame, dic
 
 
 def zipped_classes(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """(key, classes) from archives of CSV files, one file for each class with the class id in its name; keys are trimmed
-    and lower-cased. Members are unpacked on the executors, a row at a time."""
+    """(key, classes) from archives of CSV files, one file for each class with the class id in its name."""
+    return unzipped(spark.read.format("binaryFile").load(present(spark, path)).select("content"), key)
+
+
+def unzipped(archives: DataFrame, key: str) -> DataFrame:
+    """The same from a table of archives (content); keys are trimmed and lower-cased. Members are unpacked on the
+    executors, some rows at a time."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import csv
@@ -77,7 +82,7 @@ def zipped_classes(spark: SparkSession, path: str, key: str) -> DataFrame:
                                     keys = []
                         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([int(m[1])] * len(keys), pa.int32())], names=["key", "class_id"])
 
-    rows = spark.read.format("binaryFile").load(present(spark, path)).select("content").mapInArrow(unpack, "key string, class_id int")
+    rows = archives.select("content").mapInArrow(unpack, "key string, class_id int")
     return rows.groupBy("key").agg(F.sort_array(F.collect_set("class_id")).alias("classes"))
 
 
