@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpweave.session import cut
+
 #: Labelled documents that are learned from, of each class at most.
 SAMPLE = 2500
 #: N-gram sizes in bytes and the number of slots.
@@ -93,14 +95,17 @@ class Model:
 
 def log_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
     """Log ratio of the smoothed shares of every slot's indicator in classes 1 and 0."""
-    p, q = (np.bincount(np.concatenate([r for r, k in zip(rows, y) if k == c]), minlength=SLOTS) + smooth for c in (1, -1))
+    counts = {1: np.full(SLOTS, smooth), -1: np.full(SLOTS, smooth)}
+    for r, k in zip(rows, y):
+        counts[int(k)][r] += 1  # a row has each slot once
+    p, q = counts[1], counts[-1]
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, cost: np.ndarray, ratio: np.ndarray, epochs: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
     """Linear hinge-loss model over scaled indicators by dual coordinate descent; weights by slot, and a bias."""
     w, b, alpha = np.zeros(SLOTS), 0.0, np.zeros(len(rows))
-    scale = [ratio[r] / math.sqrt(max(len(r), 1)) for r in rows]
+    scale = [(ratio[r] / math.sqrt(max(len(r), 1))).astype(np.float32) for r in rows]
     norm = np.array([float(x @ x) + 1.0 for x in scale])
     order, rng = np.arange(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
@@ -190,10 +195,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     ids = list(chosen)
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], known.select("__id").schema)  # at most 2 * sample ids
     found = docs.join(F.broadcast(wanted), docs[id_col] == wanted["__id"]).select("__id", features_column(F.col(text_col)).alias("slots"))
-    rows, y = [], []
-    for r in sorted(found.collect(), key=lambda r: (str(r[0]), bytes(r[1]))):
-        rows.append(np.frombuffer(r[1], "<u4").astype(np.int64))
-        y.append(chosen[r[0]])
+    taken = [(str(r[0]), np.frombuffer(r[1], "<u4").astype(np.int32), chosen[r[0]]) for r in cut(found).toLocalIterator()]
+    taken.sort(key=lambda x: (x[0], x[1].tobytes()))
+    rows, y = [x[1] for x in taken], [x[2] for x in taken]
     total = sum(counts.values())
     return fit(rows, y, prior=counts[1] / total)
 
