@@ -13,6 +13,7 @@ columns are ignored, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -85,7 +86,7 @@ def bucket_links(own: np.ndarray, all_: np.ndarray, radius: int = RADIUS) -> Ite
     At most one link for each element and component it touches, so their number is linear in the bucket's size."""
     label = np.arange(len(own))
     parts = None
-    if len(own) > LARGE:  # three differing bits leave one of any four disjoint bit groups alone
+    if len(own) > LARGE and radius <= RADIUS:  # three differing bits leave one of any four disjoint bit groups alone
         bytes_ = own.view(np.uint8).reshape(-1, 8)
         varied = sorted(range(8), key=lambda j: -len(np.unique(bytes_[:, j])))
         columns = [bytes_[:, varied[j]] for j in range(4)] if all((bytes_[:, j] == bytes_[0, j]).all() for j in varied[4:]) else None
@@ -113,7 +114,7 @@ def bucket_links(own: np.ndarray, all_: np.ndarray, radius: int = RADIUS) -> Ite
             label[np.isin(label, joined)] = joined.min()
 
 
-def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _link_batches(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, probe) to links; holds one bucket at a time."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -130,7 +131,7 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for s, e in zip(starts, ends):
             if e - s > 1 and not probe[s]:
                 n = int(np.count_nonzero(~probe[s:e]))
-                out.extend(bucket_links(fp[s : s + n], fp[s:e]))
+                out.extend(bucket_links(fp[s : s + n], fp[s:e], radius))
 
     for batch in batches:
         key, fp = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
@@ -154,10 +155,13 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield emit(out)
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the distinct fingerprints ``fp`` at three or fewer differing bits."""
+def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links (a, b) that connect the distinct fingerprints ``fp`` at ``radius`` or fewer differing bits.
+
+    Up to three bits no pair is missed. With a larger radius those pairs link too that differ in one bit at most of
+    either segment, which is all that the index can find."""
     keys = _keys(fps).repartition("key").sortWithinPartitions("key", "probe", "fp")
-    return keys.select("key", "probe", "fp").mapInArrow(_link_batches, "a long, b long")
+    return keys.select("key", "probe", "fp").mapInArrow(partial(_link_batches, radius=radius), "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -183,11 +187,11 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def classes(prints: DataFrame) -> DataFrame:
+def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root, component) for the distinct fingerprints of (id, fp): the root is the same in a component, and the
     component is its smallest id."""
     least = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(least.select("fp")))
+    roots = components(links(least.select("fp"), radius))
     named = least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     return named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "root", "component")
 
@@ -198,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(classes(prints).select("fp", "component"), "fp").select(F.col("id").alias(id_col), "fp", F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The documents without all but the smallest id of each group of near-duplicates, all columns as they were.
 
     Of rows that repeat the id that stays in a group, the smallest row stays. Unless ids repeat, only the ids that go
@@ -207,7 +211,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     plain = docs.toDF(*at)
     id_, text = (F.col(at[names.index(c)]) for c in (id_col, text_col))
     prints = cut(plain.select(id_.alias("id"), fingerprint_column(text).alias("fp")))
-    named = classes(prints)
+    named = classes(prints, radius)
     if prints.groupBy("id").count().where("count > 1").isEmpty():
         gone = prints.join(named, "fp").where("not (id <=> component)").select("id")
         return plain.join(gone, id_.eqNullSafe(gone["id"]), "left_anti").toDF(*names)

@@ -22,7 +22,7 @@ def test_stages_equal_brute_force(spark, sf):
     assert kept.columns == columns and {r.doc_id for r in got} == {r.doc_id for r in want}
 
     unique = P.drop_near_duplicates(spark, kept, sf)
-    of = brute_components([(r.doc_id, plain(r.text)) for r in got])
+    of = brute_components([(r.doc_id, plain(r.text)) for r in got], P.NEAR)
     assert unique.columns == columns and sorted(r.doc_id for r in unique.collect()) == sorted(r.doc_id for r, c in zip(got, of) if r.doc_id == c)
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

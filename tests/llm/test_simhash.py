@@ -17,8 +17,8 @@ def plain(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(prints):
-    """prints: {row: (id, fp)} as list; by plain search over all pairs."""
+def brute_components(prints, radius=3):
+    """The component of each of [(id, fp)], by plain search over all pairs."""
     label = list(range(len(prints)))
 
     def root(i):
@@ -28,7 +28,10 @@ def brute_components(prints):
 
     fps = np.array([p for _, p in prints], np.uint64)
     for i in range(len(prints)):
-        for j in np.flatnonzero(np.bitwise_count(fps[: i] ^ fps[i]) <= 3):
+        x = fps[:i] ^ fps[i]
+        half = np.minimum(np.bitwise_count(x & np.uint64(2**32 - 1)), np.bitwise_count(x >> np.uint64(32)))
+        assert radius > 3 or (half[np.bitwise_count(x) <= 3] <= 1).all()
+        for j in np.flatnonzero((np.bitwise_count(x) <= radius) & (half <= 1)):
             a, b = root(i), root(int(j))
             label[max(a, b)] = min(a, b)
     out = {}
@@ -83,6 +86,17 @@ def test_large_bucket_is_split_without_loss(monkeypatch):
     assert len(own) - len(found) == want
 
 
+def test_larger_radius(spark):
+    rnd = random.Random(6)
+    base = [rnd.getrandbits(64) for _ in range(40)]
+    docs = [b ^ sum(1 << x for x in rnd.sample(range(64), rnd.randint(0, 9))) for b in base for _ in range(12)]
+    rows = sorted({(i, f) for i, f in enumerate(docs)})
+    prints = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in rows], "id long, fp long")
+    for radius in (3, 8):
+        got = {r.fp % 2**64: r.component for r in simhash.classes(prints, radius).collect()}
+        assert [got[f] for _, f in rows] == brute_components(rows, radius)
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (4, "one two"), (None, "one two"), (6, "Ünï çode " * 40000), (7, "ünï çode " * 40000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as fp", "1 as component_id")
