@@ -13,7 +13,7 @@ from corpweave.operators import models as M
 from corpweave.operators import relational as R
 from corpweave.operators import segmentation
 from corpweave.plans.base import SEG, draw, segments, table
-from corpweave.plans.gaps import Base
+from corpweave.plans.gaps import SCORED, Base
 from corpweave.plans.sources import folder
 from corpweave.registry import query
 
@@ -236,7 +236,7 @@ def gap_09(spark, sf_dir):
     return spark.createDataFrame(rows, "k int, mean_gap double, correlation double")
 
 
-@query("gap_15_examples")
+@query("gap_15_examples", f"with {SCORED}, r as (select assigned, corpus, vec_id, top, row_number() over (partition by assigned, corpus order by round(top, 9) desc, vec_id) as k from asg) select assigned, corpus, cast(k as int) as rank, vec_id, round(top, 6) as similarity from r where k <= 3")
 def gap_15(spark, sf_dir):
     """GAP-15: the three rows of each class and corpus nearest to the class's centroid."""
     b = Base(spark, sf_dir)

@@ -148,6 +148,14 @@ def snk_01(spark, sf_dir):
     return writers.manifest(spark, at, by="lang")
 
 
+@query("snk_04_vectors", "select vec_id, label, round(cast(embedding[64] as double), 6) as last from embeddings")
+def snk_04(spark, sf_dir):
+    """SNK-04: vectors in a table partitioned by class; there are no batches to put together."""
+    at = folder(spark)
+    table(spark, sf_dir, "embeddings").write.partitionBy("label").parquet(at)
+    return spark.read.parquet(at).select("vec_id", F.col("label").cast("int"), F.round(F.col("embedding")[63].cast("double"), 6).alias("last"))
+
+
 @query("snk_05_csv", "select label, format('{:.6f}', avg(cast(embedding[1] as double))) as mean from embeddings group by 1")
 def snk_05(spark, sf_dir):
     """SNK-05: CSV with fixed places."""

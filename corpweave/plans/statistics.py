@@ -258,7 +258,12 @@ def sta_19(spark, sf_dir):
     return r.groupBy("corpus").agg(F.round(F.corr("x", "y"), 6).alias("rho"))
 
 
-@query("gap_12_rank_stability")
+@query("gap_12_rank_stability", f"""
+with {SEG}, full_ as (select class_id, count(*) as whole from seg group by 1), t as (select tier, draw from (select unnest([100, 300]) as tier), range(0, 5) r(draw)),
+k as (select tier, draw, class_id, row_number() over (partition by tier, draw order by md5(concat_ws(':', 42 + draw, vec_id)), vec_id) as pos from seg, t),
+n as (select tier, draw, class_id, count(*) as n from k where pos <= tier group by 1, 2, 3), b as (select concat(tier, '_', draw) as g, tier, n, whole from n join full_ using (class_id)),
+r as (select g, tier, {rank_sql('n', 'g', 'x')}, {rank_sql('whole', 'g', 'y')} from b), c as (select tier, corr(x, y) as rho from r group by tier, g)
+select tier, round(avg(rho), 6) as mean, round(stddev_pop(rho), 6) as sd, round(min(rho), 6) as least, round(max(rho), 6) as most from c group by 1""")
 def gap_12(spark, sf_dir):
     """GAP-12: rank correlation of each draw's class shares with the full table's."""
     s = segments(spark, sf_dir).select("vec_id", "class_id")
@@ -267,4 +272,4 @@ def gap_12(spark, sf_dir):
     both = draws.join(F.broadcast(full), "class_id")
     r = R.average_rank(R.average_rank(both, "n", "x", ["tier", "draw"]), "whole", "y", ["tier", "draw"])
     rho = r.groupBy("tier", "draw").agg(F.corr("x", "y").alias("rho"))
-    return rho.groupBy("tier").agg(F.avg("rho").alias("mean"), F.stddev_pop("rho").alias("sd"), F.min("rho").alias("least"), F.max("rho").alias("most"))
+    return rho.groupBy("tier").agg(*(F.round(f("rho"), 6).alias(n) for f, n in ((F.avg, "mean"), (F.stddev_pop, "sd"), (F.min, "least"), (F.max, "most"))))
