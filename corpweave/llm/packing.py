@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from corpweave.session import map_arrow, named
 
 CAPACITY = 2048
-#: Words whose ids a task remembers; beyond that it forgets them all and starts anew.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers, twice at most: those of late, and those before.
+REMEMBERED = 500_000
 
 #: Texts of these characters alone are lower-cased and split the same way by Python as by the tokenizer's own rules.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
@@ -33,11 +34,17 @@ _LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ", "0-9\xb2\xb3\xb9\xbc-\xbe
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
 
 
+@lru_cache(maxsize=2)
+def encoder_for(path: str) -> WordEncoder:
+    """The encoder of a tokenizer file, with the words it knows; one for all tasks of a Python worker."""
+    return WordEncoder(path)
+
+
 class WordEncoder:
     """Token ids of whole texts, as little-endian unsigned 32-bit integers, equal to those of the tokenizer file.
 
     The file's rules split a lower-cased text into words that are encoded one by one, so the ids of a word are
-    remembered, and the unknown words of a text go to the tokenizer together. Texts with characters outside plain
+    remembered, and the unknown words of a batch go to the tokenizer together. Texts with characters outside plain
     Latin, or with what may be a special token, go to the tokenizer whole."""
 
     def __init__(self, path: str):
@@ -48,33 +55,35 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        """Encodes words that are not known yet, joined by spaces; each word ends with its first end-of-word token."""
+        """Encodes words that are not known yet, joined by spaces; each ends with its first end-of-word token.
+
+        When too many are known, those not used since the last time are forgotten."""
         if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
+            self.old, self.known = self.known, {}
+        found = {w: self.old[w] for w in words if w in self.old}
+        self.known |= found
+        new = [w for w in words if w not in found]
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some) and (not len(stops) or stops[-1] == len(ids)):
-                data, last = ids.tobytes(), 0
-                for w, stop in zip(some, stops.tolist()):
-                    self.known[w] = data[4 * last : 4 * stop]
-                    last = stop
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                data, to = ids.tobytes(), (4 * stops).tolist()
+                self.known.update(zip(some, (data[i:j] for i, j in zip([0, *to], to))))
             else:
                 self.known.update((w, self.whole(w)) for w in some)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         split: list[list[str] | None] = [_PIECES.findall(t.lower()) if _PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
         words = set().union(*(s for s in split if s))
-        if new := [w for w in words if w not in self.known]:
-            if len(self.known) + len(new) > REMEMBERED:
-                new = list(words)
-            self.learn(new)
+        if new := words.difference(self.known):
+            self.learn(list(new) if len(self.known) + len(new) <= REMEMBERED else list(words))
         get = self.known.__getitem__
         try:
             return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
@@ -92,7 +101,7 @@ def tokenised(docs: DataFrame, path: str, text_col: str = "text", end_id: int =
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
-        encoder = WordEncoder(path)
+        encoder = encoder_for(path)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
