@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,3 +60,15 @@ def map_arrow(df: DataFrame, run, kept: list[str], fields: list[tuple[str, str]]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return plain.mapInArrow(batches, ddl).toDF(*kept, *(n for n, _ in fields))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package from where the driver has it, wherever it was started.
+
+    On a cluster the package comes with ``--py-files``; there the folder is not found and does no harm."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
