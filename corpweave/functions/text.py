@@ -174,23 +174,23 @@ def usable(text: Column, least: int = 30) -> Column:
 
 def linguistic_rates(text: Column) -> Column:
     """A struct of rates for each thousand words, and the mean sentence length in words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)
-    n = F.size(words)
     sentences = F.greatest(F.regexp_count(text, F.lit("[.!?]+")), F.lit(1))
 
-    def rate(of: Column) -> Column:
-        return F.when(n > 0, 1000.0 * F.size(of) / n)
+    def rates(words: Column) -> Column:
+        n = F.size(words)
 
-    def listed(terms: list[str]) -> Column:
-        return rate(F.filter(words, lambda w: w.isin(terms)))
+        def rate(of: Column) -> Column:
+            return F.when(n > 0, 1000.0 * F.size(of) / n)
 
-    return F.struct(
-        listed(HEDGES).alias("hedge_rate"),
-        listed(DEONTICS).alias("deontic_rate"),
-        listed(FIRST_PERSON).alias("first_person_rate"),
-        rate(F.filter(words, lambda w: w.rlike(NOMINAL))).alias("nominal_rate"),
-        F.when(n > 0, n / sentences).alias("mean_sentence_length"),
-    )
+        return F.struct(
+            rate(F.filter(words, lambda w: w.isin(HEDGES))).alias("hedge_rate"),
+            rate(F.filter(words, lambda w: w.isin(DEONTICS))).alias("deontic_rate"),
+            rate(F.filter(words, lambda w: w.isin(FIRST_PERSON))).alias("first_person_rate"),
+            rate(F.filter(words, lambda w: w.rlike(NOMINAL))).alias("nominal_rate"),
+            F.when(n > 0, n / sentences).alias("mean_sentence_length"),
+        )
+
+    return bound(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0), rates)
 
 
 def stars(p: Column) -> Column:
