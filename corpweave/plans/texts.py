@@ -221,7 +221,7 @@ def scl_21(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(F.col("value") / 7, 6).alias("half_up"), F.bround(F.col("event_id").cast("double") / 8, 2).alias("half_even"))
 
 
-@query("flt_01_year_range", "select year(o_orderdate) as y, cast(count(*) as bigint) as n from orders where year(o_orderdate) between 1993 and 1995 group by 1")
+@query("flt_01_year_range", "select cast(year(o_orderdate) as int) as y, cast(count(*) as bigint) as n from orders where year(o_orderdate) between 1993 and 1995 group by 1")
 def flt_01(spark, sf_dir):
     """FLT-01: years within limits; null years go."""
     y = F.year("o_orderdate")
