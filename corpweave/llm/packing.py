@@ -26,7 +26,7 @@ from corpweave.session import map_arrow, named
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers, twice at most: those of late, and those before.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 
 #: Texts of these characters alone are lower-cased and split the same way by Python as by the tokenizer's own rules.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ſ]*")
