@@ -192,8 +192,12 @@ def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     component is its smallest id."""
     least = prints.groupBy("fp").agg(F.min("id").alias("least"))
     roots = components(links(least.select("fp"), radius))
-    named = least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    return named.join(named.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "root", "component")
+    linked = cut(roots.join(least, roots.node == least.fp).select("node", "root", "least"))
+    # on its own, so that the join with a root that very many fingerprints have can be split
+    smallest = cut(linked.groupBy("root").agg(F.min("least").alias("component")))
+    of = linked.select("node", "root").join(smallest, "root")
+    both = least.join(of, least.fp == of.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component"))
+    return cut(both)  # so that a join with a fingerprint that very many documents have can be split as well
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
