@@ -13,17 +13,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpweave.llm import decontaminate, packing, pii, quality, simhash
+from corpweave.llm import decontaminate, jaccard, packing, pii, quality
 from corpweave.session import cut, removed, shared_dir, ship
 
 #: The key of the pseudonyms; a real run takes its own from a secret store.
 PII_KEY = "corpus pipeline, not a secret"
 
 
-#: Differing bits up to which fingerprints that the index brings together are near-duplicates.
-NEAR = 8
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects; it learns from labels of documents not held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
@@ -34,9 +30,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id.
 
-    A similarity of 0.8 means about eight differing bits. What the index finds up to there is linked: all pairs within
-    three bits, and of the others those that agree in a segment but for one bit."""
-    return simhash.keep_one(docs, radius=NEAR)
+    Texts are linked whose sets of five-word shingles have an exact Jaccard similarity of 0.8 or more; none is missed."""
+    return jaccard.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

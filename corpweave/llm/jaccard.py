@@ -1,0 +1,285 @@
+"""Near-duplicates by exact Jaccard similarity of word shingles: texts at 4/5 or more are linked.
+
+Two sets that similar share one of the first ``size - ceil(4/5 size) + 1`` elements of each in any order that is the same
+for all texts (prefix filter), so texts meet in the buckets of those shingles and no pair is missed. The order is by
+hash, with shingles that are common in a sample last; the sample decides about time only. Texts of equal sets
+collapse first. In a small bucket all pairs of fitting sizes and places are candidates; those
+whose sketches differ in more bits than similar sets can are dropped, and the rest verified on the sets. Large buckets
+are linked as stars into blocks; all of a block is measured against one pivot, which links a group of near copies in
+linear time, and what the pivot leaves open is compared exactly, in one
+task for a block.
+
+Shingles stand for themselves as 64-bit hashes. Null and blank texts have the empty set and are copies of one another.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from corpweave.llm import simhash
+from corpweave.session import cut, map_arrow
+
+SHINGLE = 5
+SEED = 42
+#: About how many documents' shingles are counted to find common ones, in how many of them one is common, and how many are kept.
+SAMPLE, COMMON_IN, COMMON = 10_000, 3, 100_000
+#: Up to this many texts, all pairs of a bucket are candidates.
+SMALL = 8
+#: Bits of a sketch: the parity of the elements that fall on each, so sets that differ in d elements differ in at most d bits.
+SKETCH = 1024
+#: Texts turned into sets at once.
+PIECE = 256
+
+
+def shingles(data: bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """The sorted distinct hashes of the word shingles of a UTF-8 text; a shorter text is one shingle."""
+    words = (data or b"").lower().split()
+    parts = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else iter([b" ".join(words)] if words else [])
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64))
+
+
+def similar(both: int | np.ndarray, a: int | np.ndarray, b: int | np.ndarray) -> bool | np.ndarray:
+    """Whether sets of sizes ``a`` and ``b`` that share ``both`` elements have a similarity of 4/5 or more."""
+    return 9 * both >= 4 * (a + b)
+
+
+def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The first elements of a set, of which any set similar to it has one among its own first; ``common`` is sorted."""
+    at = np.searchsorted(common, s)
+    late = common[np.minimum(at, len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
+    return np.concatenate([s[~late], s[late]])[: len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0]
+
+
+def _digest(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes())
+
+
+def sketch(s: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((s % SKETCH).astype(np.int64), minlength=SKETCH) & 1).tobytes()
+
+
+def _longs(x: list[np.ndarray]) -> pa.Array:
+    ends = np.append(0, np.cumsum([len(a) for a in x])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x).view(np.int64) if x else np.array([], np.int64)))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            piece = batch.slice(at, PIECE)
+            yield piece, [shingles(x.as_py()) for x in piece.column(1).cast(pa.binary())]
+
+
+def signed(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """(id, key, size, sketch, prefix) of the documents (id, text): the key is a digest of the set."""
+
+    def run(batches):
+        for b, sets in _pieces(batches):
+            keys = pa.array(np.array([_digest(s) for s in sets], np.uint64).view(np.int64))
+            yield [b.column(0), keys, pa.array([len(s) for s in sets], pa.int32()), pa.array(map(sketch, sets), pa.binary()), _longs([prefix(s, common) for s in sets])]
+
+    return map_arrow(docs, run, ["id"], [("key", "long"), ("size", "int"), ("sketch", "binary"), ("prefix", "array<long>")])
+
+
+def sets_of(docs: DataFrame) -> DataFrame:
+    """(key, set) of the documents (id, text)."""
+
+    def run(batches):
+        for b, sets in _pieces(batches):
+            yield [b.column(0), pa.array(np.array([_digest(s) for s in sets], np.uint64).view(np.int64)), _longs([np.sort(s.view(np.int64)) for s in sets])]
+
+    return map_arrow(docs, run, ["id"], [("key", "long"), ("set", "array<long>")]).select("key", "set")
+
+
+def common_shingles(docs: DataFrame) -> np.ndarray:
+    """The shingles that several distinct texts of a sample hold."""
+
+    def run(batches):
+        for _, sets in _pieces(batches):
+            yield [_longs(sets)]
+
+    share = 1 << 20 if (n := docs.count()) <= SAMPLE else max(1, (SAMPLE << 20) // n)
+    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share).dropDuplicates(["text"])
+    found = map_arrow(sample, run, [], [("set", "array<long>")]).select(F.explode("set").alias("h")).groupBy("h").count()
+    rows = found.where(F.col("count") >= COMMON_IN).orderBy(F.desc("count"), "h").limit(COMMON).select("h").toArrow()
+    return np.sort(rows.column(0).to_numpy().view(np.uint64))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (h, size, key, place) sorted by h and size to (a, b, large): the fitting pairs of small buckets, and a star for
+    each large one."""
+
+    def close(h: np.ndarray, size: np.ndarray, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        n = np.diff(np.append(starts, len(h)))
+        large, first = np.repeat(n > SMALL, n), np.repeat(key[starts], n)
+        a, b = [first[large]], [key[large]]
+        stars = len(a[0])
+        for d in range(1, min(SMALL, len(h))):
+            # what a pair shares lies behind its first common shingle in both
+            most = np.minimum(size[d:] - place[d:], size[:-d] - place[:-d])
+            i = np.flatnonzero((h[d:] == h[:-d]) & ~large[d:] & similar(most, size[d:], size[:-d]))
+            a.append(np.minimum(key[i], key[i + d]))
+            b.append(np.maximum(key[i], key[i + d]))
+        x, y, big = np.concatenate(a), np.concatenate(b), np.arange(sum(map(len, a))) < stars
+        keep = np.unique(np.stack([x, y, big.astype(np.int64)]), axis=1) if len(x) else np.zeros((3, 0), np.int64)
+        keep = keep[:, keep[0] != keep[1]]
+        yield pa.RecordBatch.from_arrays([pa.array(keep[0]), pa.array(keep[1]), pa.array(keep[2] > 0)], names=["a", "b", "large"])
+
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        rows = h, *_ = tuple(batch.column(i).to_numpy().astype(np.int64) for i in range(4))
+        if not len(h):
+            continue
+        last = np.searchsorted(h, h[-1])  # the batch's last bucket may go on
+        if last or held and held[0][0][0] != h[0]:
+            held.append(tuple(c[:last] for c in rows))
+            yield from close(*(np.concatenate(x) for x in zip(*held)))
+            held = []
+        held.append(tuple(c[last:] for c in rows))
+    if held:
+        yield from close(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(y, x)
+    return int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(y) else 0
+
+
+def _lists(a: pa.Array) -> list[np.ndarray]:
+    values, ends = a.values.to_numpy(), a.offsets.to_numpy()
+    return [values[i:j] for i, j in zip(ends[:-1], ends[1:])]
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """The number of bits in which two sketches differ."""
+
+    @F.arrow_udf("long")
+    def of(a: pa.Array, b: pa.Array) -> pa.Array:
+        p, q = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) for c in (a, b))
+        return pa.array(np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64))
+
+    return of(x, y)
+
+
+def _sharing(x: Column, y: Column) -> Column:
+    @F.arrow_udf("long")
+    def of(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([_shared(p, q) for p, q in zip(_lists(a), _lists(b))], pa.int64())
+
+    return of(x, y)
+
+
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` (a, b) with the sets' sizes (na, nb) and what they share (both)."""
+    of_a, of_b = (sets.select(F.col("key").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
+    met = pairs.join(of_a, "a").join(of_b, "b")
+    return met.select("a", "b", F.size("set_a").alias("na"), F.size("set_b").alias("nb"), _sharing(F.col("set_a"), F.col("set_b")).alias("both"))
+
+
+def group_links(keys: list[int], sets: list[np.ndarray], linked: list[bool]) -> Iterator[tuple[int, int]]:
+    """Links that span the graph of the similar ones of a block; those marked as linked are one component already.
+
+    The prefix filter again, rarest first by counts within the block; only sets of different components are compared."""
+    tokens, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    size, label = np.array([len(s) for s in sets]), np.arange(len(sets))
+    label[np.flatnonzero(linked)] = np.flatnonzero(linked)[0] if any(linked) else 0
+    index: dict[int, list[int]] = {}
+    for i, own in enumerate(np.split(at, np.cumsum(size)[:-1])):
+        first = own[np.lexsort((own, counts[own]))][: len(own) - (4 * len(own) + 4) // 5 + 1 if len(own) else 0]
+        first = first[counts[first] > 1].tolist()
+        met = np.array(sorted({j for t in first for j in index.get(t, ())}), np.int64)
+        for t in first:
+            index.setdefault(t, []).append(i)
+        met = met[(5 * size[met] >= 4 * size[i]) & (5 * size[i] >= 4 * size[met]) & (label[met] != label[i])]
+        for j in met.tolist():
+            if label[j] != label[i] and similar(_shared(sets[i], sets[j]), size[i], size[j]):
+                yield keys[i], keys[j]
+                label[(label == label[i]) | (label == label[j])] = min(label[i], label[j])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (root, key, linked, set) sorted by root to links (a, b); holds one block at a time."""
+
+    def close(held) -> pa.RecordBatch:
+        found = np.array(list(group_links(*held)), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    now, held = None, ([], [], [])
+    for batch in batches:
+        for root, key, linked, s in zip(*(batch.column(i).to_pylist() for i in range(3)), _lists(batch.column(3))):
+            if root != now:
+                if held[0]:
+                    yield close(held)
+                now, held = root, ([], [], [])
+            for to, x in zip(held, (key, s, linked)):
+                to.append(x)
+    if held[0]:
+        yield close(held)
+
+
+def links(docs: DataFrame, prints: DataFrame, unique: bool = False) -> DataFrame:
+    """Links (a, b) of keys that connect all texts of a similarity of 4/5 or more, and no others.
+
+    ``docs`` has (id, text) and ``prints`` is what ``signed`` makes of it, stored; ``unique`` says that no
+    id repeats."""
+    each = prints.groupBy("key").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    rows = each.select(F.posexplode("prefix").alias("place", "h"), "size", "key").select("h", "size", "key", "place").repartition("h").sortWithinPartitions("h", "size", "key")
+    found = cut(rows.mapInArrow(_pairs, "a long, b long, large boolean").distinct())
+    stars = found.where("large").select("a", "b")
+    of_a, of_b = (prints.select(F.col("key").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"sketch_{k}")).dropDuplicates([k]) for k in "ab")
+    met = found.where("not large").join(of_a, "a").join(of_b, "b")
+    # of na + nb elements of similar sets at most a ninth is in one set only
+    pairs = cut(met.where(9 * _differing(F.col("sketch_a"), F.col("sketch_b")) <= F.col("na") + F.col("nb")).select("a", "b"))
+
+    needed = pairs.unionByName(stars).select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    ids = prints.join(needed, "key").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct()
+    sets = sets_of(docs.join(ids.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of")), "left_semi"))
+    sets = cut(sets if unique else sets.dropDuplicates(["key"]))
+    of_pairs = _measured(pairs, sets).where(similar(F.col("both"), F.col("na"), F.col("nb"))).select("a", "b")
+
+    blocks = cut(simhash.components(stars).select(F.col("root").alias("a"), F.col("node").alias("b")))
+    pivoted = _measured(blocks.where("a <> b"), sets)
+    far = cut(pivoted.select("a", "b", similar(F.col("both"), F.col("na"), F.col("nb")).alias("linked"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("far")))
+    # the distance obeys the triangle inequality: a similar text of one left open is at most 1/5 nearer to the pivot
+    open_ = cut(far.where("not linked").groupBy("a").agg(F.min("far").alias("least")))
+    left = far.join(open_, "a").where(F.col("far") >= F.col("least") - 0.2 - 1e-9)
+    block = left.join(sets, left.b == sets.key).select("a", "b", "linked", "set").repartition("a").sortWithinPartitions("a", "b")
+    of_blocks = block.mapInArrow(_block_links, "a long, b long")
+    return cut(of_pairs.unionByName(far.where("linked").select("a", "b")).unionByName(of_blocks))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without all but the smallest id of each group of near-duplicates, all columns as they were.
+
+    A group is what similar pairs connect. Of rows that repeat the id that stays in a group, the smallest row stays."""
+    names, at = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*at)
+    id_, text = (F.col(at[names.index(c)]) for c in (id_col, text_col))
+    texts = plain.select(id_.alias("id"), text.alias("text"))
+    common = common_shingles(texts)
+    prints = cut(signed(texts, common))
+    unique = prints.groupBy("id").count().where("count > 1").isEmpty()
+    named = simhash.named_by(prints.select("id", F.col("key").alias("fp")), links(texts, prints, unique))
+    if unique:
+        gone = prints.join(named, prints.key == named.fp).where("not (id <=> component)").select("id")
+        return plain.join(gone, id_.eqNullSafe(gone["id"]), "left_anti").toDF(*names)
+
+    def run(batches):
+        for b in batches:
+            keys = np.array([_digest(shingles(x.as_py())) for x in b.column(at.index(text_at)).cast(pa.binary())], np.uint64)
+            yield [*b.columns, pa.array(keys.view(np.int64))]
+
+    text_at = at[names.index(text_col)]
+    rows = map_arrow(plain, run, at, [("fp", "long")]).join(named, "fp").where(id_.eqNullSafe(F.col("component")))
+    one = rows.groupBy("root").agg(F.min(F.struct(*at)).alias("row"))
+    return one.select("row.*").toDF(*names)

@@ -190,8 +190,13 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root, component) for the distinct fingerprints of (id, fp): the root is the same in a component, and the
     component is its smallest id."""
+    return named_by(prints, links(prints.select("fp").distinct(), radius))
+
+
+def named_by(prints: DataFrame, edges: DataFrame) -> DataFrame:
+    """As ``classes``, for given links (a, b) of the fingerprints."""
     least = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(links(least.select("fp"), radius))
+    roots = components(edges)
     linked = cut(roots.join(least, roots.node == least.fp).select("node", "root", "least"))
     # on its own, so that the join with a root that very many fingerprints have can be split
     smallest = cut(linked.groupBy("root").agg(F.min("least").alias("component")))

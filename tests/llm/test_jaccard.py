@@ -1,0 +1,88 @@
+import random
+from itertools import combinations
+
+import corpus_pipeline as P
+from corpweave.llm import jaccard
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)] if words else [])
+
+
+def groups(sets):
+    """For each set the index of the first of its group, by plain search over all pairs."""
+    label = list(range(len(sets)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in combinations(range(len(sets)), 2):
+        both = len(sets[i] & sets[j])
+        if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+            a, b = root(i), root(j)
+            label[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(sets))]
+
+
+def wanted(rows):
+    rows = sorted(rows)
+    return [rows[i][0] for i, r in enumerate(groups([shingle_set(t) for _, t in rows])) if i == r]
+
+
+def changed(rnd, words, share):
+    words = list(words)
+    for i in rnd.sample(range(len(words)), max(1, int(len(words) * share))):
+        words[i] = f"new{rnd.getrandbits(32)}"
+    return words
+
+
+def texts(seed, bases, copies):
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(bases):
+        base = [f"w{rnd.randint(0, 3000)}" for _ in range(rnd.choice([3, 6, 40, 120, 300]))]
+        for _ in range(copies):
+            out.append(" ".join(changed(rnd, base, rnd.choice([0.001, 0.003, 0.01, 0.02, 0.05]))))
+            if rnd.random() < 0.3:
+                base = changed(rnd, base, 0.01)
+    return list(enumerate(out))
+
+
+def test_similar_pairs_are_all_found(spark, sf):
+    rows = texts(3, 40, 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, sf).collect()) == wanted(rows)
+    assert len(rows) * 0.2 < len(wanted(rows)) < len(rows) * 0.9
+
+
+def test_links_below_the_threshold_are_not_made(spark, sf):
+    rnd = random.Random(8)
+    base = [f"w{rnd.randint(0, 3000)}" for _ in range(400)]
+    rows = [(0, " ".join(base)), (1, " ".join(base[:200] + ["other"] + base[201:])), (2, " ".join(base[:200] + [f"x{i}" for i in range(44)] + base[244:]))]
+    rows += [(3 + i, " ".join(base[:40] + [f"own{i}-{j}" for j in range(60)])) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, sf).collect()) == wanted(rows)
+
+
+def test_large_buckets_lose_nothing(spark, sf):
+    rows = texts(4, 6, 60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, sf).collect()) == wanted(rows)
+
+
+def test_links_of_a_block_span_its_components():
+    rnd = random.Random(2)
+    rows = texts(5, 3, 30)
+    rnd.shuffle(rows)
+    sets = [jaccard.shingles(t.encode()) for _, t in rows]
+    found = list(jaccard.group_links(list(range(len(sets))), sets, [False] * len(sets)))
+    assert len(sets) - len(found) == len(set(groups([shingle_set(t) for _, t in rows])))
+
+
+def test_stage_on_the_table(spark, sf):
+    docs = P.keep_quality(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, sf).collect()) == wanted(rows)
