@@ -1,9 +1,12 @@
-"""SimHash near-duplicates, found by multi-index hashing over two 32-bit segments.
+"""SimHash near-duplicates, found by multi-index hashing.
 
-A pair within three bits has a segment that differs in one bit at most. So every distinct fingerprint is filed
-under its exact segment values and looked up under the small Hamming ball (radius one) of each; the matches are
-verified on all 64 bits. Copies collapse to one fingerprint first, buckets return a spanning forest of their links
-instead of all pairs, and components come from alternating star contraction.
+A fingerprint's 64 bits are cut into segments, each with a radius of its own, such that any two fingerprints within the
+whole radius lie within the segment's radius in one of them at least (the radii plus one add up to more than the whole
+radius). So every distinct fingerprint is filed under the small Hamming ball around each segment's value, and all that
+meet in a bucket are verified on the 64 bits. Of a ball only those values are filed that have further bits set: two
+values within a radius meet in their union. Copies collapse first, and buckets return a spanning forest of their links
+instead of all pairs. Buckets beyond a fixed size are met a second time in tiles of that size, a task for each pair of
+tiles. Components come from alternating star contraction.
 
 Defined results: null or blank texts have fingerprint zero and link like any other; a missing id never becomes a
 component's id unless all its ids are missing; repeated rows each get a row; an empty table gives no rows; other
@@ -14,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +30,37 @@ from corpweave.session import cut
 SEED = 42
 SHINGLE = 3
 RADIUS = 3
+#: Segments (bits, radius) that find all within RADIUS bits.
+SEGMENTS = ((32, 1), (32, 1))
 #: Shingles whose bits are counted at once, so that a very long text needs no more memory.
 CHUNK = 1 << 15
-#: From this many members on, a bucket is split by the bytes of the other segment.
-LARGE = 2048
+#: Rows of a bucket that one task takes; larger buckets are met in tiles of this size.
+LARGE = 1 << 15
+#: Fingerprints compared at once.
+BLOCK = 1 << 21
+#: What a row of a bucket's result is.
+PAIR, SPAN, TOO_LARGE = 0, 1, 2
+
+
+def shingle_hashes(words: list[bytes], size: int = SHINGLE, seed: int = SEED) -> Iterator[int]:
+    """XXH64 of every word shingle, repeats included; of fewer words, of the whole sequence."""
+    if len(words) < size:
+        return iter([xxhash.xxh64_intdigest(b" ".join(words), seed)] if words else [])
+    return map(xxhash.xxh64_intdigest, map(b" ".join, zip(*(words[i:] for i in range(size)))), repeat(seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as unsigned integer; zero for none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK]
+        counts += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
 def fingerprint(data: bytes | None, size: int = SHINGLE, seed: int = SEED) -> int:
     """64-bit SimHash of the word shingles of a UTF-8 text, as unsigned integer; zero for no words."""
-    words = (data or b"").lower().split()
-    n = max(len(words) - size + 1, 1 if words else 0)
-    if not n:
-        return 0
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else iter([b" ".join(words)])
-    hashes, counts, left = map(xxhash.xxh64_intdigest, shingles, repeat(seed)), np.zeros(64, np.int64), n
-    while left:
-        k = min(left, CHUNK)
-        bits = np.unpackbits(np.fromiter(hashes, np.uint64, k).view(np.uint8).reshape(k, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-        left -= k
-    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+    return majority(np.fromiter(shingle_hashes((data or b"").lower().split(), size, seed), np.uint64))
 
 
 def fingerprint_column(text: Column, size: int = SHINGLE, seed: int = SEED) -> Column:
@@ -65,103 +79,142 @@ def hexed(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def _keys(fps: DataFrame) -> DataFrame:
-    """Rows (key, probe, fp): each fingerprint under its two exact segments, and under each with a zero bit set.
-
-    Of two segments that differ in one bit, one has a zero there; that one finds the other."""
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    high = F.shiftrightunsigned("fp", 32)
-
-    def rows(seg: Column, tag: int) -> Column:
-        flips = F.array(*(F.when(seg.bitwiseAND(F.lit(1 << i)) == 0, F.struct((F.lit(tag << 32) + seg + F.lit(1 << i)).alias("key"), F.lit(True).alias("probe"))) for i in range(32)))
-        own = F.array(F.struct((F.lit(tag << 32) + seg).alias("key"), F.lit(False).alias("probe")))
-        return F.concat(own, F.array_compact(flips))
-
-    return fps.select("fp", F.explode(F.concat(rows(low, 0), rows(high, 1))).alias("k")).select("k.key", "k.probe", "fp")
-
-
-def bucket_links(own: np.ndarray, all_: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[int, int]]:
-    """Links that span the graph between ``all_`` and ``own`` (its first elements), joining those within ``radius`` bits.
-
-    At most one link for each element and component it touches, so their number is linear in the bucket's size."""
-    label = np.arange(len(own))
-    parts = None
-    if len(own) > LARGE and radius <= RADIUS:  # three differing bits leave one of any four disjoint bit groups alone
-        bytes_ = own.view(np.uint8).reshape(-1, 8)
-        varied = sorted(range(8), key=lambda j: -len(np.unique(bytes_[:, j])))
-        columns = [bytes_[:, varied[j]] for j in range(4)] if all((bytes_[:, j] == bytes_[0, j]).all() for j in varied[4:]) else None
-        if columns is not None:
-            orders = [np.argsort(c, kind="stable") for c in columns]
-            parts = [(varied[j], orders[j], np.searchsorted(columns[j][orders[j]], np.arange(257))) for j in range(4)]
-    for i, x in enumerate(all_):
-        if parts is None or i >= len(own):
-            near = np.flatnonzero(np.bitwise_count(own ^ x) <= radius)
-        else:
-            b = x.tobytes()
-            some = np.unique(np.concatenate([order[at[b[j]] : at[b[j] + 1]] for j, order, at in parts]))
-            near = some[np.bitwise_count(own[some] ^ x) <= radius]
-        near = near[near != i] if i < len(own) else near
-        if not len(near):
-            continue
-        labels, first = np.unique(label[near], return_index=True)
-        if i < len(own):
-            keep = labels != label[i]
-            labels, first = labels[keep], first[keep]
-        for j in near[first]:
-            yield int(x), int(own[j])
-        joined = np.append(labels, label[i]) if i < len(own) else labels
-        if len(joined) > 1:
-            label[np.isin(label, joined)] = joined.min()
-
-
-def _link_batches(batches: Iterator[pa.RecordBatch], radius: int = RADIUS) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, probe) to links; holds one bucket at a time."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def emit(links: list[tuple[int, int]]) -> pa.RecordBatch:
-        a = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], schema=schema)
-
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    out: list[tuple[int, int]] = []
-
-    def close(key: np.ndarray, probe: np.ndarray, fp: np.ndarray) -> None:
-        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        ends = np.append(starts[1:], len(key))
-        for s, e in zip(starts, ends):
-            if e - s > 1 and not probe[s]:
-                n = int(np.count_nonzero(~probe[s:e]))
-                out.extend(bucket_links(fp[s : s + n], fp[s:e], radius))
+def complete(segments: tuple[tuple[int, int], ...], radius: int) -> bool:
+    """Whether these segments find every pair within ``radius`` bits."""
+    return sum(bits for bits, _ in segments) == 64 and sum(r + 1 for _, r in segments) > radius
+
 
+def _keys(batches: Iterator[pa.RecordBatch], segments: tuple[tuple[int, int], ...]) -> Iterator[pa.RecordBatch]:
+    """From (node, fp) to (key, node, fp): a key is the segment's number and value, and in its last two bits the level,
+    which is how many bits were added to the value."""
+    masks = [[sum(1 << b for b in c) for n in range(r + 1) for c in combinations(range(bits), n)] for bits, r in segments]
     for batch in batches:
-        key, fp = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
-        probe = batch.column(1).to_numpy(zero_copy_only=False)
-        if not len(key):
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            fp, keys, rows, shift = part.column(1).to_numpy().view(np.uint64), [], [], 0
+            for tag, ((bits, _), added) in enumerate(zip(segments, masks)):
+                value = (fp >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+                added = np.array(added, np.uint64)
+                row, k = np.nonzero((value[:, None] & added) == 0)
+                level = np.bitwise_count(added[k]).astype(np.int64)
+                keys.append((tag << 48) | ((value[row] | added[k]).astype(np.int64) << 2) | level)
+                rows.append(row)
+                shift += bits
+            at_ = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(0).take(at_), part.column(1).take(at_)], names=["key", "node", "fp"])
+
+
+def bucket_links(level: np.ndarray, node: np.ndarray, fp: np.ndarray, reach: int, radius: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(a, b, kind) for the rows of a bucket, sorted by level: what its nodes within ``radius`` bits are to one another.
+
+    A node with up to ``most`` others gives a PAIR with each. One with more gives PAIRs with the ``most`` nearest, and
+    SPANs that connect it with all of them; a bucket has fewer SPANs than nodes."""
+    label = np.unique(node, return_inverse=True)[1]
+    starts = np.searchsorted(level, np.arange(reach + 2))
+    for own in range(reach // 2 + 1):  # levels that add up to the segment's radius at most
+        begin, end = int(starts[own]), int(starts[reach - own + 1])
+        step = max(1, BLOCK // max(1, end - begin))
+        for at in range(begin, int(starts[own + 1]), step):
+            some = fp[at : min(at + step, int(starts[own + 1]))]
+            away = np.bitwise_count(some[:, None] ^ fp[begin:end])
+            i, j = np.nonzero(away <= radius)
+            after = (j + begin > i + at) & (node[j + begin] != node[i + at])
+            i, j = i[after], j[after]
+            if not len(i):
+                continue
+            many = np.bincount(i, minlength=len(some))
+            open_ = many > most
+            few = ~open_[i]
+            if few.any():
+                yield node[i[few] + at], node[j[few] + begin], PAIR
+            ends = np.cumsum(many)
+            for x in np.flatnonzero(open_):
+                near = j[ends[x] - many[x] : ends[x]]
+                if most:
+                    nearest = near[np.lexsort((node[near + begin], away[x, near]))][:most]
+                    yield np.repeat(node[x + at], len(nearest)), node[nearest + begin], PAIR
+                labels, first = np.unique(label[near + begin], return_index=True)
+                new = labels != label[x + at]
+                if new.any():
+                    yield np.repeat(node[x + at], int(new.sum())), node[near[first[new]] + begin], SPAN
+                    joined = np.append(labels, label[x + at])
+                    label[np.isin(label, joined)] = joined.min()
+
+
+def _met(batches: Iterator[pa.RecordBatch], segments: tuple[tuple[int, int], ...], radius: int, most: int, large: int, tiled: bool) -> Iterator[pa.RecordBatch]:
+    """From rows (key, node, fp[, left, right]) sorted by all but node and fp to distinct (a, b, kind); holds one bucket at a time.
+
+    A bucket of more than ``large`` rows gives (key without level, 0, TOO_LARGE) instead, unless ``tiled``."""
+    out: list[tuple[np.ndarray, np.ndarray, int]] = []
+
+    def emit() -> pa.RecordBatch:
+        rows = np.concatenate([np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), kind)]) for a, b, kind in out], axis=1) if out else np.zeros((3, 0), np.int64)
+        rows = np.unique(rows, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2].astype(np.int32))], names=["a", "b", "kind"])
+
+    def close(held: list[tuple[np.ndarray, ...]]) -> None:
+        bucket, key, node, fp = (np.concatenate(x) for x in zip(*held))
+        starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        for s, e in zip(starts, np.append(starts[1:], len(key))):
+            if e - s < 2 or key[s] & 3 and segments[key[s] >> 48][1] < 2:  # nobody's own value
+                continue
+            if e - s > large and not tiled:
+                out.append((np.array([key[s] >> 2]), np.array([np.iinfo(np.int64).max]), TOO_LARGE))
+            else:
+                order = np.argsort(key[s:e] & 3, kind="stable")
+                out.extend(bucket_links((key[s:e] & 3)[order], node[s:e][order], fp[s:e][order], segments[key[s] >> 48][1], radius, most))
+
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        last = np.searchsorted(key, key[-1])  # the batch's last bucket may go on
-        if held and (last > 0 or held[0][0][0] != key[0]):
-            held.append((key[:last], probe[:last], fp[:last]))
-            close(*(np.concatenate(x) for x in zip(*held)))
+        columns = [batch.column(i).to_numpy() for i in range(batch.num_columns)]
+        key, node, fp = columns[0], columns[1], columns[2].view(np.uint64)
+        bucket = key >> 2
+        if tiled:  # a number for each bucket and pair of tiles
+            bucket = np.array([xxhash.xxh3_64_intdigest(r.tobytes()) for r in np.stack([bucket, *columns[3:]], axis=1)], np.uint64).view(np.int64)
+        last = len(bucket) - int(np.argmax(bucket[::-1] != bucket[-1])) if (bucket != bucket[-1]).any() else 0
+        if held and (last or held[0][0][0] != bucket[0]):
+            held.append((bucket[:last], key[:last], node[:last], fp[:last]))
+            close(held)
             held = []
         elif last:
-            close(key[:last], probe[:last], fp[:last])
-        held.append((key[last:], probe[last:], fp[last:]))
-        if len(out) > 50_000:
-            yield emit(out)
+            close([(bucket[:last], key[:last], node[:last], fp[:last])])
+        held.append((bucket[last:], key[last:], node[last:], fp[last:]))
+        if not tiled and sum(len(h[0]) for h in held) > large + 1:  # to be known as too large is all that this bucket needs
+            held = [tuple(np.concatenate(x)[: large + 1] for x in zip(*held))]
+        if sum(len(a) for a, _, _ in out) > 100_000:
+            yield emit()
             out.clear()
     if held:
-        close(*(np.concatenate(x) for x in zip(*held)))
-    if out:
-        yield emit(out)
-
-
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) that connect the distinct fingerprints ``fp`` at ``radius`` or fewer differing bits.
-
-    Up to three bits no pair is missed. With a larger radius those pairs link too that differ in one bit at most of
-    either segment, which is all that the index can find."""
-    keys = _keys(fps).repartition("key").sortWithinPartitions("key", "probe", "fp")
-    return keys.select("key", "probe", "fp").mapInArrow(partial(_link_batches, radius=radius), "a long, b long")
+        close(held)
+    yield emit()
+
+
+def met(nodes: DataFrame, segments: tuple[tuple[int, int], ...] = SEGMENTS, radius: int = RADIUS, most: int = 0, large: int = LARGE) -> DataFrame:
+    """(a, b, kind) of the nodes (node, fp), one for each text or fingerprint that counts: see ``bucket_links``."""
+    if not complete(segments, radius):
+        raise ValueError(f"segments {segments} do not find all within {radius} bits")
+    schema = "a long, b long, kind int"
+    rows = nodes.select("node", "fp").mapInArrow(partial(_keys, segments=segments), "key long, node long, fp long")
+    dealt = rows.repartition(F.shiftright("key", 2)).sortWithinPartitions("key")
+    of = partial(_met, segments=segments, radius=radius, most=most, large=large)
+    found = cut(dealt.mapInArrow(partial(of, tiled=False), schema).distinct())
+    big = found.where(F.col("kind") == TOO_LARGE).select(F.col("a").alias("of"))
+    if big.isEmpty():
+        return found
+    again = cut(rows.withColumn("of", F.shiftright("key", 2)).join(big, "of"))
+    tiles = again.groupBy("of").agg(F.ceil(F.count("*") / F.lit(large / 2)).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    pairs = again.join(tiles, "of").select("key", "node", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    pairs = pairs.select("key", "node", "fp", F.least("own", "other").cast("long").alias("left"), F.greatest("own", "other").cast("long").alias("right"))
+    tiled = pairs.withColumn("of", F.shiftright("key", 2)).repartition("of", "left", "right").sortWithinPartitions("of", "left", "right", "key").drop("of")
+    return found.where(F.col("kind") != TOO_LARGE).unionByName(cut(tiled.mapInArrow(partial(of, tiled=True), schema).distinct()))
+
+
+def links(fps: DataFrame, radius: int = RADIUS, segments: tuple[tuple[int, int], ...] = SEGMENTS) -> DataFrame:
+    """Links (a, b) that connect the distinct fingerprints ``fp`` at ``radius`` or fewer differing bits; no pair is missed."""
+    return met(fps.select(F.col("fp").alias("node"), "fp"), segments, radius).select("a", "b")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -209,21 +262,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: (id, fp long, component id: the smallest id that can be reached)."""
     prints = cut(docs.select(F.col(f"`{id_col}`").alias("id"), fingerprint_column(F.col(f"`{text_col}`")).alias("fp")))
     return prints.join(classes(prints).select("fp", "component"), "fp").select(F.col("id").alias(id_col), "fp", F.col("component").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents without all but the smallest id of each group of near-duplicates, all columns as they were.
-
-    Of rows that repeat the id that stays in a group, the smallest row stays. Unless ids repeat, only the ids that go
-    meet the documents, in a join by id."""
-    names, at = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*at)
-    id_, text = (F.col(at[names.index(c)]) for c in (id_col, text_col))
-    prints = cut(plain.select(id_.alias("id"), fingerprint_column(text).alias("fp")))
-    named = classes(prints, radius)
-    if prints.groupBy("id").count().where("count > 1").isEmpty():
-        gone = prints.join(named, "fp").where("not (id <=> component)").select("id")
-        return plain.join(gone, id_.eqNullSafe(gone["id"]), "left_anti").toDF(*names)
-    rows = plain.withColumn("fp", fingerprint_column(text)).join(named, "fp").where(id_.eqNullSafe(F.col("component")))
-    one = rows.groupBy("root").agg(F.min(F.struct(*at)).alias("row"))
-    return one.select("row.*").toDF(*names)

@@ -3,10 +3,10 @@ import zlib
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from corpweave.llm import quality, simhash
+from corpweave.llm import nearby, quality
 from tests.llm.test_decontaminate import brute as brute_hits
+from tests.llm.test_nearby import wanted
 from tests.llm.test_packing import check, ids
-from tests.llm.test_simhash import brute_components, plain
 
 
 def test_stages_equal_brute_force(spark, sf):
@@ -22,8 +22,7 @@ def test_stages_equal_brute_force(spark, sf):
     assert kept.columns == columns and {r.doc_id for r in got} == {r.doc_id for r in want}
 
     unique = P.drop_near_duplicates(spark, kept, sf)
-    of = brute_components([(r.doc_id, plain(r.text)) for r in got], P.NEAR)
-    assert unique.columns == columns and sorted(r.doc_id for r in unique.collect()) == sorted(r.doc_id for r, c in zip(got, of) if r.doc_id == c)
+    assert unique.columns == columns and sorted(r.doc_id for r in unique.collect()) == wanted([(r.doc_id, r.text) for r in got])
 
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     clean = P.drop_benchmark_leaks(spark, unique, sf)
@@ -45,13 +44,13 @@ def test_stages_equal_brute_force(spark, sf):
 
 def test_odd_documents(spark, sf):
     rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (None, "plain words here", "en", "s", 3), (4, "plain words there", "en", "s", 3), (4, "plain words there", "en", "s", 3), (4, "other words of the same id", "de", None, 3)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as fp", "2 as score", "3 as `a.b`")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as fp", "2 as score", "3 as `a.b`", "4 as __id", "5 as hits", "6 as n_hit", "7 as piece", "8 as ids", "map(1, 2) as m")
     out = docs
-    for name, stage in P.STAGES[1:4]:
+    for name, stage in P.STAGES[:4]:
         out = stage(spark, out, sf)
         assert out.columns == docs.columns, name
     kept = {(r.doc_id, r.text) for r in out.collect()}
     assert len(kept) == out.count() and (1, None) in kept and (2, "") not in kept
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
-    assert simhash.keep_one(docs).count() == 4
+    assert nearby.keep_one(docs).count() == 4

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 
 from corpweave.llm import simhash
@@ -28,10 +29,7 @@ def brute_components(prints, radius=3):
 
     fps = np.array([p for _, p in prints], np.uint64)
     for i in range(len(prints)):
-        x = fps[:i] ^ fps[i]
-        half = np.minimum(np.bitwise_count(x & np.uint64(2**32 - 1)), np.bitwise_count(x >> np.uint64(32)))
-        assert radius > 3 or (half[np.bitwise_count(x) <= 3] <= 1).all()
-        for j in np.flatnonzero((np.bitwise_count(x) <= radius) & (half <= 1)):
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= radius):
             a, b = root(i), root(int(j))
             label[max(a, b)] = min(a, b)
     out = {}
@@ -74,27 +72,42 @@ def test_chains_of_close_prints(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
-def test_large_bucket_is_split_without_loss(monkeypatch):
-    monkeypatch.setattr(simhash, "LARGE", 50)
-    rnd = random.Random(9)
-    base = rnd.getrandbits(64)
-    own = np.array(sorted({base ^ sum(1 << b for b in rnd.sample(range(32), 5)) for _ in range(300)}), np.uint64)
-    found = list(simhash.bucket_links(own, own))
-    assert all(bin(a ^ b).count("1") <= 3 for a, b in found) and len(found) < len(own)
-    prints = [(i, int(f)) for i, f in enumerate(own)]
-    want = len(set(brute_components(prints)))
-    assert len(own) - len(found) == want
+LAYOUTS = [(3, ((32, 1), (32, 1))), (3, ((16, 0),) * 4), (8, ((22, 2), (21, 2), (21, 2))), (12, ((14, 2), (14, 2), (14, 2), (11, 1), (11, 1))), (7, ((32, 3), (32, 3)))]
 
 
-def test_larger_radius(spark):
-    rnd = random.Random(6)
-    base = [rnd.getrandbits(64) for _ in range(40)]
-    docs = [b ^ sum(1 << x for x in rnd.sample(range(64), rnd.randint(0, 9))) for b in base for _ in range(12)]
-    rows = sorted({(i, f) for i, f in enumerate(docs)})
-    prints = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in rows], "id long, fp long")
-    for radius in (3, 8):
-        got = {r.fp % 2**64: r.component for r in simhash.classes(prints, radius).collect()}
-        assert [got[f] for _, f in rows] == brute_components(rows, radius)
+def near_prints(seed, radius):
+    rnd = random.Random(seed)
+    base = [rnd.getrandbits(64) for _ in range(30)]
+    return sorted({b ^ sum(1 << x for x in rnd.sample(range(64), rnd.randint(0, radius + 1))) for b in base for _ in range(12)})
+
+
+@pytest.mark.parametrize("radius,segments", LAYOUTS)
+@pytest.mark.parametrize("large", [4, 1 << 15])
+def test_any_complete_segments_find_all(spark, radius, segments, large):
+    """All pairs with few others near, none lost between tiles of a bucket, and the same components either way."""
+    fps = near_prints(radius, radius)
+    df = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in enumerate(fps)], "node long, fp long")
+    most = 5
+    found = simhash.met(df, segments, radius, most, large).collect()
+    near = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if (fps[i] ^ fps[j]).bit_count() <= radius}
+    pairs, spans = ({(r.a, r.b) for r in found if r.kind == k} for k in (simhash.PAIR, simhash.SPAN))
+    assert pairs | spans <= near and len(pairs) > 50 and (large == 4 or radius == 3 or len(near) > len(pairs))
+    label = list(range(len(fps)))
+    for a, b in spans:
+        x, y = label[a], label[b]
+        label = [min(x, y) if c in (x, y) else c for c in label]
+    assert all((a, b) in pairs or label[a] == label[b] for a, b in near)
+    spanning = simhash.met(df, segments, radius, 0, large).collect()
+    label = list(range(len(fps)))
+    for r in spanning:
+        x, y = label[r.a], label[r.b]
+        label = [min(x, y) if c in (x, y) else c for c in label]
+    assert label == brute_components(list(enumerate(fps)), radius)
+
+
+def test_incomplete_segments_are_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.met(spark.createDataFrame([(1, 1)], "node long, fp long"), ((32, 1), (32, 1)), 4)
 
 
 def test_odd_rows(spark):
@@ -107,4 +120,3 @@ def test_odd_rows(spark):
         kept[str((i, c))] += 1
     assert sorted(map(str, got)) == sorted(x for x, n in kept.items() for _ in range(n))
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted({c for c in brute_components([(i, plain(t)) for i, t in rows])})
