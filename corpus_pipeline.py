@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpweave.llm import decontaminate, jaccard, packing, pii, quality
+from corpweave.llm import decontaminate, nearby, packing, pii, quality
 from corpweave.session import cut, removed, shared_dir, ship
 
 #: The key of the pseudonyms; a real run takes its own from a secret store.
@@ -30,8 +30,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id.
 
-    Texts are linked whose sets of five-word shingles have an exact Jaccard similarity of 0.8 or more; none is missed."""
-    return jaccard.keep_one(docs)
+    Texts are linked whose SimHash fingerprints of five-word shingles differ in twelve bits or fewer, and whose sets of
+    these shingles have an exact Jaccard similarity of 0.8 or more."""
+    return nearby.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
