@@ -3,7 +3,8 @@
 Each text is encoded once per language with a zstandard raw-content dictionary of that language; the smallest encoding
 names it. A text is folded first (lower case, letters only) and encoded in blocks, so that the dictionary keeps its
 advantage over what a long text teaches the encoder about itself. A narrow margin between the two best languages
-rejects the choice.
+rejects the choice. All languages that the training rows name are learned, each from a bounded sample of its documents,
+which are taken whole; time and memory grow with the number of languages.
 
 Defined results: a null text, or one without letters, is ``und`` with score zero; equal sizes go to the language with
 more training documents; languages that are null take no part in learning; with nothing to learn from, all texts are ``und``;
@@ -12,32 +13,33 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Training documents of each language, the bytes of its dictionary, and how many languages at most.
-SAMPLE = 1000
-DICTIONARY = 1 << 17
-LANGUAGES = 100
+#: Training documents of each language at most, and bytes that they may have together; one is taken whatever its size.
+SAMPLE = 256
+DICTIONARY = 1 << 19
 #: Bytes encoded at once, and zstandard's level.
 BLOCK = 4096
 LEVEL = 9
 #: Below this share of the second smallest size the margin is narrow.
 MARGIN = 0.01
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Marks belong to the letters that they stand on.
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 FIELDS = "struct<lang:string,score:double,margin:double,rejected:boolean>"
 
 
 def folded(text: str | None) -> bytes:
     """Lower-cased words of letters between single spaces; empty if there is no letter."""
-    return _NOT_LETTERS.sub(" ", f" {(text or '').lower()} ").encode() if text else b""
+    return _NOT_LETTERS.sub(" ", f" {text.lower()} ").encode() if text and _LETTER.search(text) else b""
 
 
 class Languages:
@@ -58,7 +60,7 @@ class Languages:
     def choose(self, text: str | None, margin: float = MARGIN) -> tuple[str, float, float, bool]:
         """Language, score (share by which the best size undercuts the second), the same in bytes, and whether that is narrow."""
         data = folded(text)
-        if not data.strip() or not self.names:
+        if not data or not self.names:
             return UNKNOWN, 0.0, 0.0, True
         ranked = sorted(zip(self.sizes(data), range(len(self.names))))
         best, name = ranked[0][0], self.names[ranked[0][1]]
@@ -70,35 +72,34 @@ class Languages:
 
 
 def dictionaries(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
-    """A dictionary for each language from a bounded sample of its documents, chosen by a hash of their ids.
-
-    Counts all languages first, so that only rows near the sample's share are read in full."""
-    rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang_col).limit(LANGUAGES).collect()}
+    """A dictionary for each language: whole documents in the order of a hash of their ids, at most ``sample`` of them,
+    as long as they have ``size`` bytes together; the first is taken whatever its size.
+
+    Counts all languages first, so that only rows near the sample's share are read in full. Comes in the order of the
+    languages' numbers of documents."""
+    rows = train.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").alias("id"))
+    rows = rows.where("lang is not null and text is not null")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row for each language
     if not counts:
         return {}
-    spot = F.shiftrightunsigned(F.xxhash64(F.lit("language"), id_col), 11) / F.lit(float(1 << 53))
-    share = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * sample / n + 50 / n)))))
-    # a quarter of the sample's documents at least give words; each gives what its share of the dictionary is
-    each = max(256, 4 * size // max(1, sample))
-    near = rows.where(F.col(lang_col).isin(list(counts))).where(spot <= share[F.col(lang_col)])
-    ranked = near.select(lang_col, F.row_number().over(_window(lang_col, spot, text_col)).alias("at"), F.expr(f"substr({text_col}, 1 + cast(pmod(xxhash64({id_col}), greatest(length({text_col}) - {each}, 1)) as int), {each})").alias("part"))
-    parts: dict[str, list[bytes]] = {}
-    for r in ranked.where(F.col("at") <= sample).orderBy(lang_col, F.desc("at")).collect():
-        parts.setdefault(r[0], []).append(folded(r["part"]))
-    return {lang: b"".join(parts[lang])[-size:] for lang in counts if any(x.strip() for x in parts.get(lang, ()))}
-
-
-def _window(lang_col: str, *order):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(lang_col).orderBy(*order)
+    shares = train.sparkSession.createDataFrame([(r[0], min(1.0, 1.5 * sample / r[1] + 50 / r[1])) for r in counts], "lang string, share double")
+    spot = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "id"), 11) / F.lit(float(1 << 53))
+    near = rows.withColumn("spot", spot).join(F.broadcast(shares), "lang").where("spot <= share")
+    order = Window.partitionBy("lang").orderBy("spot", "text")  # about one and a half samples of a language
+    ranked = near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample)
+    upto = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    taken = ranked.withColumn("upto", upto).where((F.col("upto") <= size) | (F.col("at") == 1)).select("lang", "at", "text")
+    parts: dict[str, list[tuple[int, bytes]]] = {}
+    for r in taken.toLocalIterator():
+        parts.setdefault(r[0], []).append((r[1], folded(r[2])))
+    learned = {lang: b"".join(x for _, x in sorted(some, reverse=True)) for lang, some in parts.items()}
+    return {r[0]: learned[r[0]] for r in counts if learned.get(r[0])}
 
 
 def identify(text: Column, learned: dict[str, bytes], margin: float = MARGIN, level: int = LEVEL) -> Column:
     """A struct of lang, score, margin in bytes and rejected for a text column.
 
-    ``learned`` is at most LANGUAGES dictionaries and travels with the tasks."""
+    ``learned`` is a dictionary for each language and travels with the tasks."""
 
     @F.arrow_udf(FIELDS)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
