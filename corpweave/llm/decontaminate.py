@@ -1,15 +1,19 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised word windows of the test items.
 
 Each text is normalised and scanned once; hits are kept as word positions and mapped to character offsets of the
-original text only where there are any.
+original text only where there are any. The items are broadcast behind a check of their size: up to ITEM_BYTES of text
+are one automaton; a larger set is dealt by a hash into parts of about that size, and each part is an automaton that
+scans the same rows, with the same hits in the end. A worker builds an automaton once for all its tasks.
 
 Defined results: a null text has no words; an item without words has no window; items that repeat an id count as one
-item with the windows of all; a window that several items share counts for each; an empty benchmark leaves all
-documents clean; the columns of the documents pass through.
+item with the windows of all, and so do items without one; a window that several items share counts for each; an empty
+benchmark leaves all documents clean; the columns of the documents pass through, but those named n_words, n_hit or hits
+give way to the operator's.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -21,8 +25,8 @@ from pyspark.sql import functions as F
 from corpweave.session import map_arrow, named
 
 WINDOW = 10
-#: Windows in one automaton (about a kilobyte each in memory); more are scanned for in further passes of a block each.
-BLOCK = 100_000
+#: Bytes of item texts in one automaton, which takes some 500 times as much memory in each worker.
+ITEM_BYTES = 1 << 20
 
 _UPPER = bytes(range(65, 91))
 _WORD = set(range(0x30, 0x3A)) | set(range(0x41, 0x5B)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
@@ -36,7 +40,7 @@ def words(data: bytes) -> list[bytes]:
     return data.translate(_TABLE).split()
 
 
-def windows(items: list[tuple[str, bytes]], size: int = WINDOW) -> dict[bytes, set[str]]:
+def windows(items: list[tuple[str | None, bytes]], size: int = WINDOW) -> dict[bytes, set[str | None]]:
     """Word windows, each between single spaces, and the items they come from."""
     found: dict[bytes, set[str]] = defaultdict(set)
     for item, data in items:
@@ -46,14 +50,26 @@ def windows(items: list[tuple[str, bytes]], size: int = WINDOW) -> dict[bytes, s
     return found
 
 
-def automaton(found: dict[bytes, set[str]]) -> ahocorasick.Automaton:
+def automaton(found: dict[bytes, set[str | None]]) -> ahocorasick.Automaton:
     built = ahocorasick.Automaton()
     for key, of in found.items():
-        built.add_word(key.decode("latin-1"), (len(key), key.count(b" ") - 1, tuple(sorted(of))))
+        built.add_word(key.decode("latin-1"), (len(key), key.count(b" ") - 1, tuple(sorted(of, key=lambda x: (x is None, x or "")))))
     built.make_automaton()
     return built
 
 
+#: The automata of this worker by name, the latest few.
+_BUILT: dict[str, ahocorasick.Automaton] = {}
+
+
+def _built(name: str, sent, size: int) -> ahocorasick.Automaton:
+    if name not in _BUILT:
+        while len(_BUILT) > 1:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[name] = automaton(windows(sent.value, size))
+    return _BUILT[name]
+
+
 def _offsets(data: bytes) -> list[tuple[int, int]]:
     """Start and end of every word of the original text, in characters."""
     flat, out, at, chars, last = data.translate(_TABLE), [], 0, 0, 0
@@ -80,29 +96,26 @@ def scan(data: bytes, built: ahocorasick.Automaton) -> tuple[int, list[tuple[int
     return len(w), hits
 
 
-def scanned(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """The documents with n_words, n_hit (words that hits cover) and hits, one for each occurrence of a window: character and word span, items.
-
-    The test items are a set of known size: they are read to the driver a row at a time and sent out in automata of
-    ``block`` windows at most; a larger set takes several passes over the same rows."""
-    blocks: list[dict[bytes, set[str]]] = [{}]
-    for item, text in items.select(F.col(item_id).cast("string"), F.encode(item_text, "UTF-8")).where(F.col(item_text).isNotNull()).toLocalIterator():
-        for key, of in windows([(item, bytes(text))], size).items():
-            home = next((b for b in blocks if key in b), blocks[-1])
-            if key not in home and len(home) >= block:
-                blocks.append(home := {})
-            home.setdefault(key, set()).update(x for x in of if x is not None)
-    clash = {"n_words", "n_hit", "hits"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"rename columns that clash with those of hits: {sorted(clash)}")
-    out, spark = docs, docs.sparkSession
-    text_at = docs.columns.index(text_col)
+def _parts(items: DataFrame, item_id: str, item_text: str, most: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """The items (id, text) in parts of about ``most`` bytes of text; the driver holds one part at a time."""
+    rows = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.encode(F.col(f"`{item_text}`"), "UTF-8").alias("text")).where("text is not null")
+    parts = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // most))
+    for k in range(parts):
+        some = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k) if parts > 1 else rows
+        yield [(r[0], bytes(r[1])) for r in some.toLocalIterator()]
+
+
+def scanned(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, most: int = ITEM_BYTES) -> DataFrame:
+    """The documents with n_words, n_hit (words that hits cover) and hits, one for each occurrence of a window: character and word span, items."""
+    out = docs.select(*named(docs, *(n for n, _ in FIELDS)))
+    columns, spark = out.columns, docs.sparkSession
+    text_at = columns.index(text_col)
     hit_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("items", pa.list_(pa.string()))]))
-    for k, found in enumerate(blocks):
-        sent = spark.sparkContext.broadcast(found)
+    for k, part in enumerate(_parts(items, item_id, item_text, most)):
+        sent, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent, first=k == 0) -> Iterator[list[pa.Array]]:
-            built = automaton(sent.value)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, name=name, first=k == 0) -> Iterator[list[pa.Array]]:
+            built = _built(name, sent, size)
             for batch in batches:
                 counts, hits = [], []
                 before = [None] * batch.num_rows if first else batch.column(batch.num_columns - 1).to_pylist()
@@ -118,7 +131,7 @@ def scanned(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id:
                 kept = batch.columns if first else batch.columns[:-3]
                 yield [*kept, pa.array(counts, pa.int64()), pa.array([hit_words(x) for x in hits], pa.int64()), pa.array(hits, hit_type)]
 
-        out = map_arrow(out, run, docs.columns, FIELDS)
+        out = map_arrow(out, run, columns, FIELDS)
     return out
 
 
@@ -131,6 +144,8 @@ def hit_words(hits: list[dict]) -> int:
     return covered
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents without those that contain a window of a test item."""
-    return scanned(docs, items, **options).where(F.size("hits") == 0).select(*named(docs))
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents without those that contain a window of a test item, all columns as they were."""
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    found = scanned(plain, items, f"c{docs.columns.index(text_col)}", **options)
+    return found.where("n_hit = 0").select(*plain.columns).toDF(*docs.columns)

@@ -90,14 +90,15 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP4_SQL = """
 with v as (
-  select vec_id, [floor(256 * cast(x as double)) for x in embedding] as v from embeddings
-  where vec_id is not null and embedding is not null and len(embedding) > 0
-    and len([1 for x in embedding if x is null or not isfinite(x)]) = 0
+  select row_number() over () as row, vec_id, [floor(256 * cast(x as double)) for x in embedding] as v from embeddings
+  where vec_id is not null and embedding is not null and len([1 for x in embedding if x is null or not isfinite(x)]) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id as vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
-  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+  select q.row as asker, q.vec_id as query_id, c.vec_id as vec_id, cast(case
+      when len(q.v) = len(c.v) and len(q.v) > 0 then list_dot_product(q.v, c.v)
+      else coalesce(list_sum([coalesce(q.v[i], 0) * coalesce(c.v[i], 0) for i in range(1, least(len(q.v), len(c.v)) + 1)]), 0) end as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and q.row <> c.row
 ), r as (
-  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+  select query_id, cast(row_number() over (partition by asker order by score desc, vec_id) as integer) as rank, vec_id, score from s
 )
 select * from r where rank <= 5
 """
@@ -105,7 +106,7 @@ select * from r where rank <= 5
 
 @_query("op4_exact_topk", _OP4_SQL)
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best inner products of every fiftieth vector against all others."""
+    """The five best inner products of every row whose id is divisible by 50 against all other rows."""
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
