@@ -93,11 +93,8 @@ class WordEncoder:
 
 def tokenised(docs: DataFrame, path: str, text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: the columns of ``docs`` but the text, then piece, start, length and ids (binary, little-endian
-    unsigned 32-bit). A document's ids end with ``end_id``; only documents longer than ``capacity`` are cut."""
-    rest = [c for c in docs.columns if c != text_col]
-    own = {"piece", "start", "length", "ids"} & set(rest)
-    if own:
-        raise ValueError(f"rename columns that clash with those of pieces: {sorted(own)}")
+    unsigned 32-bit), which take the place of columns of these names. A document's ids end with ``end_id``; only documents longer than ``capacity`` are cut."""
+    rest = [c for c in docs.columns if c not in (text_col, "piece", "start", "length", "ids")]
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:

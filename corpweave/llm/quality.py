@@ -183,18 +183,19 @@ def features_column(text: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     """Fits a model on the labelled documents among ``docs``, at most ``sample`` of each class by a hash of their ids."""
-    marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min(label_col).alias("__label"))
-    known = docs.select(F.col(id_col).alias("__id")).distinct().join(marked, "__id")
-    spot = F.xxhash64(F.lit("quality"), "__id")
-    counts = {r[0]: r[1] for r in known.groupBy("__label").count().collect()}
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"))
+    marked = marked.where(F.col("label").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.min("label").alias("label"))
+    known = plain.select("id").distinct().join(marked, "id")
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     chosen: dict = {}
     for c in sorted(counts):
-        chosen |= {r[0]: c for r in known.where(F.col("__label") == c).select("__id", spot.alias("__at")).orderBy("__at", "__id").limit(sample).collect()}
+        near = known.where(F.col("label") == c).select("id", F.xxhash64(F.lit("quality"), "id").alias("at"))
+        chosen |= {r[0]: c for r in near.orderBy("at", "id").limit(sample).collect()}
     if len(counts) < 2:
         return fit([], [])
-    ids = list(chosen)
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], known.select("__id").schema)  # at most 2 * sample ids
-    found = docs.join(F.broadcast(wanted), docs[id_col] == wanted["__id"]).select("__id", features_column(F.col(text_col)).alias("slots"))
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], known.select("id").schema)  # at most 2 * sample ids
+    found = plain.join(F.broadcast(wanted), "id").select("id", features_column(F.col("text")).alias("slots"))
     taken = [(str(r[0]), np.frombuffer(r[1], "<u4").astype(np.int32), chosen[r[0]]) for r in cut(found).toLocalIterator()]
     taken.sort(key=lambda x: (x[0], x[1].tobytes()))
     rows, y = [x[1] for x in taken], [x[2] for x in taken]
