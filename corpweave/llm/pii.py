@@ -5,27 +5,41 @@ What also passes that kind's validation is permuted within its format by a keyed
 equal pseudonyms in all documents, and different ones different pseudonyms. The symbols of a value (digits, letters,
 octets, a date's day number in two places) form two halves; in each round every symbol of one half is moved, within its
 own radix, by a keyed hash of the other half. Check digits are made anew, so that a pseudonym passes the same
-validation.
+validation. Dates from 1900 to 2101 stay among themselves, and so do all others. A date with slashes is read month first
+where that is a date; those that can only be read day first stay among themselves too, by walking the cycle
+until the pseudonym can't be read month first either.
+
+The key never enters a plan: the driver derives one for each kind from it by HMAC, and only those are in expressions.
+Plans, event logs and the UI show them as redacted, since ``pseudonymised`` adds their form to the session's
+``spark.sql.redaction.string.regex``. Who can read a task's closure in an executor's memory can still reverse pseudonyms.
 
 Defined results: a null text stays null; a text without findings stays as it is; what fails validation stays; a value
-that repeats gets one pseudonym everywhere; dates before 1900 or after the range's last day stay; an empty table gives
-no rows; other columns pass through. Long runs without a finding are read once, since no pattern backtracks over them.
+that repeats gets one pseudonym everywhere; of a card number or IBAN with something like further digits after a space
+the longest valid part is replaced; an empty table gives no rows; other columns pass through. Long runs
+without a finding are read once, since no pattern backtracks over them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import hmac
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-#: Days from 1900-01-01 on that dates are permuted in: SIDE squared.
-SIDE = 271
+#: Days from 1900-01-01 on that dates are permuted in (SIDE squared), the number of that day from 0001-01-01, and the number of all days up to 9999.
+SIDE, FIRST, DAYS = 271, 693595, 3652059
+#: Places of a day number among all days: a little more than there are.
+SIDES = (1911, 1912)
+#: Steps of a cycle that are walked at most; three of five end it, so that it would take 10^50 dates to see one that takes them all.
+WALK = 128
 
 #: Fixed patterns, by kind; the first that fits wins. Each is (what may not stand before, the value, what may not follow).
 PATTERNS = {
     "email": [(r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}", r"[A-Za-z0-9]")],
     "ipv4": [(r"[\w.]", r"(?:\d{1,3}\.){3}\d{1,3}", r"\.?\w")],
-    "iso_date": [(r"[\w-]", r"\d{4}-\d{2}-\d{2}", r"[\w-]")],
+    "iso_date": [(r"[\w-]", r"\d{4}-\d{2}-\d{2}", r"(?!T\d)[\w-]")],
     "dot_date": [(r"[\w.]", r"\d{2}\.\d{2}\.\d{4}", r"\.?\w")],
     "slash_date": [(r"[\w/]", r"\d{2}/\d{2}/\d{4}", r"[\w/]")],
     "iban": [(r"\w", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"\w")],
@@ -42,6 +56,23 @@ PATTERNS = {
 HINT = "[0-9@]"
 
 
+#: The form of a derived key.
+DERIVED = "pii:[0-9a-f]{64}"
+
+
+def derived(key: str, kind: str) -> str:
+    """The key of one kind of value."""
+    return "pii:" + hmac.new(key.encode(), kind.encode(), hashlib.sha256).hexdigest()
+
+
+def redacted(spark: SparkSession) -> None:
+    """From now on this session's plans don't show derived keys."""
+    name = "spark.sql.redaction.string.regex"
+    pattern = spark.conf.get(name, None) or ""
+    if DERIVED not in pattern:
+        spark.conf.set(name, f"{pattern}|{DERIVED}" if pattern else DERIVED)
+
+
 def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -101,8 +132,17 @@ def _bound(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _longest(m: str, least: int, valid: str, new: str) -> tuple[str, str]:
+    """SQL for (whether a part of ``m`` from its start to a space, hyphen or the end is valid, ``m`` with the longest such part replaced).
+
+    ``valid`` and ``new`` are SQL on the part, which they call q."""
+    parts = f"transform(filter(sequence(length({m}), least({least}, length({m})), -1), n -> n = length({m}) or substr({m}, n + 1, 1) in (' ', '-')), n -> substr({m}, 1, n))"
+    good = f"filter({parts}, q -> {valid})"
+    return f"size({good}) > 0", _bound(f"{good}[0]", "q", f"concat({new}, substr({m}, length(q) + 1))")
+
+
 def pseudonym(kind: str, m: str, key: str) -> tuple[str, str]:
-    """SQL for (whether ``m`` is valid, its pseudonym) of a kind; ``m`` is the name of what was found."""
+    """SQL for (whether ``m`` is valid, its pseudonym) of a kind; ``m`` is the name of what was found, ``key`` the kind's own."""
     if kind == "email":
         cut = f"length({m}) - instr(reverse({m}), '.')"
         return "true", f"concat({_spelled(f'substr({m}, 1, {cut})', key, kind)}, substr({m}, {cut} + 1))"
@@ -115,34 +155,45 @@ def pseudonym(kind: str, m: str, key: str) -> tuple[str, str]:
 
         def day(f: str) -> str:
             y, mo, d = (f"substr({m}, {f.index(x) + 1}, {len(x)})" for x in ("yyyy", "MM", "dd"))
-            return f"datediff(try_cast(concat({y}, '-', {mo}, '-', {d}) as date), date'1900-01-01')"
+            return f"if({y} = '0000', null, datediff(try_cast(concat({y}, '-', {mo}, '-', {d}) as date), date'0001-01-01'))"
 
-        def fits(f: str) -> str:
-            return f"coalesce({day(f)} between 0 and {SIDE * SIDE - 1}, false)"
+        def late(n: str) -> str:
+            return f"{n} between {FIRST} and {FIRST + SIDE * SIDE - 1}"
+
+        def step(n: str, near: bool) -> str:
+            a, b, base = (SIDE, SIDE, FIRST) if near else (*SIDES, 0)
+            moved = permuted(f"array(cast(({n} - {base}) div {b} as bigint), cast(({n} - {base}) % {b} as bigint))", f"array({a}, {b})", key, "date")
+            return _bound(moved, "p", f"p[0] * {b} + p[1] + {base}")
+
+        def walked(n: str, near: bool, only_day_first: bool) -> str:
+            ends = [] if near else [f"w < {DAYS}", f"not ({late('w')})"]
+            ends += ["day(date_add(date'0001-01-01', cast(w as int))) > 12"] if only_day_first else []
+            first = step(n, near)
+            return f"aggregate(sequence(1, {WALK}), {first}, (w, u) -> if({' and '.join(ends)}, w, {step('w', near)}))" if ends else first
 
         def new(f: str) -> str:
-            at = permuted(f"array(cast({day(f)} div {SIDE} as bigint), cast({day(f)} % {SIDE} as bigint))", f"array({SIDE}, {SIDE})", key, "date")
-            return f"date_format(date_add(date'1900-01-01', cast({_bound(at, 'p', f'p[0] * {SIDE} + p[1]')} as int)), '{f}')"
+            only = f == "dd/MM/yyyy"
+            return _bound(_bound(day(f), "n", f"if({late('n')}, {walked('n', True, only)}, {walked('n', False, only)})"), "z", f"date_format(date_add(date'0001-01-01', cast(z as int)), '{f}')")
 
         out = new(forms[-1])
         for f in forms[-2::-1]:
-            out = f"if({fits(f)}, {new(f)}, {out})"
-        return " or ".join(map(fits, forms)), out
+            out = f"if({day(f)} is not null, {new(f)}, {out})"
+        return " or ".join(f"{day(f)} is not null" for f in forms), out
     if kind == "iban":
-        flat = f"replace({m}, ' ', '')"
         body = _spelled("substr(t, 5)", key, kind)
         check = _bound(body, "b", f"concat(substr(t, 1, 2), lpad(cast(98 - {_mod97('concat(substr(t, 1, 2), ' + repr('00') + ', b)')} as string), 2, '0'), b)")
-        return f"length({flat}) between 15 and 34 and {_mod97(flat)} = 1", _bound(_bound(flat, "t", check), "z", _laid_out(m, "z"))
+        valid = _bound("replace(q, ' ', '')", "t", f"length(t) between 15 and 34 and {_mod97('t')} = 1")
+        return _longest(m, 15, valid, _bound(_bound("replace(q, ' ', '')", "t", check), "z", _laid_out("q", "z")))
     if kind == "ssn":
         area, group, serial = (f"cast(substr({m}, {a}, {n}) as bigint)" for a, n in ((1, 3), (5, 2), (8, 4)))
         place = f"array(if({area} > 666, {area} - 2, {area} - 1), {group} - 1, {serial} - 1)"
         new = permuted(place, "array(898, 99, 9999)", key, kind)
         return f"{area} between 1 and 899 and {area} != 666 and {group} > 0 and {serial} > 0", _bound(new, "p", "concat_ws('-', lpad(cast(if(p[0] >= 665, p[0] + 2, p[0] + 1) as string), 3, '0'), lpad(cast(p[1] + 1 as string), 2, '0'), lpad(cast(p[2] + 1 as string), 4, '0'))")
     if kind == "card":
-        flat = f"translate({m}, ' -', '')"
         head = _digits("substr(t, 1, length(t) - 1)", 1, key, kind)
         whole = _bound(head, "b", f"concat(b, cast((10 - {_luhn('concat(b, ' + repr('0') + ')')}) % 10 as string))")
-        return f"length({flat}) between 13 and 19 and {_luhn(flat)} = 0 and {flat} not rlike '^0'", _bound(_bound(flat, "t", whole), "z", _laid_out(m, "z"))
+        valid = _bound("translate(q, ' -', '')", "t", f"length(t) between 13 and 19 and {_luhn('t')} = 0 and t not rlike '^0'")
+        return _longest(m, 13, valid, _bound(_bound("translate(q, ' -', '')", "t", whole), "z", _laid_out("q", "z")))
     if kind == "phone":
         # a country code stays; a digit from 2 to 9 stays one, so area codes remain valid
         code = f"if({m} like '+1%', 2, length(regexp_extract({m}, '^[+][0-9]{{1,3}}(?![0-9])', 0)))"
@@ -167,12 +218,14 @@ def whole_of(kind: str) -> str:
 
 
 def found(name: str, key: str, kinds: list[str] | None = None) -> Column:
-    """An array of (kind, value, pseudonym) in a text column, in its order; what is not valid has no kind and stays as it is."""
+    """An array of (kind, value, pseudonym) in a text column, in its order; what is not valid has no kind and stays as it is.
+
+    The secret ``key`` is not in the result, but keys derived from it are: see ``redacted``."""
     kinds = kinds or list(PATTERNS)
     pattern = pattern_of(kinds)
     cases, news = [], []
     for k in kinds:
-        valid, new = pseudonym(k, "m", key)
+        valid, new = pseudonym(k, "m", derived(key, "date" if k.endswith("_date") else k))
         cases.append(f"when m rlike {_sql(whole_of(k))} and ({valid}) then {_sql(k)}")
         news.append(f"when {_sql(k)} then {new}")
     kind = f"case {' '.join(cases)} end"
@@ -184,6 +237,7 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", findings_co
     """The documents with pseudonyms in the text; with ``findings_col``, also an array of (kind, value, pseudonym, start).
 
     Starts are those of the original text, in characters from one."""
+    redacted(docs.sparkSession)
     kinds = kinds or list(PATTERNS)
     pattern = _sql(pattern_of(kinds))
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
