@@ -9,9 +9,8 @@ validation. Dates from 1900 to 2101 stay among themselves, and so do all others.
 where that is a date; those that can only be read day first stay among themselves too, by walking the cycle
 until the pseudonym can't be read month first either.
 
-The key never enters a plan: the driver derives one for each kind from it by HMAC, and only those are in expressions.
-Plans, event logs and the UI show them as redacted, since ``pseudonymised`` adds their form to the session's
-``spark.sql.redaction.string.regex``. Who can read a task's closure in an executor's memory can still reverse pseudonyms.
+The key never enters a plan: the driver derives one for each kind from it by HMAC, and a scalar subquery over a table of
+one row hands those to the expressions, so that plans, event logs and the UI show names alone.
 
 Defined results: a null text stays null; a text without findings stays as it is; what fails validation stays; a value
 that repeats gets one pseudonym everywhere; of a card number or IBAN with something like further digits after a space
@@ -56,21 +55,16 @@ PATTERNS = {
 HINT = "[0-9@]"
 
 
-#: The form of a derived key.
-DERIVED = "pii:[0-9a-f]{64}"
-
-
 def derived(key: str, kind: str) -> str:
     """The key of one kind of value."""
-    return "pii:" + hmac.new(key.encode(), kind.encode(), hashlib.sha256).hexdigest()
+    return hmac.new(key.encode(), kind.encode(), hashlib.sha256).hexdigest()
 
 
-def redacted(spark: SparkSession) -> None:
-    """From now on this session's plans don't show derived keys."""
-    name = "spark.sql.redaction.string.regex"
-    pattern = spark.conf.get(name, None) or ""
-    if DERIVED not in pattern:
-        spark.conf.set(name, f"{pattern}|{DERIVED}" if pattern else DERIVED)
+def key_column(spark: SparkSession, key: str) -> Column:
+    """A struct of the keys of all kinds, with no value of theirs in the plan."""
+    kinds = ["date", *(k for k in PATTERNS if not k.endswith("_date"))]
+    one = spark.createDataFrame([tuple(derived(key, k) for k in kinds)], ", ".join(f"{k} string" for k in kinds))
+    return one.select(F.struct(*kinds)).scalar()
 
 
 def _sql(text: str) -> str:
@@ -78,9 +72,11 @@ def _sql(text: str) -> str:
 
 
 def permuted(values: str, radices: str, key: str, tag: str, rounds: int = ROUNDS) -> str:
-    """SQL for an array of integers permuted within its radices; the halves are the even and the odd places."""
+    """SQL for an array of integers permuted within its radices; the halves are the even and the odd places.
+
+    ``key`` is SQL for the kind's key."""
     other = "array_join(transform(v, (y, j) -> if(j % 2 != r % 2, cast(y as string), '')), ',')"
-    moved = f"cast(conv(substr(sha2(concat_ws('|', {_sql(key)}, {_sql(tag)}, r, i, h), 256), 1, 12), 16, 10) as bigint)"
+    moved = f"cast(conv(substr(sha2(concat_ws('|', {key}, {_sql(tag)}, r, i, h), 256), 1, 12), 16, 10) as bigint)"
     step = f"transform(v, (x, i) -> if(i % 2 = r % 2, (x + {moved}) % element_at(rad, i + 1), x))"
     # the inner transform binds the other half once for each round
     step = f"element_at(transform(array({other}), h -> {step}), 1)"
@@ -142,7 +138,7 @@ def _longest(m: str, least: int, valid: str, new: str) -> tuple[str, str]:
 
 
 def pseudonym(kind: str, m: str, key: str) -> tuple[str, str]:
-    """SQL for (whether ``m`` is valid, its pseudonym) of a kind; ``m`` is the name of what was found, ``key`` the kind's own."""
+    """SQL for (whether ``m`` is valid, its pseudonym) of a kind; ``m`` is the name of what was found, ``key`` SQL for the kind's key."""
     if kind == "email":
         cut = f"length({m}) - instr(reverse({m}), '.')"
         return "true", f"concat({_spelled(f'substr({m}, 1, {cut})', key, kind)}, substr({m}, {cut} + 1))"
@@ -217,15 +213,15 @@ def whole_of(kind: str) -> str:
     return f"^(?:{'|'.join(value for _, value, _ in PATTERNS[kind])})$"
 
 
-def found(name: str, key: str, kinds: list[str] | None = None) -> Column:
+def found(name: str, keys: str, kinds: list[str] | None = None) -> Column:
     """An array of (kind, value, pseudonym) in a text column, in its order; what is not valid has no kind and stays as it is.
 
-    The secret ``key`` is not in the result, but keys derived from it are: see ``redacted``."""
+    ``keys`` is the name of a column that ``key_column`` gives."""
     kinds = kinds or list(PATTERNS)
     pattern = pattern_of(kinds)
     cases, news = [], []
     for k in kinds:
-        valid, new = pseudonym(k, "m", derived(key, "date" if k.endswith("_date") else k))
+        valid, new = pseudonym(k, "m", f"{keys}.{'date' if k.endswith('_date') else k}")
         cases.append(f"when m rlike {_sql(whole_of(k))} and ({valid}) then {_sql(k)}")
         news.append(f"when {_sql(k)} then {new}")
     kind = f"case {' '.join(cases)} end"
@@ -237,12 +233,11 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", findings_co
     """The documents with pseudonyms in the text; with ``findings_col``, also an array of (kind, value, pseudonym, start).
 
     Starts are those of the original text, in characters from one."""
-    redacted(docs.sparkSession)
     kinds = kinds or list(PATTERNS)
     pattern = _sql(pattern_of(kinds))
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     t = f"c{docs.columns.index(text_col)}"
-    rows = plain.withColumn("f", found(t, key, kinds))
+    rows = plain.withColumn("keys", key_column(docs.sparkSession, key)).withColumn("f", found(t, "keys", kinds))
     # all between the findings, one piece more than there are findings
     rows = rows.withColumn("p", F.expr(f"if(size(f) > 0, split({t}, {pattern}, -1), cast(array() as array<string>))"))
     text = F.expr(f"if(size(f) > 0, concat_ws('', flatten(zip_with(p, f.pseudonym, (a, b) -> array(a, coalesce(b, ''))))), {t})")
