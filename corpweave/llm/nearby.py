@@ -3,9 +3,9 @@
 Two texts are linked if their fingerprints of five-word shingles differ in RADIUS bits or fewer and the sets of these
 shingles have a Jaccard similarity of 4/5 or more. Texts of equal words collapse first. A pair that the index brings is
 dropped where the texts' sketches differ in more bits than similar sets can, and otherwise compared on the sets. A text
-with many others near it is compared with the nearest first; what that leaves apart in such a dense region is compared
-in tiles: those outside the region's largest group against all of it, a task for each pair of tiles. So no link
-is lost, none is made below the similarity, and no task holds more than two tiles.
+with many others near it is compared with the nearest in each component of its bucket; what that leaves apart in such a
+dense region is compared in tiles: those outside the region's largest group against all of it, a task for each pair of
+tiles. So no link is lost, none is made below the similarity, and no task holds more than two tiles.
 
 Defined results: null and blank texts are copies of one another, and a text of fewer than five words is one shingle; of
 rows that repeat the id that stays in a group, one row stays; a missing id stays only if a group has no other; an
@@ -31,7 +31,7 @@ SHINGLE = 5
 RADIUS = 12
 #: Segments (bits, radius) that find all within RADIUS bits.
 SEGMENTS = ((14, 2), (14, 2), (14, 2), (11, 1), (11, 1))
-#: Nearest texts that one is compared with before its region is looked at as a whole.
+#: Texts near one in a bucket that it is compared with each; more make a dense region.
 MOST = 4
 #: Bits of a sketch: the parity of the elements that fall on each, so sets that differ in d elements differ in at most d bits.
 SKETCH = 1024
@@ -130,10 +130,10 @@ def _sharing(x: Column, y: Column) -> Column:
     return of(x, y)
 
 
-def tile_links(left: list[tuple[int, int, int, np.ndarray]], right: Iterator[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
-    """Links between texts (node, group, fingerprint, set) of the left and the right side that join different groups.
+def tile_links(left: list[tuple[int, int, np.ndarray]], right: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+    """Links between the groups of texts (group, fingerprint, set) of the left and the right side.
 
-    One link for each pair of groups that the pairs of texts connect directly or through one another."""
+    One link for each pair of groups that the pairs of texts connect directly, and no other does so far."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -141,13 +141,13 @@ def tile_links(left: list[tuple[int, int, int, np.ndarray]], right: Iterator[tup
             x = up
         return x
 
-    nodes, groups = [x[0] for x in left], [x[1] for x in left]
-    fps, sizes = np.array([x[2] for x in left], np.int64).view(np.uint64), np.array([len(x[3]) for x in left])
-    tokens = np.concatenate([x[3] for x in left])
+    groups = [x[0] for x in left]
+    fps, sizes = np.array([x[1] for x in left], np.int64).view(np.uint64), np.array([len(x[2]) for x in left])
+    tokens = np.concatenate([x[2] for x in left])
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], np.repeat(np.arange(len(left)), sizes)[order]
     label = np.array(groups, np.int64)
-    for node, group, fp, s in right:
+    for group, fp, s in right:
         ok = np.bitwise_count(fps ^ np.uint64(fp & 0xFFFFFFFFFFFFFFFF)) <= RADIUS
         ok &= (label != root(group)) & (5 * sizes >= 4 * len(s)) & (4 * sizes <= 5 * len(s))
         if not ok.any():
@@ -159,19 +159,19 @@ def tile_links(left: list[tuple[int, int, int, np.ndarray]], right: Iterator[tup
         for i in np.flatnonzero(ok & similar(both, sizes, len(s))).tolist():
             a, b = root(groups[i]), root(group)
             if a != b:
-                yield nodes[i], node
+                yield a, b
                 parent[max(a, b)] = min(a, b)
                 label[label == max(a, b)] = min(a, b)
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (region, left, right, side, node, group, fp, set) sorted by the first four to links (a, b)."""
+    """From rows (region, left, right, side, group, fp, set) sorted by the first four to links (a, b) of groups."""
 
     def rows():
         for batch in batches:
             for at in range(0, batch.num_rows, PIECE):
                 part = batch.slice(at, PIECE)
-                yield from zip(*(part.column(i).to_pylist() for i in range(7)), _lists(part.column(7)))
+                yield from zip(*(part.column(i).to_pylist() for i in range(6)), _lists(part.column(6)))
 
     def close(left, right) -> pa.RecordBatch:
         found = np.array(list(tile_links(left, iter(right))) if left and right else [], np.int64).reshape(-1, 2)
@@ -188,27 +188,32 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close(*held)
 
 
-def _apart(regions: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """(region, node, group, fp, main) for the regions that hold several groups; main marks the largest; None if there are none."""
-    m = regions.join(groups, "node", "left").select("region", "node", F.coalesce("group", "node").alias("group"))
-    m = cut(m.join(nodes.select("node", "fp"), "node"))
-    sizes = m.groupBy("region", "group").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("region").agg(F.max_by("group", F.struct("n", "group")).alias("largest"), F.count("*").alias("groups"))
-    main = cut(main.where("groups > 1"))
-    if main.isEmpty():
+def _apart(spans: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """(region, node, group, fp, main) for the texts of dense regions that hold several groups; main marks the largest.
+
+    A region is what ``spans`` (a, b) connect; None if each is one group."""
+    of_a, of_b = (groups.select(F.col("node").alias(k), F.col("group").alias(f"group_{k}")) for k in "ab")
+    both = spans.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("group_a", "a").alias("a"), F.coalesce("group_b", "b").alias("b"))
+    between = cut(both.where("a <> b").distinct())
+    if between.isEmpty():
         return None
+    regions = simhash.components(between).select(F.col("node").alias("group"), F.col("root").alias("region"))
+    m = spans.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left").select("node", F.coalesce("group", "node").alias("group"))
+    m = cut(m.join(regions, "group").join(nodes.select("node", "fp"), "node"))
+    sizes = m.groupBy("region", "group").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("region").agg(F.max_by("group", F.struct("n", "group")).alias("largest"))
     return m.join(main, "region").select("region", "node", "group", "fp", (F.col("group") == F.col("largest")).alias("main"))
 
 
 def _region_links(apart: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
-    """Links between groups of a region: all texts outside its largest group against all of the region, in tiles."""
+    """Links (a, b) of groups of a region: all texts outside its largest group against all of the region, in tiles."""
     rows = cut(apart.join(sets, "node"))
     sizes = rows.groupBy("region").agg(F.ceil(F.count_if(~F.col("main")) / F.lit(tile)).cast("int").alias("lefts"), F.ceil(F.count("*") / F.lit(4 * tile)).cast("int").alias("rights"))
     rows = rows.join(sizes, "region")
 
     def dealt(side: int, one: Column, other: Column) -> DataFrame:
         some = rows.where(~F.col("main")) if side == 0 else rows
-        return some.select("region", one.alias("left"), other.alias("right"), F.lit(side).alias("side"), "node", "group", "fp", "set")
+        return some.select("region", one.alias("left"), other.alias("right"), F.lit(side).alias("side"), "group", "fp", "set")
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -221,18 +226,16 @@ def _region_links(apart: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFr
     return both.repartition(*key).sortWithinPartitions(*key, "side").mapInArrow(_tiles, "a long, b long")
 
 
-def links(docs: DataFrame, prints: DataFrame, unique: bool = False) -> DataFrame:
-    """Links (a, b) of nodes that connect all texts that are near and similar, and no others.
+def roots(docs: DataFrame, prints: DataFrame, unique: bool = False) -> DataFrame:
+    """(node, root) of the nodes that have links: the root is the same for what links connect, directly or not.
 
     ``docs`` has (id, text) and ``prints`` is what ``signed`` makes of it, stored; ``unique`` says that no id repeats."""
     nodes = cut(prints.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
     found = simhash.met(nodes, SEGMENTS, RADIUS, MOST)
     of_a, of_b = (nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
-    pairs = found.where(F.col("kind") == simhash.PAIR).select("a", "b").join(of_a, "a").join(of_b, "b")
+    pairs = found.select("a", "b").distinct().join(of_a, "a").join(of_b, "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
     # of na + nb elements of similar sets at most a ninth is in one set only
-    pairs = pairs.where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
     pairs = cut(pairs.where(9 * _differing(F.col("sketch_a"), F.col("sketch_b")) <= F.col("na") + F.col("nb")).select("a", "b"))
-    regions = simhash.components(found.where(F.col("kind") == simhash.SPAN).select("a", "b")).withColumnRenamed("root", "region")
 
     def sets_for(some: DataFrame) -> DataFrame:
         ids = cut(some.distinct().join(nodes, "node").select(F.col("id").alias("of")).distinct())
@@ -245,10 +248,13 @@ def links(docs: DataFrame, prints: DataFrame, unique: bool = False) -> DataFrame
     met = pairs.join(of_a, "a").join(of_b, "b")
     linked = cut(met.where(similar(_sharing(F.col("set_a"), F.col("set_b")), F.size("set_a"), F.size("set_b"))).select("a", "b"))
     groups = simhash.components(linked).withColumnRenamed("root", "group")
-    apart = _apart(regions, groups, nodes)
+    apart = _apart(found.where(F.col("kind") == simhash.SPAN).select("a", "b"), groups, nodes)
     if apart is None:
-        return linked
-    return cut(linked.unionByName(_region_links(apart, sets_for(apart.select("node")))))
+        return groups.withColumnRenamed("group", "root")
+    joined = simhash.components(_region_links(apart, sets_for(apart.select("node")))).select(F.col("node").alias("group"), "root")
+    moved = groups.join(joined, "group", "left").select("node", F.coalesce("root", "group").alias("root"))
+    single = joined.select(F.col("group").alias("node"), "root").join(groups.select("node"), "node", "left_anti")
+    return moved.unionByName(single)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +267,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     texts = plain.select(id_.alias("id"), text.alias("text"))
     prints = cut(signed(texts))
     unique = prints.groupBy("id").count().where("count > 1").isEmpty()
-    named = simhash.named_by(prints.select("id", F.col("node").alias("fp")), links(texts, prints, unique))
+    named = simhash.named_by(prints.select("id", F.col("node").alias("fp")), roots(texts, prints, unique))
     if unique:
         gone = cut(prints.join(named, prints.node == named.fp).where("not (id <=> component)").select("id"))
         gone = F.broadcast(gone) if gone.count() <= SENT else gone

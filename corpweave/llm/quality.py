@@ -93,29 +93,55 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
 
-def log_ratio(rows: list[np.ndarray], y: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
+class Rows:
+    """Feature rows end to end in one array, all or some of them."""
+
+    def __init__(self, flat: np.ndarray, ends: np.ndarray, which: np.ndarray | None = None):
+        self.flat, self.ends = flat, ends
+        self.which = np.arange(len(ends) - 1) if which is None else which
+
+    @classmethod
+    def of(cls, parts: list[bytes]) -> Rows:
+        return cls(np.frombuffer(b"".join(parts), "<u4").astype(np.int32, copy=False), np.append(0, np.cumsum([len(p) // 4 for p in parts])))
+
+    def __len__(self) -> int:
+        return len(self.which)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        k = self.which[i]
+        return self.flat[self.ends[k] : self.ends[k + 1]]
+
+    def some(self, which: np.ndarray) -> Rows:
+        return Rows(self.flat, self.ends, self.which[which])
+
+
+def log_ratio(rows: Rows, y: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
     """Log ratio of the smoothed shares of every slot's indicator in classes 1 and 0."""
     counts = {1: np.full(SLOTS, smooth), -1: np.full(SLOTS, smooth)}
-    for r, k in zip(rows, y):
-        counts[int(k)][r] += 1  # a row has each slot once
+    for i, k in enumerate(y):
+        counts[int(k)][rows[i]] += 1  # a row has each slot once
     p, q = counts[1], counts[-1]
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, cost: np.ndarray, ratio: np.ndarray, epochs: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
+def descend(rows: Rows, y: np.ndarray, cost: np.ndarray, ratio: np.ndarray, epochs: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
     """Linear hinge-loss model over scaled indicators by dual coordinate descent; weights by slot, and a bias."""
     w, b, alpha = np.zeros(SLOTS), 0.0, np.zeros(len(rows))
-    scale = [(ratio[r] / math.sqrt(max(len(r), 1))).astype(np.float32) for r in rows]
-    norm = np.array([float(x @ x) + 1.0 for x in scale])
+    at = np.append(0, np.cumsum([len(rows[i]) for i in range(len(rows))]))
+    scale = np.empty(at[-1], np.float32)
+    for i in range(len(rows)):
+        scale[at[i] : at[i + 1]] = ratio[rows[i]] / math.sqrt(max(len(rows[i]), 1))
+    norm = np.array([float(scale[a:b] @ scale[a:b]) + 1.0 for a, b in zip(at, at[1:])])
     order, rng = np.arange(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         rng.shuffle(order)
         moved = 0.0
         for i in order:
-            g = y[i] * (w[rows[i]] @ scale[i] + b) - 1
+            row, x = rows[i], scale[at[i] : at[i + 1]]
+            g = y[i] * (w[row] @ x + b) - 1
             new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
             if (step := new - alpha[i]) != 0:
-                w[rows[i]] += step * y[i] * scale[i]
+                w[row] += step * y[i] * x
                 b += step * y[i]
                 alpha[i] = new
                 moved = max(moved, abs(step) * norm[i])
@@ -141,7 +167,7 @@ def logistic(margins: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[floa
     return float(a), float(c)
 
 
-def fit(rows: list[np.ndarray], labels: list[int], prior: float | None = None, cost: float = 1.0) -> Model:
+def fit(rows: Rows, labels: list[int], prior: float | None = None, cost: float = 1.0) -> Model:
     """A model from feature rows and 0/1 labels; ``prior`` is the share of label 1 among all labelled rows, where the
     sample's differs."""
     y = np.where(np.array(labels) > 0, 1.0, -1.0)
@@ -151,7 +177,7 @@ def fit(rows: list[np.ndarray], labels: list[int], prior: float | None = None, c
     costs = np.where(y > 0, cost * 0.5 / share, cost * 0.5 / (1 - share))
 
     def one(which: np.ndarray) -> tuple[np.ndarray, float]:
-        some = [rows[i] for i in which]
+        some = rows.some(which)
         return descend(some, y[which], costs[which], log_ratio(some, y[which]))
 
     held = np.zeros(len(y))
@@ -193,12 +219,12 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         near = known.where(F.col("label") == c).select("id", F.xxhash64(F.lit("quality"), "id").alias("at"))
         chosen |= {r[0]: c for r in near.orderBy("at", "id").limit(sample).collect()}
     if len(counts) < 2:
-        return fit([], [])
+        return fit(Rows.of([]), [])
     wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], known.select("id").schema)  # at most 2 * sample ids
     found = plain.join(F.broadcast(wanted), "id").select("id", features_column(F.col("text")).alias("slots"))
-    taken = [(str(r[0]), np.frombuffer(r[1], "<u4").astype(np.int32), chosen[r[0]]) for r in cut(found).toLocalIterator()]
-    taken.sort(key=lambda x: (x[0], x[1].tobytes()))
-    rows, y = [x[1] for x in taken], [x[2] for x in taken]
+    taken = sorted((str(r[0]), bytes(r[1]), chosen[r[0]]) for r in cut(found).toLocalIterator())
+    rows, y = Rows.of([x[1] for x in taken]), [x[2] for x in taken]
+    del taken
     total = sum(counts.values())
     return fit(rows, y, prior=counts[1] / total)
 

@@ -104,11 +104,12 @@ def _keys(batches: Iterator[pa.RecordBatch], segments: tuple[tuple[int, int], ..
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(0).take(at_), part.column(1).take(at_)], names=["key", "node", "fp"])
 
 
-def bucket_links(level: np.ndarray, node: np.ndarray, fp: np.ndarray, reach: int, radius: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def bucket_links(level: np.ndarray, node: np.ndarray, fp: np.ndarray, reach: int, mask: int, radius: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(a, b, kind) for the rows of a bucket, sorted by level: what its nodes within ``radius`` bits are to one another.
 
-    A node with up to ``most`` others gives a PAIR with each. One with more gives PAIRs with the ``most`` nearest, and
-    SPANs that connect it with all of them; a bucket has fewer SPANs than nodes."""
+    Two nodes meet here if the bucket's value is the union of theirs, so once in a segment, whose bits are ``mask``. A node
+    with up to ``most`` others gives a PAIR with each. One with more gives SPANs that connect it with all of them, to the
+    nearest in each component that it touches; a bucket has fewer SPANs than nodes."""
     label = np.unique(node, return_inverse=True)[1]
     starts = np.searchsorted(level, np.arange(reach + 2))
     for own in range(reach // 2 + 1):  # levels that add up to the segment's radius at most
@@ -118,8 +119,11 @@ def bucket_links(level: np.ndarray, node: np.ndarray, fp: np.ndarray, reach: int
             some = fp[at : min(at + step, int(starts[own + 1]))]
             away = np.bitwise_count(some[:, None] ^ fp[begin:end])
             i, j = np.nonzero(away <= radius)
-            after = (j + begin > i + at) & (node[j + begin] != node[i + at])
+            after = j + begin > i + at
             i, j = i[after], j[after]
+            union = own + level[j + begin] == np.bitwise_count((some[i] ^ fp[j + begin]) & np.uint64(mask))
+            union &= node[j + begin] != node[i + at]
+            i, j = i[union], j[union]
             if not len(i):
                 continue
             many = np.bincount(i, minlength=len(some))
@@ -130,13 +134,11 @@ def bucket_links(level: np.ndarray, node: np.ndarray, fp: np.ndarray, reach: int
             ends = np.cumsum(many)
             for x in np.flatnonzero(open_):
                 near = j[ends[x] - many[x] : ends[x]]
-                if most:
-                    nearest = near[np.lexsort((node[near + begin], away[x, near]))][:most]
-                    yield np.repeat(node[x + at], len(nearest)), node[nearest + begin], PAIR
+                near = near[label[near + begin] != label[x + at]]
+                near = near[np.lexsort((node[near + begin], away[x, near]))]
                 labels, first = np.unique(label[near + begin], return_index=True)
-                new = labels != label[x + at]
-                if new.any():
-                    yield np.repeat(node[x + at], int(new.sum())), node[near[first[new]] + begin], SPAN
+                if len(labels):
+                    yield np.repeat(node[x + at], len(labels)), node[near[first] + begin], SPAN
                     joined = np.append(labels, label[x + at])
                     label[np.isin(label, joined)] = joined.min()
 
@@ -146,6 +148,8 @@ def _met(batches: Iterator[pa.RecordBatch], segments: tuple[tuple[int, int], ...
 
     A bucket of more than ``large`` rows gives (key without level, 0, TOO_LARGE) instead, unless ``tiled``."""
     out: list[tuple[np.ndarray, np.ndarray, int]] = []
+    ends = np.cumsum([0, *(bits for bits, _ in segments)]).tolist()
+    masks = [((1 << bits) - 1) << at for (bits, _), at in zip(segments, ends)]
 
     def emit() -> pa.RecordBatch:
         rows = np.concatenate([np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(a), kind)]) for a, b, kind in out], axis=1) if out else np.zeros((3, 0), np.int64)
@@ -161,8 +165,8 @@ def _met(batches: Iterator[pa.RecordBatch], segments: tuple[tuple[int, int], ...
             if e - s > large and not tiled:
                 out.append((np.array([key[s] >> 2]), np.array([np.iinfo(np.int64).max]), TOO_LARGE))
             else:
-                order = np.argsort(key[s:e] & 3, kind="stable")
-                out.extend(bucket_links((key[s:e] & 3)[order], node[s:e][order], fp[s:e][order], segments[key[s] >> 48][1], radius, most))
+                order, tag = np.argsort(key[s:e] & 3, kind="stable"), int(key[s] >> 48)
+                out.extend(bucket_links((key[s:e] & 3)[order], node[s:e][order], fp[s:e][order], segments[tag][1], masks[tag], radius, most))
 
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
@@ -222,34 +226,38 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     Alternates large-star and small-star steps, which need a number of rounds logarithmic in a chain's length; each
     round is checkpointed, so that a lost executor costs one round at most."""
+
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(rounds):
+    before = state(e)
+    for _ in range(rounds if before[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = cut(small)
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = state(e)
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError(f"components have not settled in {rounds} rounds")
+        if before[0]:
+            raise RuntimeError(f"components have not settled in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root, component) for the distinct fingerprints of (id, fp): the root is the same in a component, and the
     component is its smallest id."""
-    return named_by(prints, links(prints.select("fp").distinct(), radius))
+    return named_by(prints, components(links(prints.select("fp").distinct(), radius)))
 
 
-def named_by(prints: DataFrame, edges: DataFrame) -> DataFrame:
-    """As ``classes``, for given links (a, b) of the fingerprints."""
+def named_by(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """As ``classes``, for given (node, root) of the fingerprints that are linked."""
     least = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = components(edges)
     linked = cut(roots.join(least, roots.node == least.fp).select("node", "root", "least"))
     # on its own, so that the join with a root that very many fingerprints have can be split
     smallest = cut(linked.groupBy("root").agg(F.min("least").alias("component")))

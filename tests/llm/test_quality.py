@@ -18,6 +18,35 @@ def test_held_out_quality(spark):
     assert np.mean([s >= 0.7 for s in good]) >= 0.99
 
 
+def test_whole_query_equals_plain_python(spark, sf):
+    """Learned from the same labels and features by the plain formulas, every score of the table is the same."""
+    rows = {r.doc_id: r for r in queries.queries()["op8_quality"](spark, sf).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    marks = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r.quality in (0, 1):
+            marks[r.doc_id] = min(r.quality, marks.get(r.doc_id, 1))
+    known = sorted((i for i in marks if i in texts and zlib.crc32(str(i).encode()) % 4 != 2), key=str)
+    assert max(sum(marks[i] == c for i in known) for c in (0, 1)) <= Q.SAMPLE
+    slots = {i: sorted(brute(texts[i]) | runs(texts[i])) for i in texts}
+    order = sorted(known, key=lambda i: (str(i), np.array(slots[i], "<u4").tobytes()))
+    model = Q.fit(Q.Rows.of([np.array(slots[i], "<u4").tobytes() for i in order]), [marks[i] for i in order], prior=sum(marks[i] for i in known) / len(known))
+    for i in texts:
+        margin = sum(model.weights[k] for k in slots[i]) / max(len(slots[i]), 1) ** 0.5 + model.bias
+        score = 1 / (1 + np.exp(-(model.slope * margin + model.shift)))
+        assert abs(rows[i].score - score) < 1e-4 and rows[i].predicted == int(rows[i].score >= 0.7)
+
+
+def runs(data):
+    """Slots of repeated words and lines, by plain search."""
+    low, out = data.lower(), set()
+    for first, parts in ((Q.HASHED, low.split()), (Q.HASHED + Q.RUNS, [x for x in low.split(b"\n") if x.strip()])):
+        for k in range(1, Q.RUNS + 1):
+            if any(len(set(parts[i : i + 2**k])) == 1 for i in range(len(parts) - 2**k + 1)):
+                out.add(first + k - 1)
+    return out
+
+
 def brute(data):
     whole = b" " + data + b" "
     grams = {whole[i : i + n] for n in Q.SIZES for i in range(len(whole) - n + 1)}
@@ -42,14 +71,15 @@ def test_features_equal_plain_search(monkeypatch):
 
 def test_descent_reaches_the_optimum():
     rng = np.random.default_rng(0)
-    rows = [np.sort(rng.choice(30, 8, replace=False)) for _ in range(60)]
-    y = np.array([1.0 if 3 in r or 5 in r else -1.0 for r in rows])
+    plain = [np.sort(rng.choice(30, 8, replace=False)) for _ in range(60)]
+    y = np.array([1.0 if 3 in r or 5 in r else -1.0 for r in plain])
+    rows = Q.Rows.of([r.astype("<u4").tobytes() for r in plain])
     ratio = np.zeros(Q.SLOTS)
     ratio[:30] = rng.normal(size=30) + 1
     cost = np.full(60, 0.7)
     w, b = Q.descend(rows, y, cost, ratio, epochs=3000)
     x = np.zeros((60, 31))
-    for i, r in enumerate(rows):
+    for i, r in enumerate(plain):
         x[i, r] = ratio[r] / np.sqrt(8)
         x[i, 30] = 1
     v = np.append(np.divide(w[:30], ratio[:30]), b)
