@@ -139,8 +139,8 @@ with p as (
   select *, 'sha256:' || sha256(payload) as payload_digest from p
 ), r as (
   select *, sha256(concat_ws('|', coalesce(cast(page_id as varchar), ''), target_uri, payload_digest)) as h,
-    regexp_extract_all(payload, '(?i)<a\\b[^>]*?\\bhref="([^"]*)"', 1) as links,
-    regexp_replace(regexp_extract(payload, '(?is)<title\\b[^>]*>(.*?)</title[ \\t\\r\\n\\f]*>', 1), '[ \\t\\r\\n\\f]+', ' ', 'g') as title from d
+    [regexp_extract(x, '{warc.HREF}', 1) for x in regexp_extract_all(payload, '{warc.ANCHOR}') if regexp_matches(x, '{warc.HREF}')] as links,
+    regexp_replace(regexp_extract(payload, '{warc.TITLE}', 1), '[ \\t\\r\\n\\f]+', ' ', 'g') as title from d
 ), k as (
   select page_id, 'metadata' as type, {uuid("h")} as refers_to, target_uri, payload_digest,
     concat_ws(chr(10), 'title: ' || title, 'source-digest: ' || payload_digest, 'source-http: HTTP/1.1 200 OK; Content-Type: text/html; charset=utf-8',

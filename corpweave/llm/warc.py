@@ -2,7 +2,10 @@
 
 Records are rows: (type, record_id, refers_to, target_uri, date, headers, block, block_digest, payload_digest). A
 derivative names its response in refers_to and keeps its target, date, source headers and payload digest. All steps
-are DataFrame functions; files are written and read by Spark's text source, so they may be in any store it reads.
+are DataFrame functions, and each pattern reads a page once: what is not closed ends with the page. Pages come
+without a status or headers of their own, so those of ``responses`` are constants. Files are written by Spark's text
+source and read record by record by the length in the header, so files of other tools can be read too: of any version, with a member
+for each record, and with blocks that are no text.
 
 Defined results: a null page has an empty block and an identifier of its own; a null URL is an empty one; repeated
 responses give repeated derivatives; a page without text has an empty conversion; an empty table gives no rows; other
@@ -11,6 +14,11 @@ columns are ignored.
 
 from __future__ import annotations
 
+import gzip
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +28,11 @@ END = "\r\n\r\n"
 
 #: Fixed steps from HTML to text, in this order: (pattern, replacement). They mean the same to Java and RE2.
 STEPS = [
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<script\b[^>]*>.*?</script[ \t\r\n\f]*>", ""),
-    (r"(?is)<style\b[^>]*>.*?</style[ \t\r\n\f]*>", ""),
-    (r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|blockquote|pre)\b[^>]*>", "\n"),
-    (r"<[^>]*>", ""),
+    (r"(?s)<!--.*?(?:-->|\z)", ""),
+    (r"(?is)<script\b[^>]*(?:>.*?(?:</script[ \t\r\n\f]*>|\z)|\z)", ""),
+    (r"(?is)<style\b[^>]*(?:>.*?(?:</style[ \t\r\n\f]*>|\z)|\z)", ""),
+    (r"(?i)</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|article|section|nav|header|footer|title|blockquote|pre)\b[^>]*(?:>|\z)", "\n"),
+    (r"<[A-Za-z/!?][^>]*(?:>|\z)", ""),
     (r"&nbsp;", " "),
     (r"&lt;", "<"),
     (r"&gt;", ">"),
@@ -37,6 +45,11 @@ STEPS = [
 ]
 
 
+TITLE = r"(?is)<title\b[^>]*(?:>(.*?)(?:</title[ \t\r\n\f]*>|\z)|\z)"
+#: A link's tag, and its target within the tag.
+ANCHOR, HREF = r"(?i)<a\b[^>]*(?:>|\z)", r'(?i)\bhref="([^"]*)"'
+
+
 def plain_text(html: Column) -> Column:
     for pattern, replacement in STEPS:
         html = F.regexp_replace(html, pattern, replacement)
@@ -76,8 +89,8 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 def derivatives(records: DataFrame) -> DataFrame:
     """A metadata and a conversion record for each response record among ``records``."""
     r = records.where("type = 'response'")
-    title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title\b[^>]*>(.*?)</title[ \t\r\n\f]*>", 1), r"[ \t\r\n\f]+", " ")
-    links = F.regexp_extract_all("payload", F.lit(r'(?i)<a\b[^>]*?\bhref="([^"]*)"'), 1)
+    title = F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"[ \t\r\n\f]+", " ")
+    links = F.transform(F.filter(F.regexp_extract_all("payload", F.lit(ANCHOR), 0), lambda x: x.rlike(HREF)), lambda x: F.regexp_extract(x, HREF, 1))
     lines = F.concat_ws("\n", F.concat(F.lit("title: "), title), F.concat(F.lit("source-digest: "), F.col("payload_digest")), F.concat(F.lit("source-http: "), F.regexp_replace("http", "\r\n", "; ")), F.when(F.size(links) > 0, F.concat_ws("\n", F.transform(links, lambda x: F.concat(F.lit("outlink: "), x)))))
     kinds = F.array(
         F.struct(F.lit("metadata").alias("type"), F.lit("application/warc-fields").alias("content_type"), lines.alias("block")),
@@ -127,12 +140,38 @@ def write(records: DataFrame, path: str, compression: str = "gzip") -> None:
     lines_of(records).write.option("lineSep", END).option("compression", compression).text(path)
 
 
+def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of the records of a WARC file, plain or of gzip members."""
+    f = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    while line := f.readline():
+        if not line.strip():
+            continue
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"not the start of a WARC record: {line[:80]!r}")
+        headers, last = {"warc-version": line.strip().decode()[5:]}, None
+        while (line := f.readline()).strip():
+            if line[:1] in b" \t" and last:  # goes on from the line before
+                headers[last] += " " + line.decode("utf-8", "replace").strip()
+            else:
+                name, _, value = line.decode("utf-8", "replace").partition(":")
+                headers[last := name.strip().lower()] = value.strip()
+        size = int(headers["content-length"])
+        block = f.read(size)
+        if len(block) != size:
+            raise ValueError("a WARC block is not as long as its header says")
+        yield headers, block
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(headers, block) of WARC files that ``write`` made; fails where a block is not as long as its header says."""
-    raw = spark.read.option("lineSep", f"{END}{VERSION}\r\n").text(path)
-    value = F.regexp_replace(F.regexp_replace("value", rf"^{VERSION}\r\n", ""), r"\r\n\r\n$", "")
-    rows = raw.select(value.alias("v")).withColumn("at", F.instr("v", "\r\n\r\n"))
-    headers = F.expr(r"transform_keys(str_to_map(substr(v, 1, at - 1), '\r\n', ': '), (k, x) -> lower(k))")
-    rows = rows.select(headers.alias("headers"), F.expr("substr(v, at + 4)").alias("block"))
-    whole = F.octet_length("block") == F.col("headers")["content-length"].cast("long")
-    return rows.withColumn("block", F.when(whole, F.col("block")).otherwise(F.raise_error(F.lit("a WARC block is not as long as its header says"))))
+    """(headers, block) of WARC files of any tool, the block in bytes; fails where a file is cut short.
+
+    A file is a task, as gzip members can't be found from the middle of one; its compressed bytes are held, its records one at a time."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                for headers, block in records_of(data.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array([list(headers.items())], pa.map_(pa.string(), pa.string())), pa.array([block], pa.binary())], names=["headers", "block"])
+
+    return files.mapInArrow(run, "headers map<string,string>, block binary")
