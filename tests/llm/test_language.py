@@ -1,5 +1,6 @@
 import zlib
 
+import xxhash
 import zstandard
 
 from corpweave.llm import language as L
@@ -29,6 +30,43 @@ def test_equals_plain_compression(spark, sf):
         assert f.margin == max(sizes.values()) - min(sizes.values()) and f.rejected == (f.score < L.MARGIN)
 
 
+def test_whole_query_equals_plain_python(spark, sf):
+    """Learning and choice again, with a loop over all rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    train = [r for r in docs if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None]
+    seed = xxhash.xxh64_intdigest(b"language", 42)
+
+    def spot(i):
+        return (xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed) >> 11) / 2**53
+
+    learned, by = {}, {}
+    for r in train:
+        by.setdefault(r.lang, []).append(r)
+    for lang, rows in sorted(by.items(), key=lambda x: (-len(x[1]), x[0])):
+        size, parts = 0, []
+        for k, r in enumerate(sorted(rows, key=lambda r: (spot(r.doc_id), r.text))[: L.SAMPLE]):
+            size += len(r.text.encode())
+            if size <= L.DICTIONARY or k == 0:
+                parts.append(L.folded(r.text))
+        learned[lang] = b"".join(reversed(parts))
+    assert L.dictionaries(spark.createDataFrame(train)) == learned and list(learned) == list(L.dictionaries(spark.createDataFrame(train)))
+    model = L.Languages(learned)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in Q.queries()["op2_language_id"](spark, sf).collect()}
+    assert got == {r.doc_id: model.choose(r.text)[:2] for r in docs}
+
+
+def test_letters():
+    assert L.folded("½ ²①Ⅷ 7 \u0301 _-") == b"" and L.folded("A½b") == b" a b " and L.folded("ª") == " ª ".encode()
+    model = L.Languages({"a": b" the ", "b": b" der "})
+    assert [model.choose(t)[0] for t in ("½ ²", "①②", "", None, "\u0301", "the")] == ["und"] * 5 + ["a"]
+
+
+def test_all_languages_are_learned(spark):
+    docs = spark.range(600).selectExpr("id as doc_id", "concat('l', id % 150) as lang", "concat('word', id % 150, ' and so on ', id) as text")
+    learned = L.dictionaries(docs)
+    assert len(learned) == 150 and all(d.count(b" and so on ") == 4 for d in learned.values())
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "en"), (2, "", None), (3, "123 $$ 4", "en"), (4, "the cat and the dog", "en"), (4, "the cat and the dog", "en"), (None, "der Hund und die Katze", "de"), (6, "the " * 100000, "en"), (7, "中文 текст", "zz")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as score", "2 as `a.b`")
@@ -43,6 +81,9 @@ def test_odd_rows(spark):
     assert docs.limit(0).select(L.identify(L.F.col("text"), learned)).count() == 0
 
 
-def test_dictionary_is_bounded(spark):
+def test_dictionary_is_bounded_and_texts_are_whole(spark):
     docs = spark.range(5000).selectExpr("id as doc_id", "concat('word', id, ' ', repeat('abc ', 50)) as text", "'en' as lang")
-    assert len(L.dictionaries(docs, sample=100, size=4096)["en"]) <= 4096
+    d = L.dictionaries(docs, sample=100, size=4096)["en"]
+    assert 3000 < len(d) <= 4096 and d.count(b" abc") % 50 == 0
+    assert L.dictionaries(docs, sample=7, size=1 << 20)["en"].count(b" word") == 7
+    assert len(L.dictionaries(docs, size=1)["en"]) > 200
