@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents that the one before it kept, and returns a DataFrame;
 all but the last return the columns of ``documents``. ``run`` writes each stage's result in the shared folder as
-Parquet and reads it again as the next one's input; a table is deleted once the stage after it is written.
+Parquet and reads it again as the next one's input; a table is deleted once the stage after it is written, the last one
+too, since the result is a checkpoint.
 """
 
 from __future__ import annotations
@@ -70,9 +71,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
-            return out
-        out.write.parquet(now := f"{at}/{k}-{name}")
+            docs, now = cut(out), at
+        else:
+            out.write.parquet(now := f"{at}/{k}-{name}")
+            docs = spark.read.parquet(now)
         if before:
             removed(spark, before)
-        docs, before = spark.read.parquet(now), now
+        before = now
+    removed(spark, at)
     return docs
