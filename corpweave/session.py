@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
-    """A session with UTC timestamps and adaptive execution; ``conf`` uses ``__`` for dots."""
+    """A session with UTC timestamps, adaptive execution and checkpoints that go with what they hold; ``conf`` uses ``__`` for dots."""
     b = SparkSession.builder.appName("corpweave")
     if master:
         b = b.master(master)
@@ -18,15 +18,20 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return b.config(map=settings).getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``, or the one that the context has already.
+
+    A temporary folder serves in local mode alone; on a cluster executors would not see it, so there it is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpweave-"))
     return named or sc.getCheckpointDir()
 
