@@ -209,7 +209,7 @@ def sta_16(spark, sf_dir):
     """STA-16: first principal component of standardised text features, its sign so that it rises with sentence length."""
     from corpweave.functions.text import linguistic_rates
 
-    names = ["hedge_rate", "deontic_rate", "first_person_rate", "nominal_rate", "mean_sentence_length"]
+    names = ["hedge_rate", "deontic_rate", "passive_proxy_rate", "first_person_rate", "nominal_rate", "mean_sentence_length"]
     f = table(spark, sf_dir, "documents").select("doc_id", linguistic_rates(F.col("text")).alias("r")).select("doc_id", *(F.coalesce(f"r.{c}", F.lit(0.0)).alias(c) for c in names))
     m = f.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(names)), *(F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(names)), *(F.covar_pop(a, b).alias(f"c{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names))).first()
     sd = np.array([m[f"s{i}"] or 0.0 for i in range(len(names))])

@@ -21,7 +21,7 @@ DECORATED = """(['© 2020 Some Press Ltd' || chr(10), '  ;: ', 'All Rights Reser
 
 
 def _removed(t: str, leading: bool) -> str:
-    for p in (r"(?i)©\s*\d{4}[^\n]*", r"(?i)all rights reserved\.?", r"https?://\S+", r"\S+@\S+\.\S+", r"(?i)doi:\s*\S+"):
+    for p in (r"(?i)©\s*\d{4}[^\n]*", r"(?i)all rights reserved\.?", r"https?://\S+", r"\S+@\S+\.\S+", r"\b(doi|DOI):\s*\S+"):
         t = f"regexp_replace({t}, '{p}', ' ', 'g')"
     if leading:
         t = rf"regexp_replace({t}, '^[\s\.,;:\-]+', '')"
@@ -185,18 +185,22 @@ def _rate(words: str) -> str:
     return f"case when n > 0 then round(1000.0 * len([x for x in w if {words}]) / n, 6) end"
 
 
+_BE = "('am', 'is', 'are', 'was', 'were', 'be', 'been', 'being')"
+
+
 @query("scl_18_linguistic_rates", f"""
-with a as (select doc_id, text, regexp_extract_all(lower(text) || ' we may not', '[a-z]+') as w from documents),
-b as (select *, len(w) as n, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) as s from a)
+with a as (select doc_id, text, regexp_extract_all(lower(text) || ' we may not be fully taken. it was seen', '[a-z]+') as w from documents),
+b as (select *, len(w) as n, greatest(len(regexp_extract_all(text || ' we may not be fully taken. it was seen', '[.!?]+')), 1) as s from a)
 select doc_id, {_rate("x in ('may', 'might', 'could', 'suggests', 'appears', 'potentially', 'likely')")} as hedge_rate,
   {_rate("x in ('must', 'shall', 'should', 'will')")} as deontic_rate,
   {_rate("x in ('i', 'me', 'my', 'mine', 'we', 'us', 'our', 'ours', 'ourselves')")} as first_person_rate,
-  {_rate("regexp_matches(x, '^[a-z]+(?:tion|ment|ness)$')")} as nominal_rate,
+  {_rate("regexp_matches(x, '^\\w+(tion|ment|ness)$')")} as nominal_rate,
+  case when n > 0 then round(1000.0 * len([x for x in list_zip(w, list_concat([''], w), list_concat(['', ''], w)) if regexp_matches(x[1], 'e[dn]$') and (x[2] in {_BE} or x[2] like '%ly' and x[3] in {_BE})]) / n, 6) end as passive_proxy_rate,
   case when n > 0 then round(n / s, 6) end as mean_sentence_length from b""")
 def scl_18(spark, sf_dir):
-    """SCL-18: linguistic rates for each thousand words (the passive needs a tagger and is left out)."""
-    rows = _docs(spark, sf_dir).select("doc_id", X.linguistic_rates(F.concat("text", F.lit(" we may not"))).alias("r"))
-    return rows.select("doc_id", *(F.round(f"r.{c}", 6).alias(c) for c in ("hedge_rate", "deontic_rate", "first_person_rate", "nominal_rate", "mean_sentence_length")))
+    """SCL-18: linguistic rates for each thousand words (a proxy by word forms for the passive, which needs a tagger)."""
+    rows = _docs(spark, sf_dir).select("doc_id", X.linguistic_rates(F.concat("text", F.lit(" we may not be fully taken. it was seen"))).alias("r"))
+    return rows.select("doc_id", *(F.round(f"r.{c}", 6).alias(c) for c in ("hedge_rate", "deontic_rate", "first_person_rate", "nominal_rate", "passive_proxy_rate", "mean_sentence_length")))
 
 
 @query("scl_19_display", """
