@@ -13,7 +13,7 @@ gives no rows; equal margins have equal scores.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,15 +94,19 @@ class Model:
 
 
 class Rows:
-    """Feature rows end to end in one array, all or some of them."""
+    """Feature rows end to end in one array, all or some of them in an order of their own."""
 
     def __init__(self, flat: np.ndarray, ends: np.ndarray, which: np.ndarray | None = None):
         self.flat, self.ends = flat, ends
         self.which = np.arange(len(ends) - 1) if which is None else which
 
     @classmethod
-    def of(cls, parts: list[bytes]) -> Rows:
-        return cls(np.frombuffer(b"".join(parts), "<u4").astype(np.int32, copy=False), np.append(0, np.cumsum([len(p) // 4 for p in parts])))
+    def of(cls, parts: Iterable[bytes]) -> Rows:
+        held, ends = bytearray(), [0]
+        for p in parts:
+            held += p
+            ends.append(len(held) // 4)
+        return cls(np.frombuffer(held, "<i4"), np.array(ends))
 
     def __len__(self) -> int:
         return len(self.which)
@@ -125,29 +129,29 @@ def log_ratio(rows: Rows, y: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
 
 
 def descend(rows: Rows, y: np.ndarray, cost: np.ndarray, ratio: np.ndarray, epochs: int = 30, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Linear hinge-loss model over scaled indicators by dual coordinate descent; weights by slot, and a bias."""
-    w, b, alpha = np.zeros(SLOTS), 0.0, np.zeros(len(rows))
-    at = np.append(0, np.cumsum([len(rows[i]) for i in range(len(rows))]))
-    scale = np.empty(at[-1], np.float32)
-    for i in range(len(rows)):
-        scale[at[i] : at[i + 1]] = ratio[rows[i]] / math.sqrt(max(len(rows[i]), 1))
-    norm = np.array([float(scale[a:b] @ scale[a:b]) + 1.0 for a, b in zip(at, at[1:])])
+    """Linear hinge-loss model over scaled indicators by dual coordinate descent; weights by slot, and a bias.
+
+    The weights are kept as they apply to the bare indicators: each is the model's weight times its slot's ratio."""
+    w, b, alpha, square = np.zeros(SLOTS), 0.0, np.zeros(len(rows)), ratio * ratio
+    size = np.array([max(len(rows[i]), 1) for i in range(len(rows))])
+    norm = np.array([square[rows[i]].sum() for i in range(len(rows))]) / size + 1.0
+    root = np.sqrt(size)
     order, rng = np.arange(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         rng.shuffle(order)
         moved = 0.0
         for i in order:
-            row, x = rows[i], scale[at[i] : at[i + 1]]
-            g = y[i] * (w[row] @ x + b) - 1
+            row = rows[i]
+            g = y[i] * (w[row].sum() / root[i] + b) - 1
             new = min(max(alpha[i] - g / norm[i], 0.0), cost[i])
             if (step := new - alpha[i]) != 0:
-                w[row] += step * y[i] * x
+                w[row] += step * y[i] / root[i] * square[row]
                 b += step * y[i]
                 alpha[i] = new
                 moved = max(moved, abs(step) * norm[i])
         if moved < 1e-3:
             break
-    return w * ratio, b
+    return w, b
 
 
 def logistic(margins: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
@@ -222,9 +226,16 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         return fit(Rows.of([]), [])
     wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], known.select("id").schema)  # at most 2 * sample ids
     found = plain.join(F.broadcast(wanted), "id").select("id", features_column(F.col("text")).alias("slots"))
-    taken = sorted((str(r[0]), bytes(r[1]), chosen[r[0]]) for r in cut(found).toLocalIterator())
-    rows, y = Rows.of([x[1] for x in taken]), [x[2] for x in taken]
-    del taken
+    names: list[tuple[str, int]] = []
+
+    def parts() -> Iterator[bytes]:
+        for r in cut(found).toLocalIterator():
+            names.append((str(r[0]), r[0]))
+            yield r[1]
+
+    rows = Rows.of(parts())
+    order = sorted(range(len(names)), key=lambda i: (names[i][0], rows[i].tobytes()))
+    rows, y = rows.some(np.array(order, np.int64)), [chosen[names[i][1]] for i in order]
     total = sum(counts.values())
     return fit(rows, y, prior=counts[1] / total)
 

@@ -29,7 +29,7 @@ def test_whole_query_equals_plain_python(spark, sf):
     known = sorted((i for i in marks if i in texts and zlib.crc32(str(i).encode()) % 4 != 2), key=str)
     assert max(sum(marks[i] == c for i in known) for c in (0, 1)) <= Q.SAMPLE
     slots = {i: sorted(brute(texts[i]) | runs(texts[i])) for i in texts}
-    order = sorted(known, key=lambda i: (str(i), np.array(slots[i], "<u4").tobytes()))
+    order = sorted(known, key=lambda i: (str(i), np.array(slots[i], "<i4").tobytes()))
     model = Q.fit(Q.Rows.of([np.array(slots[i], "<u4").tobytes() for i in order]), [marks[i] for i in order], prior=sum(marks[i] for i in known) / len(known))
     for i in texts:
         margin = sum(model.weights[k] for k in slots[i]) / max(len(slots[i]), 1) ** 0.5 + model.bias
