@@ -12,6 +12,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpweave.operators.ranges import among_first, running
+from corpweave.session import cut
+
 
 def join_or_fail(left: DataFrame, right: DataFrame, key: str, proof: str) -> DataFrame:
     """Inner join by key that raises where ``left`` has a key that ``right`` has not; ``proof`` is never null in ``right``."""
@@ -60,12 +63,20 @@ def first_of_equal(df: DataFrame, key: Column, order: list[Column], kept: list[s
     return df.groupBy(key.alias("__key")).agg(F.min(named).alias("m")).select("m.row.*")
 
 
-def average_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
+#: Up to so many distinct values, one window ranks a group; beyond, the values are ranked in ranges.
+ONE_WINDOW = 1_000_000
+
+
+def average_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None, most: int = ONE_WINDOW) -> DataFrame:
     """Rank from one, ties by their average; ranked over counts of distinct values and joined back."""
     by = by or []
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    below = F.sum("__n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.withColumn(name, F.coalesce(below, F.lit(0)) + (F.col("__n") + 1) / 2.0).drop("__n")
+    counts = cut(df.groupBy(*by, value).agg(F.count("*").alias("__n")))
+    if counts.count() > most:
+        below = running(counts, by, value, ["__n"])
+    else:
+        smaller = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        below = counts.withColumn("__n_before", F.coalesce(F.sum("__n").over(smaller), F.lit(0)))
+    ranks = below.withColumn(name, F.col("__n_before") + (F.col("__n") + 1) / 2.0).drop("__n", "__n_before")
     return df.join(ranks, [*by, value])
 
 
@@ -87,9 +98,9 @@ def sampled(df: DataFrame, n: int, order: Column, tie: str) -> DataFrame:
 
 
 def balanced(df: DataFrame, by: list[str], order: Column, tie: str) -> DataFrame:
-    """As many rows of each group as the smallest group has."""
+    """As many rows of each group as the smallest group has, the first by ``order``, an MD5."""
     least = df.groupBy(*by).count().agg(F.min("count")).first()[0] or 0
-    return capped(df, by, least, order, tie)
+    return among_first(df, by, order, tie, F.lit(least), "__first").where("__first").drop("__first")
 
 
 def ladder(df: DataFrame, tiers: list[int], draws: int, seed: int, key: str) -> DataFrame:
@@ -104,8 +115,7 @@ def ladder(df: DataFrame, tiers: list[int], draws: int, seed: int, key: str) ->
 
 
 def grouped_split(df: DataFrame, group: str, by: list[str], class_col: str, first: str, order: Column, share: float) -> DataFrame:
-    """Adds ``test``: groups are split within ``by`` and the class of their first row, so none crosses."""
+    """Adds ``test``: groups are split within ``by`` and the class of their first row, so none crosses; ``order`` is an MD5."""
     g = df.groupBy(group, *by).agg(F.min_by(class_col, first).alias("__class"))
-    w = Window.partitionBy(*by, "__class")
-    g = g.withColumn("test", F.row_number().over(w.orderBy(order, group)) > F.ceil(F.count("*").over(w) * share))
-    return df.join(g.select(group, "test"), group)
+    g = among_first(g, [*by, "__class"], order, group, F.ceil(F.col("n") * share), "__train")
+    return df.join(g.select(group, (~F.col("__train")).alias("test")), group)

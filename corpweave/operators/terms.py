@@ -5,16 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Terms by score that the greedy choice looks at for each group, for each term that it may choose.
+from corpweave.session import cut
+
+#: Terms by score that a round of the greedy choice looks at for each group, for each term that it may choose.
 DEPTH = 50
 
 
-def greedy_terms(scored: DataFrame, by: str, most: int) -> DataFrame:
+def greedy_terms(scored: DataFrame, by: str, most: int, depth: int = DEPTH) -> DataFrame:
     """(by, rank, term): terms by score, without those that hold a chosen term or are held by one, and none of score
-    zero or less. A group's choice is made among its ``DEPTH * most`` best terms."""
-    w = Window.partitionBy(by).orderBy(F.desc("score"), "term")
-    near = scored.where("score > 0").withColumn("at", F.row_number().over(w)).where(F.col("at") <= DEPTH * most)
-    terms = near.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("terms"))
+    zero or less.
+
+    A round looks at the ``depth * most`` best terms of each group that do not clash with those chosen so far; further rounds
+    go on behind the last one, until all groups are full or have no terms left."""
+    left = scored.where("score > 0").select(F.col(by).alias("__by"), "score", "term")
+    state = cut(left.select(F.col("__by").alias("__of")).distinct().select("__of", F.expr("cast(array() as array<string>)").alias("done"), F.lit(None).cast("double").alias("low"), F.lit(None).cast("string").alias("last")))
+    best = Window.partitionBy("__by").orderBy(F.desc("score"), "term")
     step = f"if(size(done) >= {most} or exists(done, d -> contains(d, t) or contains(t, d)), done, array_append(done, t))"
-    chosen = F.expr(f"aggregate(terms, cast(array() as array<string>), (done, t) -> {step})")
-    return terms.select(by, F.posexplode(chosen).alias("at", "term")).select(by, (F.col("at") + 1).alias("rank"), "term")
+    while True:
+        open_ = left.join(state.where(F.size("done") < most), F.col("__by").eqNullSafe(F.col("__of")))
+        after = F.col("low").isNull() | (F.col("score") < F.col("low")) | ((F.col("score") == F.col("low")) & (F.col("term") > F.col("last")))
+        fits = open_.where(after & ~F.expr("exists(done, d -> contains(d, term) or contains(term, d))"))
+        near = fits.withColumn("at", F.row_number().over(best)).where(F.col("at") <= depth * most)
+        found = near.groupBy("__by").agg(F.array_sort(F.collect_list(F.struct("at", "score", "term"))).alias("found"), F.first("done").alias("done"))
+        chosen = F.expr(f"aggregate(transform(found, x -> x.term), done, (done, t) -> {step})")
+        moved = cut(found.select("__by", chosen.alias("now"), F.element_at("found", -1)["score"].alias("to"), F.element_at("found", -1)["term"].alias("at")))
+        if moved.isEmpty():
+            break
+        both = state.join(moved, F.col("__by").eqNullSafe(F.col("__of")), "left")
+        state = cut(both.select("__of", F.coalesce("now", "done").alias("done"), F.coalesce("to", "low").alias("low"), F.coalesce("at", "last").alias("last")))
+    return state.select(F.col("__of").alias(by), F.posexplode("done").alias("at", "term")).select(by, (F.col("at") + 1).alias("rank"), "term")

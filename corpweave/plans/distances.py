@@ -72,12 +72,12 @@ def dis_08(spark, sf_dir):
     return _unbiased(spark, sf_dir, lambda x: x, lambda ab, aa, bb: F.greatest(2 * ab - aa - bb, F.lit(0.0)), 0.0).select("class_id", F.round("value", 5).alias("energy"))
 
 
-def _unbiased(spark, sf_dir, kernel, combine, own: float) -> DataFrame:
+def _unbiased(spark, sf_dir, kernel, combine, own: float, scale: DataFrame | None = None) -> DataFrame:
     """A statistic of mean kernels between and within the corpora; ``own`` is the kernel at distance zero."""
     a, b = _sides(spark, sf_dir)
 
     def mean(x, y, name, same):
-        s = D.pair_sums(x, y, "class_id", DIM, kernel)
+        s = D.pair_sums(x, y, "class_id", DIM, kernel, scale=scale)
         n = F.sqrt("pairs") if same else F.lit(0)
         return s.select("class_id", F.try_divide(F.col("total") - own * n, F.col("pairs") - n).alias(name))
 
@@ -85,38 +85,45 @@ def _unbiased(spark, sf_dir, kernel, combine, own: float) -> DataFrame:
     return j.select("class_id", combine(F.col("ab"), F.col("aa"), F.col("bb")).alias("value"))
 
 
-_RBF = f"{_ALL}, k as (select class_id, c, d, exp(-e * e / 2.0) as k from p) select class_id, round(avg(k) filter (c = 0 and d = 0) + avg(k) filter (c = 1 and d = 1) - 2 * avg(k) filter (c <> d), 6) as mmd from k group by 1"
+_RBF = f"{_ALL}, w as (select class_id, median(e * e) as w from p where c <> d group by 1), k as (select class_id, c, d, exp(-e * e / (2 * w)) as k, w from p join w using (class_id)) select class_id, round(sqrt(any_value(w)), 5) as bandwidth, round(avg(k) filter (c = 0 and d = 0) + avg(k) filter (c = 1 and d = 1) - 2 * avg(k) filter (c <> d), 6) as mmd from k group by 1"
 
 
 @query("dis_09_rbf_mmd", _RBF)
 def dis_09(spark, sf_dir):
-    """DIS-09: unbiased RBF discrepancy at bandwidth one; may be negative."""
-    return _unbiased(spark, sf_dir, lambda x: np.exp(-x * x / 2.0), lambda ab, aa, bb: aa + bb - 2 * ab, 1.0).select("class_id", F.round("value", 6).alias("mmd"))
+    """DIS-09: unbiased RBF discrepancy, its bandwidth from the median squared distance between the corpora; may be negative."""
+    a, b = _sides(spark, sf_dir)
+    m = D.middle_distances(a, b, "class_id", DIM)
+    scale = m.select("class_id", F.sqrt((F.col("low") ** 2 + F.col("high") ** 2) / 2).alias("scale"))
+    out = _unbiased(spark, sf_dir, lambda x: np.exp(-x * x / 2.0), lambda ab, aa, bb: aa + bb - 2 * ab, 1.0, scale)
+    return out.join(F.broadcast(scale), "class_id").select("class_id", F.round("scale", 5).alias("bandwidth"), F.round("value", 6).alias("mmd"))
 
 
-@query("dis_10_sampled_gap", f"with {SEG}, s as (select * from (select *, row_number() over (partition by class_id, corpus order by md5(concat_ws(':', '42', vec_id)), vec_id) as pos from seg) where pos <= 15), {unit_means('s', 'class_id', 'corpus', name='u')} select a.class_id as class_id, round(1 - list_dot_product(a.c, b.c), 6) as gap from u a join u b on a.class_id = b.class_id and a.corpus = 0 and b.corpus = 1")
+@query("dis_10_sampled_gap", f"with {SEG}, s as (select * from (select *, row_number() over (partition by class_id, corpus order by md5(concat_ws(':', '42', vec_id)), vec_id) as pos from seg) where pos <= 50000), {unit_means('s', 'class_id', 'corpus', name='u')} select a.class_id as class_id, round(1 - list_dot_product(a.c, b.c), 6) as gap from u a join u b on a.class_id = b.class_id and a.corpus = 0 and b.corpus = 1")
 def dis_10(spark, sf_dir):
-    """DIS-10: centroid gap on a sample of each side."""
-    s = capped(segments(spark, sf_dir), ["class_id", "corpus"], 15, draw(42, "vec_id"), "vec_id")
+    """DIS-10: centroid gap on a sample of each side, all rows of a side of up to 50,000."""
+    s = capped(segments(spark, sf_dir), ["class_id", "corpus"], 50_000, draw(42, "vec_id"), "vec_id")
     c = G.centroids(s, "class_id", "corpus")
     a, b = (c.where(F.col("corpus") == k).select("class_id", F.col("centroid").alias(n)) for k, n in ((0, "x"), (1, "y")))
     return a.join(F.broadcast(b), "class_id").select("class_id", F.round(1 - V.dot(F.col("x"), F.col("y")), 6).alias("gap"))
 
 
-def directions(n: int = 8, d: int = DIM) -> np.ndarray:
-    """Unit directions with signs from a fixed pattern, the same in SQL: (-1)^(floor(i / 2^j)) over sqrt(d)."""
-    return np.array([[(-1.0) ** ((i >> (j % 6)) + j * i % 3) for i in range(d)] for j in range(n)]) / np.sqrt(d)
+def directions(n: int = 512, d: int = DIM) -> np.ndarray:
+    """Unit directions with signs from hashes, the same in SQL: minus where the MD5 of j:i begins with 8 or more."""
+    from hashlib import md5
+
+    return np.array([[1.0 if md5(f"{j}:{i}".encode()).hexdigest() < "8" else -1.0 for i in range(d)] for j in range(n)]) / np.sqrt(d)
 
 
 @query("dis_01_sliced_wasserstein", f"""
-with {SEG}, x as (select class_id, corpus, j, sum(v[i + 1] * (case when ((i >> cast(j % 6 as int)) + (j * i) % 3) % 2 = 0 then 1.0 else -1.0 end)) / 8.0 as x from seg, range(0, 64) a(i), range(0, 8) b(j) group by class_id, corpus, vec_id, j),
+with {SEG}, g as (select cast(j as int) as j, list(case when md5(concat(j, ':', i)) < '8' then 0.125 else -0.125 end order by i) as g from range(0, 64) a(i), range(0, 512) b(j) group by j),
+x as (select class_id, corpus, j, round(list_dot_product(v, g), 12) as x from seg, g),
 n as (select class_id, count(*) filter (corpus = 0) as n0, count(*) filter (corpus = 1) as n1 from seg group by 1),
 c as (select class_id, j, x, count(*) filter (corpus = 0) as c0, count(*) filter (corpus = 1) as c1 from x group by 1, 2, 3),
 f as (select class_id, j, x, sum(c0) over w / n0 as f0, sum(c1) over w / n1 as f1, lead(x) over w as nx from c join n using (class_id) window w as (partition by class_id, j order by x)),
 d as (select class_id, j, sum(abs(f0 - f1) * (nx - x)) as w1 from f group by 1, 2)
 select class_id, round(avg(w1), 6) as mean, round(stddev_pop(w1), 6) as sd, round(stddev_samp(w1) / sqrt(count(*)), 6) as error from d group by 1""")
 def dis_01(spark, sf_dir):
-    """DIS-01: sliced Wasserstein distance over fixed directions."""
+    """DIS-01: sliced Wasserstein distance over 512 fixed directions."""
     return rounded(D.sliced(segments(spark, sf_dir), "class_id", directions()), "mean", "sd", "error")
 
 
@@ -142,10 +149,10 @@ def dis_03(spark, sf_dir):
 
 @query("dis_04_grassmann")
 def dis_04(spark, sf_dir):
-    """DIS-04 and VEC-13: distance and principal angles of the leading subspaces."""
+    """DIS-04 and VEC-13: distance and principal angles of the leading subspaces, and the variance that they explain."""
     m = _moments(spark, sf_dir)
     rows = [(k, *D.grassmann(m[k, 0][1], m[k, 1][1])) for k in sorted({k for k, _ in m}) if (k, 0) in m and (k, 1) in m]
-    return spark.createDataFrame(rows, "class_id int, distance double, angles array<double>")
+    return spark.createDataFrame(rows, "class_id int, distance double, mean_angle double, largest_angle double, explained_0 double, explained_1 double, angles array<double>")
 
 
 @query("dis_06_emd_sinkhorn")
@@ -168,7 +175,7 @@ def dis_11(spark, sf_dir):
     return u.withColumn("rank", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("value"), "class_id")))
 
 
-@query("dis_12_gates")
+@query("dis_12_gates", f"with {SEG}, m as (select class_id, i, avg(v[i]) as y, sum(v[i]) / count(*) as z from seg, range(1, 65) r(i) group by 1, 2), n as (select *, sqrt(sum(y * y) over (partition by class_id)) as a, sqrt(sum(z * z) over (partition by class_id)) as b from m) select class_id, round(max(abs(y / a - z / b)), 6) as difference from n group by 1")
 def dis_12(spark, sf_dir):
     """DIS-12: centroids recomputed another way must agree within 1e-4, or the query fails."""
     s = segments(spark, sf_dir)
@@ -177,4 +184,4 @@ def dis_12(spark, sf_dir):
     b = long.groupBy("class_id").agg(V.unit(F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda t: t["y"])).alias("z"))
     d = F.array_max(F.zip_with("x", "z", lambda x, z: F.abs(x - z)))
     ok = F.when(F.col("d") <= 1e-4, F.col("d")).otherwise(F.raise_error(F.lit("a recomputed centroid differs")))
-    return a.join(F.broadcast(b), "class_id").select("class_id", d.alias("d")).select("class_id", ok.alias("difference"))
+    return a.join(F.broadcast(b), "class_id").select("class_id", d.alias("d")).select("class_id", F.round(ok, 6).alias("difference"))
