@@ -58,14 +58,13 @@ def automaton(found: dict[bytes, set[str | None]]) -> ahocorasick.Automaton:
     return built
 
 
-#: The automata of this worker by name, the latest few.
+#: The automaton of this worker by name, the latest.
 _BUILT: dict[str, ahocorasick.Automaton] = {}
 
 
 def _built(name: str, sent, size: int) -> ahocorasick.Automaton:
     if name not in _BUILT:
-        while len(_BUILT) > 1:
-            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT.clear()  # the one before goes first
         _BUILT[name] = automaton(windows(sent.value, size))
     return _BUILT[name]
 

@@ -37,7 +37,7 @@ CHUNK = 1 << 15
 #: Rows of a bucket that one task takes; larger buckets are met in tiles of this size.
 LARGE = 1 << 15
 #: Fingerprints compared at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 18
 #: What a row of a bucket's result is.
 PAIR, SPAN, TOO_LARGE = 0, 1, 2
 
