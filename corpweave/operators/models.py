@@ -63,6 +63,18 @@ def cross_validated(df: DataFrame, configs: list[dict], classes: list[int], fit,
     return out
 
 
+def searched(spark, df: DataFrame, configs: list[dict], classes: list[int], fit, log: str, fold: str = "fold") -> DataFrame:
+    """(config, mean, sd) of macro-F1 for all configs, each appended to a table at ``log`` as soon as it is known; those
+    that the table has already are not fitted again."""
+    schema = "config string, mean double, sd double"
+    p = spark._jvm.org.apache.hadoop.fs.Path(log)
+    known = {r[0] for r in spark.read.schema(schema).parquet(log).collect()} if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else set()
+    for config in configs:
+        for row in cross_validated(df, [config], classes, fit, fold, known):
+            spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(log)
+    return spark.read.schema(schema).parquet(log)
+
+
 @dataclass
 class Projection:
     """Orthonormal directions that separate two corpora, and the hold-out accuracy before each was removed."""

@@ -10,6 +10,7 @@ from corpweave.operators import gaps as G
 from corpweave.operators import relational as R
 from corpweave.plans.base import SEG, draw, segments, table
 from corpweave.registry import query
+from corpweave.session import cut
 
 # SQL of the common steps: reference centroids, scores, assigned segments, documents
 
@@ -313,18 +314,30 @@ pr as (select tier, draw, assigned, count(*) / tier as share from dr group by 1,
 
 @query("gap_11_sample_stability", f"""
 with {_LADDER}, full_ as (select assigned, count(*) / (select count(*) from docs where corpus = 0) as share from docs where corpus = 0 group by 1),
-g as (select tier, draw, sum(abs(coalesce(pr.share, 0) - full_.share)) as gap from (select distinct tier, draw from t) cross join full_ left join pr using (tier, draw, assigned) group by 1, 2)
-select tier, round(avg(gap), 6) as mean, round(stddev_pop(gap), 6) as sd from g group by 1""")
+g as (select tier, draw, sum(abs(coalesce(pr.share, 0) - full_.share)) as gap from (select distinct tier, draw from t) cross join full_ left join pr using (tier, draw, assigned) group by 1, 2),
+pk as (select * from (select *, row_number() over (partition by assigned, doc order by md5(concat_ws(':', '42', vec_id)), vec_id) as pos from asg where corpus = 1) where pos <= 50),
+{unit_means('pk', 'assigned', name='pc')}, {unit_means('dr', 'tier', 'draw', 'assigned', name='rc')},
+s as (select tier, draw, rc.c as r, pc.c as p, list_concat([0.0], rc.c[2:]) as ra, list_concat([0.0], pc.c[2:]) as pa from rc join pc using (assigned)),
+v as (select tier, draw, avg(1 - list_dot_product(r, p)) as raw, avg(1 - list_dot_product(ra, pa) / sqrt(list_dot_product(ra, ra) * list_dot_product(pa, pa))) as adjusted from s group by 1, 2)
+select tier, round(avg(gap), 6) as mean, round(stddev_pop(gap), 6) as sd, round(avg(raw), 6) as raw_mean, round(stddev_pop(raw), 6) as raw_sd, round(avg(adjusted), 6) as adjusted_mean, round(stddev_pop(adjusted), 6) as adjusted_sd
+from g left join v using (tier, draw) group by 1""")
 def gap_11(spark, sf_dir):
-    """GAP-11: distance of sampled profiles to the full one, by sample size."""
+    """GAP-11: by sample size, the distance of sampled profiles to the full one, and the mean gap of sampled centroids to those of the policy side, as they
+    are and without the part along a direction, here the first axis."""
     b = Base(spark, sf_dir)
-    d = b.documents().where("corpus = 0").select("doc", "assigned")
+    d = b.documents().where("corpus = 0").select("doc", "assigned", "v")
     full = G.profile(d, b.ids).where("n > 0").select(F.col("class_id").alias("assigned"), F.col("share").alias("whole"))
-    s = R.ladder(d, [20, 40], 5, 42, "doc")
+    s = cut(R.ladder(d, [20, 40], 5, 42, "doc"))
     n = s.groupBy("tier", "draw", "assigned").agg((F.count("*") / F.first("tier")).alias("share"))
     grid = n.select("tier", "draw").distinct().crossJoin(F.broadcast(full))
     g = grid.join(n, ["tier", "draw", "assigned"], "left").groupBy("tier", "draw").agg(F.sum(F.abs(F.coalesce("share", F.lit(0.0)) - F.col("whole"))).alias("gap"))
-    return g.groupBy("tier").agg(F.round(F.avg("gap"), 6).alias("mean"), F.round(F.stddev_pop("gap"), 6).alias("sd"))
+    policy = R.capped(b.assigned.where("corpus = 1"), ["assigned", "doc"], G.CAP, draw(42, "vec_id"), "vec_id")
+    p = G.centroids(policy, "assigned").select("assigned", F.col("centroid").alias("p"))
+    c = G.centroids(s, "tier", "draw", "assigned").select("tier", "draw", "assigned", F.col("centroid").alias("r")).join(F.broadcast(p), "assigned")
+    less = lambda x: V.unit(F.transform(x, lambda y, i: F.when(i == 0, 0.0).otherwise(y)))
+    v = c.select("tier", "draw", (1 - V.dot(F.col("r"), F.col("p"))).alias("raw"), (1 - V.dot(less("r"), less("p"))).alias("adjusted")).groupBy("tier", "draw").agg(F.avg("raw").alias("raw"), F.avg("adjusted").alias("adjusted"))
+    both = g.join(v, ["tier", "draw"], "left")
+    return both.groupBy("tier").agg(*(F.round(f(x), 6).alias(f"{n}{e}") for x, n in (("gap", ""), ("raw", "raw_"), ("adjusted", "adjusted_")) for f, e in ((F.avg, "mean"), (F.stddev_pop, "sd"))))
 
 
 @query("gap_13_method_agreement", f"with {SCORED} select corpus, cast(count(*) as bigint) as n, round(avg(cast(assigned = class_id as int)), 6) as agreement from asg group by 1")

@@ -101,11 +101,13 @@ def sta_07(spark, sf_dir):
     return c.select("lang", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("sta_08_binomial")
+@query("sta_08_binomial", """
+with c as (select lang, count(*) as n, count(*) filter (n_chars > 1000) as k from documents group by 1), i as (select lang, k, n, unnest(range(k, n + 1)) as i from c)
+select lang, cast(any_value(k) as bigint) as k, cast(any_value(n) as bigint) as n, round(least(1, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + n * ln(0.5)))), 8) as p from i group by 1""")
 def sta_08(spark, sf_dir):
     """STA-08: exact one-sided binomial test of each language's share of long texts against one half."""
     c = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_chars") > 1000).alias("k")).orderBy("lang").collect()
-    return spark.createDataFrame([(r.lang, r.k, r.n, S.binomial_tail(r.k, r.n)) for r in c], "lang string, k long, n long, p double")
+    return spark.createDataFrame([(r.lang, r.k, r.n, round(S.binomial_tail(r.k, r.n), 8)) for r in c], "lang string, k long, n long, p double")
 
 
 _PREDICTORS = ["l_discount", "l_tax", "l_linenumber", "l_quantity"]
@@ -177,31 +179,57 @@ def sta_15(spark, sf_dir):
     return spark.createDataFrame(rows, "spec string, predictor string, beta double, error double, p double, r2 double, n long")
 
 
-@query("smp_10_cluster_bootstrap")
+def _number(*parts: str) -> str:
+    """A number below 2^32 from the MD5 of the parts, in Spark's SQL."""
+    return f"cast(conv(substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8), 16, 10) as bigint)"
+
+
+def _number_sql(*parts: str) -> str:
+    """The same in DuckDB's SQL."""
+    return f"cast('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8) as bigint)"
+
+
+@query("smp_10_cluster_bootstrap", f"""
+with s as (select l_suppkey, row_number() over (order by l_suppkey) - 1 as place, count(*) as n, sum(l_quantity) as x, sum(l_extendedprice) as y, sum(l_quantity * l_quantity) as xx, sum(l_quantity * l_extendedprice) as xy from lineitem group by 1),
+t as (select draw, {_number_sql("'42'", "draw", "slot")} % (select count(*) from s) as place from range(0, 500) a(draw), range(0, (select count(*) from s)) b(slot)),
+m as (select draw, place, count(*) as k from t group by 1, 2), d as (select draw, sum(k * n) as n, sum(k * x) as x, sum(k * y) as y, sum(k * xx) as xx, sum(k * xy) as xy from m join s using (place) group by 1),
+b as (select (n * xy - x * y) / (n * xx - x * x) as b from d)
+select round(avg(b), 3) as mean, round(stddev_pop(b), 3) as sd, round(quantile_cont(b, 0.025), 3) as low, round(quantile_cont(b, 0.975), 3) as high from b""")
 def smp_10(spark, sf_dir):
-    """SMP-10: slopes over draws of suppliers with replacement. Sums for each cluster are taken once; a draw is a sum of
-    its clusters' sums, each as often as drawn."""
+    """SMP-10: slopes over 500 draws of suppliers with replacement. Sums for each supplier are taken once; a draw is a sum
+    of its suppliers' sums, each as often as a hash of draw and slot names it."""
+    from corpweave.operators.ranges import global_index
+
     x, y = F.col("l_quantity"), F.col("l_extendedprice")
-    s = _items(spark, sf_dir).groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"))
-    rows = np.array([[r.n, r.x, r.y, r.xx, r.xy] for r in s.orderBy("l_returnflag", "l_linestatus", "l_linenumber").collect()], float)  # a row for each cluster
-    rng = np.random.default_rng(42)
-    n, sx, sy, xx, xy = (rng.multinomial(len(rows), np.full(len(rows), 1 / len(rows)), size=500) @ rows).T
-    b = (n * xy - sx * sy) / (n * xx - sx * sx)
-    return spark.createDataFrame([(float(b.mean()), float(b.std()), *map(float, np.percentile(b, [2.5, 97.5])))], "mean double, sd double, low double, high double")
+    s = _items(spark, sf_dir).groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"))
+    s = global_index(s, "l_suppkey", "at").drop("l_suppkey")
+    size = s.count()
+    slots = spark.range(500 * size).selectExpr(f"id div {max(size, 1)} as draw", f"id % {max(size, 1)} as slot")
+    times = slots.select("draw", (F.expr(_number("'42'", "draw", "slot")) % max(size, 1)).alias("at")).groupBy("draw", "at").agg(F.count("*").alias("k"))
+    d = times.join(s, "at").groupBy("draw").agg(*(F.sum(F.col("k") * F.col(c)).alias(c) for c in ("n", "x", "y", "xx", "xy")))
+    b = d.select(((F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / (F.col("n") * F.col("xx") - F.col("x") * F.col("x"))).alias("b"))
+    return b.agg(F.round(F.avg("b"), 3).alias("mean"), F.round(F.stddev_pop("b"), 3).alias("sd"), *(F.round(F.percentile("b", F.lit(p)), 3).alias(n) for n, p in (("low", 0.025), ("high", 0.975))))
+
+
+#: Limits of a Poisson count of mean one: how many lie below a uniform number from zero to one is the count.
+_POISSON = np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1))) for k in range(8)])
 
 
-@query("smp_11_pooled_bootstrap")
+@query("smp_11_pooled_bootstrap", f"""
+with u as (select draw, event_id % 2 as side, value, {_number_sql("'7'", "event_id", "draw")} / 4294967296.0 as u from events, range(0, 500) r(draw)),
+k as (select draw, side, value, {' + '.join(f'cast(u > {float(c)!r} as int)' for c in _POISSON)} as k from u),
+m as (select draw, sum(k * value) filter (side = 0) / sum(k) filter (side = 0) - sum(k * value) filter (side = 1) / sum(k) filter (side = 1) as d from k group by 1)
+select round(avg(d), 6) as mean, round(quantile_cont(d, 0.025), 6) as low, round(quantile_cont(d, 0.975), 6) as high, round(avg(cast(d > 0 as int)), 6) as share_above from m""")
 def smp_11(spark, sf_dir):
-    """SMP-11: bootstrap of a difference of means, by Poisson counts that each row draws from hashes of its own key."""
+    """SMP-11: 500 resamples of a difference of means, by Poisson counts that each row draws from hashes of its own key."""
     e = table(spark, sf_dir, "events").select("event_id", "value", (F.col("event_id") % 2).alias("side"))
-    draws = F.broadcast(spark.range(50).withColumnRenamed("id", "draw"))
-    u = (F.shiftrightunsigned(F.xxhash64("event_id", "draw"), 11) / float(1 << 53)).alias("u")
-    steps = np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1))) for k in range(8)])
-    times = sum(((F.col("u") > float(s)).cast("int") for s in steps), F.lit(0))
-    d = e.crossJoin(draws).select("draw", "side", "value", u).withColumn("k", times).where("k > 0")
+    draws = F.broadcast(spark.range(500).withColumnRenamed("id", "draw"))
+    u = F.expr(_number("'7'", "event_id", "draw")) / 4294967296.0
+    times = sum(((F.col("u") > float(c)).cast("int") for c in _POISSON), F.lit(0))
+    d = e.crossJoin(draws).select("draw", "side", "value", u.alias("u")).withColumn("k", times).where("k > 0")
     m = d.groupBy("draw").agg(*(F.try_divide(F.sum(F.when(F.col("side") == s, F.col("k") * F.col("value"))), F.sum(F.when(F.col("side") == s, F.col("k")))).alias(f"m{s}") for s in (0, 1)))
     g = m.select((F.col("m0") - F.col("m1")).alias("d"))
-    return g.agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.avg((F.col("d") > 0).cast("int")).alias("share_above"))
+    return g.agg(F.round(F.avg("d"), 6).alias("mean"), *(F.round(F.percentile("d", F.lit(p)), 6).alias(n) for n, p in (("low", 0.025), ("high", 0.975))), F.round(F.avg((F.col("d") > 0).cast("int")), 6).alias("share_above"))
 
 
 @query("sta_16_register_score")
