@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpweave.functions import text as X
 from corpweave.plans.base import SEG, segments, table
 from corpweave.registry import query
-from corpweave.session import shared_dir
+from corpweave.session import cut, shared_dir
 from corpweave.sources import readers, writers
 from corpweave.streaming import jobs
 
@@ -62,7 +62,7 @@ def src_04(spark, sf_dir):
     """SRC-04: tab-separated with a header; strings are cast afterwards."""
     at = folder(spark)
     table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").write.option("sep", "\t").option("header", True).option("escape", '"').option("quoteAll", True).csv(at)
-    d = readers.delimited(spark, at, "conv_id string, turn string, role string, text string", "\t")
+    d = readers.delimited(spark, at, "conv_id string, turn string, role string, text string", "\t", breaks=True)
     return d.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", F.md5("text").alias("digest"))
 
 
@@ -97,12 +97,25 @@ def src_12(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.size("embedding").cast("long").alias("d"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 
-@query("src_13_manifest", "select source, cast(count(*) as bigint) as rows from documents group by 1")
+@query("src_13_manifest", "select 'agree' as state, lang, cast(count(*) as bigint) as rows from documents where lang is not null group by 2 union all select 'differ', 'refused', 3")
 def src_13(spark, sf_dir):
-    """SRC-13: two manifests must name the same shards with the same counts."""
-    a = _docs(spark, sf_dir).groupBy("source").agg(F.count("*").alias("rows"))
-    b = _docs(spark, sf_dir).select("source", "doc_id").groupBy("source").agg(F.count("doc_id").alias("rows"))
-    return readers.agreed(a, b, "source", "rows")
+    """SRC-13: a manifest is written beside its shards and read before them; one with another count, one without a shard, and one
+    with a shard too many are refused."""
+    at = folder(spark)
+    _docs(spark, sf_dir).where("lang is not null").select("doc_id", "lang").write.partitionBy("lang").parquet(f"{at}/shards")
+    found = spark.read.parquet(f"{at}/shards").groupBy("lang").agg(F.count("*").alias("rows"))
+    found.write.json(f"{at}/manifest")
+    said = spark.read.schema("lang string, rows long").json(f"{at}/manifest")
+    good = readers.agreed(said, found, "lang", "rows")
+    refused = 0
+    for wrong in (said.withColumn("rows", F.col("rows") + (F.col("lang") == "en").cast("int")), said.where("lang <> 'en'"), said.unionByName(said.limit(1).withColumn("lang", F.lit("none")))):
+        try:
+            readers.agreed(wrong, found, "lang", "rows").write.format("noop").mode("overwrite").save()
+        except Exception as e:
+            if "manifests differ at" not in str(e):
+                raise
+            refused += 1
+    return good.select(F.lit("agree").alias("state"), "lang", "rows").unionByName(spark.createDataFrame([("differ", "refused", refused)], "state string, lang string, rows long"))
 
 
 @query("src_14_point_lookup", "select event_id, value from events where event_id in (select o_orderkey from orders where o_orderpriority = '5-LOW')")
@@ -171,12 +184,15 @@ def snk_06(spark, sf_dir):
     return writers.status(spark, "documents", "completed", rows=_docs(spark, sf_dir).count())
 
 
-@query("snk_07_fingerprint")
+@query("snk_07_fingerprint", "select true as same, false as other_version, false as more_rows")
 def snk_07(spark, sf_dir):
-    """SNK-07: a stage is skipped while its inputs' fingerprint is the same."""
-    f = f"{sf_dir}/documents.parquet"
-    before = writers.fingerprint(spark, f, "v1")
-    return spark.createDataFrame([(writers.unchanged(spark, f, before, "v1"), writers.unchanged(spark, f, before, "v2"))], "same boolean, other_version boolean")
+    """SNK-07: a stage is skipped while its inputs' fingerprint is the same; another version or a further file changes it."""
+    at = folder(spark)
+    table(spark, sf_dir, "nation").write.parquet(at)
+    before = writers.fingerprint(spark, at, "v1")
+    same, other = writers.unchanged(spark, at, before, "v1"), writers.unchanged(spark, at, before, "v2")
+    table(spark, sf_dir, "nation").limit(1).write.mode("append").parquet(at)
+    return spark.createDataFrame([(same, other, writers.unchanged(spark, at, before, "v1"))], "same boolean, other_version boolean, more_rows boolean")
 
 
 @query("snk_08_checksums")
@@ -198,13 +214,22 @@ def str_01(spark, sf_dir):
     return spark.read.parquet(f"{at}/out")
 
 
-@query("str_03_watermark_dedup", "select distinct user_id from events")
+@query("str_03_watermark_dedup", """
+with e as (select distinct event_id from events) select event_id, cast(2 as bigint) as times, true as first, true as late from e""")
 def str_03(spark, sf_dir):
-    """STR-03: stateful dedup with bounded state; one row of each user at least, so distinct users are compared."""
+    """STR-03: stateful dedup with bounded state, started again for each delivery: all events, the same ten minutes later (within
+    the delay, so none comes out), a mark ten days on, and the same once more after it (the state is gone, so all come out)."""
     at = folder(spark)
-    table(spark, sf_dir, "events").select("event_id", "user_id", "ts").write.parquet(f"{at}/in")
-    jobs.clean_within(spark, f"{at}/in", "event_id long, user_id long, ts timestamp", "event_id", "ts", "1 hour", f"{at}/out", f"{at}/state", form="parquet")
-    return spark.read.parquet(f"{at}/out").select("user_id").distinct()
+    e = table(spark, sf_dir, "events").select("event_id", "ts").dropDuplicates(["event_id"])
+    last = e.agg(F.max("ts")).first()[0]
+    mark = lambda days: spark.createDataFrame([(-days, last)], "event_id long, ts timestamp").withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(days)))
+    again = e.withColumn("ts", F.lit(last) + F.make_dt_interval(F.lit(20)))
+    for delivery in (e, e.withColumn("ts", F.col("ts") + F.expr("interval 10 minutes")), mark(10), mark(11), again):
+        delivery.write.mode("append").parquet(f"{at}/in")
+        jobs.clean_within(spark, f"{at}/in", "event_id long, ts timestamp", "event_id", "ts", "1 hour", f"{at}/out", f"{at}/state", form="parquet")
+    out = spark.read.parquet(f"{at}/out").where("event_id >= 0")
+    kinds = out.join(e.withColumnRenamed("ts", "own"), "event_id").groupBy("event_id")
+    return kinds.agg(F.count("*").alias("times"), F.max(F.col("ts") == F.col("own")).alias("first"), F.max(F.col("ts") > F.lit(last)).alias("late"))
 
 
 @query("str_06_resume_log", "select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_linenumber >= 4)")
@@ -214,12 +239,24 @@ def str_06(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
 
 
-@query("str_07_draw_cache", f"with {SEG} select class_id, cast(count(*) as bigint) as n from seg group by 1")
+@query("str_07_draw_cache", f"with {SEG} select 'first' as state, class_id, cast(count(*) as bigint) as n from seg group by 2 union all select 'reused', class_id, count(*) from seg group by 2 union all select 'other seed', class_id, count(*) from seg where vec_id % 2 = 1 group by 2")
 def str_07(spark, sf_dir):
-    """STR-05 and STR-07: a step's result is checkpointed and taken from there."""
-    from corpweave.session import cut
+    """STR-05 and STR-07: a draw's aggregates are kept on disk with their parameters. The second call reuses them (it could not
+    compute them), and another seed computes anew."""
+    at, s = folder(spark), segments(spark, sf_dir)
+    counts = lambda d: d.groupBy("class_id").agg(F.count("*").alias("n"))
 
-    return cut(segments(spark, sf_dir).groupBy("class_id").agg(F.count("*").alias("n")))
+    def fail():
+        raise AssertionError("the kept draw is not used")
+
+    first = cut(writers.cached(spark, at, {"seed": 42}, lambda: counts(s)))
+    reused = cut(writers.cached(spark, at, {"seed": 42}, fail))
+    other = cut(writers.cached(spark, at, {"seed": 43}, lambda: counts(s.where("vec_id % 2 = 1"))))
+    out = None
+    for name, d in (("first", first), ("reused", reused), ("other seed", other)):
+        d = d.select(F.lit(name).alias("state"), "class_id", "n")
+        out = d if out is None else out.unionByName(d)
+    return out
 
 
 @query("str_08_windowed_counts", "select time_bucket(interval '1 day', ts) as start, event_type, cast(count(*) as bigint) as n from events group by 1, 2")
@@ -238,17 +275,62 @@ def str_08_stream(spark, sf_dir):
     return spark.read.parquet(f"{at}/out")
 
 
-def transformed(source: DataFrame, *steps) -> DataFrame:
-    """UDF-01: record callbacks as DataFrame functions, one after the other."""
+def called(spark: SparkSession, read, steps: list, write) -> None:
+    """UDF-01 to UDF-03: a reader (of the session), record steps and a serialiser, each a function of a DataFrame."""
+    rows = read(spark)
     for s in steps:
-        source = source.transform(s)
-    return source
+        rows = rows.transform(s)
+    write(rows)
 
 
 @query("udf_01_callbacks", "select doc_id, upper(lang) as lang from documents where n_chars >= 200")
 def udf_01(spark, sf_dir):
-    """UDF-01 to UDF-03: reader, transform and serialiser callbacks are DataFrame functions."""
-    return transformed(_docs(spark, sf_dir), lambda d: d.where("n_chars >= 200"), lambda d: d.select("doc_id", F.upper("lang").alias("lang")))
+    """UDF-01 to UDF-03: a reader callback that makes rows of JSON lines, transform callbacks, and a serialiser to JSON lines."""
+    at = folder(spark)
+    _docs(spark, sf_dir).select(F.to_json(F.struct("doc_id", "lang", "n_chars")).alias("value")).write.text(f"{at}/in")
+    read = lambda spark: spark.read.text(f"{at}/in").select(F.from_json("value", "doc_id long, lang string, n_chars long").alias("r")).select("r.*")
+    write = lambda rows: rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(f"{at}/out")
+    called(spark, read, [lambda d: d.where("n_chars >= 200"), lambda d: d.select("doc_id", F.upper("lang").alias("lang"))], write)
+    return readers.json_lines(spark, f"{at}/out", "doc_id long, lang string")
+
+
+#: UDF-08: steps by name: (what they need, the step, of the session, the input folder and the results so far).
+STEPS = {
+    "count": (("orders",), lambda spark, sf_dir, done: done["orders"].agg(F.count("*").alias("n"))),
+    "orders": (("customers",), lambda spark, sf_dir, done: table(spark, sf_dir, "orders").join(done["customers"], F.col("o_custkey") == F.col("c_custkey"), "left_semi")),
+    "customers": ((), lambda spark, sf_dir, done: table(spark, sf_dir, "customer").where("c_nationkey = 1")),
+    "regions": ((), lambda spark, sf_dir, done: table(spark, sf_dir, "region")),
+}
+
+
+def ran(spark: SparkSession, sf_dir: str, wanted: list[str], steps: dict = STEPS) -> dict[str, DataFrame]:
+    """The results of the wanted steps and of all that they need, each after what it needs and once."""
+    done: dict[str, DataFrame] = {}
+
+    def run(name: str, above: tuple[str, ...] = ()) -> None:
+        if name not in steps or name in above:
+            raise ValueError(f"no such step, or a circle: {' > '.join((*above, name))}")
+        if name not in done:
+            needs, step = steps[name]
+            for other in needs:
+                run(other, (*above, name))
+            done[name] = step(spark, sf_dir, done)
+
+    for name in wanted:
+        run(name)
+    return done
+
+
+@query("udf_08_steps", """
+with o as (select count(*) as n from orders where o_custkey in (select c_custkey from customer where c_nationkey = 1))
+select cast(1 as int) as place, 'customers' as step, (select count(*) from customer where c_nationkey = 1) as rows union all select 2, 'orders', (select n from o) union all select 3, 'count', 1""")
+def udf_08(spark, sf_dir):
+    """UDF-08: a registry of steps with what they need; one is asked for and those before it run, each once."""
+    out = None
+    for k, (name, d) in enumerate(ran(spark, sf_dir, ["count"]).items()):
+        row = d.agg(F.count("*").alias("rows")).select(F.lit(k + 1).alias("place"), F.lit(name).alias("step"), "rows")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("udf_04_table_function", "select doc_id, cast(generate_subscripts(l, 1) - 1 as int) as line, length(unnest(l)) as n from (select doc_id, string_split(text, chr(10)) as l from documents)")

@@ -42,9 +42,9 @@ def json_any(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", many).json(path)
 
 
-def delimited(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """A table with a header; quotes may hold line breaks."""
-    return spark.read.schema(schema).option("sep", sep).option("header", True).option("multiLine", True).option("escape", '"').csv(present(spark, path))
+def delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", breaks: bool = False) -> DataFrame:
+    """A table with a header; with ``breaks``, quotes may hold line breaks, and then a file can't be split."""
+    return spark.read.schema(schema).option("sep", sep).option("header", True).option("multiLine", breaks).option("escape", '"').csv(present(spark, path))
 
 
 def one_hot(spark: SparkSession, path: str, prefix: str) -> tuple[DataFrame, dict[int, Column]]:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpweave.session import removed
+
 SHARD = 100_000
 
 
@@ -38,6 +43,22 @@ def unchanged(spark: SparkSession, path: str, before: str | None, salt: str = ""
     return before is not None and before == fingerprint(spark, path, salt)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def cached(spark: SparkSession, path: str, parameters: dict, compute: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``, if it was written whole and for these parameters; else it is computed and written there."""
+    mark = json.dumps(parameters, sort_keys=True)
+    if exists(spark, f"{path}/made") and spark.read.text(f"{path}/made").first()[0] == mark:
+        return spark.read.parquet(f"{path}/rows")
+    removed(spark, path)
+    compute().write.parquet(f"{path}/rows")
+    spark.createDataFrame([(mark,)], "value string").coalesce(1).write.text(f"{path}/made")  # last, so that it vouches for the rows
+    return spark.read.parquet(f"{path}/rows")
+
+
 def csv(df: DataFrame, path: str, places: int = 6) -> None:
     """A CSV file with a header; doubles with fixed places, nulls as nothing."""
     out = [F.format_string(f"%.{places}f", F.col(f"`{c}`")).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes]
