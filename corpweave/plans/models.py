@@ -12,6 +12,7 @@ from corpweave.operators import gaps as G
 from corpweave.operators import models as M
 from corpweave.operators import relational as R
 from corpweave.operators import segmentation
+from corpweave.plans import distances as _metrics  # noqa: F401  registers the queries that METRICS names
 from corpweave.plans.base import SEG, draw, segments, table
 from corpweave.plans.gaps import SCORED, Base
 from corpweave.plans.sources import folder
