@@ -198,7 +198,8 @@ def _apart(spans: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame |
     if between.isEmpty():
         return None
     regions = simhash.components(between).select(F.col("node").alias("group"), F.col("root").alias("region"))
-    m = spans.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups, "node", "left").select("node", F.coalesce("group", "node").alias("group"))
+    ends = spans.select(F.col("a").alias("node")).distinct().unionByName(spans.select(F.col("b").alias("node")).distinct()).distinct()
+    m = ends.join(groups, "node", "left").select("node", F.coalesce("group", "node").alias("group"))
     m = cut(m.join(regions, "group").join(nodes.select("node", "fp"), "node"))
     sizes = m.groupBy("region", "group").agg(F.count("*").alias("n"))
     main = sizes.groupBy("region").agg(F.max_by("group", F.struct("n", "group")).alias("largest"))
@@ -243,7 +244,7 @@ def roots(docs: DataFrame, prints: DataFrame, unique: bool = False) -> DataFrame
         sets = sets_of(docs.join(of, F.col("id").eqNullSafe(F.col("of")), "left_semi"))
         return cut(sets if unique else sets.dropDuplicates(["node"]))
 
-    sets = sets_for(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = sets_for(pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()))
     of_a, of_b = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
     met = pairs.join(of_a, "a").join(of_b, "b")
     linked = cut(met.where(similar(_sharing(F.col("set_a"), F.col("set_b")), F.size("set_a"), F.size("set_b"))).select("a", "b"))
