@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes that go to a Python worker at once.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def session(master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC timestamps, adaptive execution and checkpoints that go with what they hold; ``conf`` uses ``__`` for dots."""
     b = SparkSession.builder.appName("corpweave")
@@ -68,9 +72,13 @@ def map_arrow(df: DataFrame, run, kept: list[str], fields: list[tuple[str, str]]
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it, wherever it was started.
+    """Prepares a session for this package's Python workers.
 
-    On a cluster the package comes with ``--py-files``; there the folder is not found and does no harm."""
+    They import it from where the driver has it, wherever it was started; on a cluster the package comes with
+    ``--py-files``, the folder is not found there and does no harm. Batches of rows go to them by size, so that long texts
+    take no more memory than short ones; a size that was set by hand stays."""
+    if spark.conf.get(BATCH, "64m").lower() in ("64m", "64mb", "67108864", "67108864b"):
+        spark.conf.set(BATCH, "4m")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
