@@ -23,6 +23,7 @@ PII_KEY = "corpus pipeline, not a secret"
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects; it learns from labels of documents not held out."""
+    ship(spark)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = quality.learn(docs.where(~held_out), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(quality.score_column(F.col("text"), model) >= quality.THRESHOLD)
@@ -33,11 +34,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts are linked whose SimHash fingerprints of five-word shingles differ in twelve bits or fewer, and whose sets of
     these shingles have an exact Jaccard similarity of 0.8 or more."""
+    ship(spark)
     return nearby.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a window of a benchmark item."""
+    ship(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -49,6 +52,7 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 2048 tokens."""
+    ship(spark)
     pieces = packing.tokenised(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack(cut(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")))
 
