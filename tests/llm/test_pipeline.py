@@ -46,7 +46,9 @@ def test_odd_documents(spark, sf):
     rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (None, "plain words here", "en", "s", 3), (4, "plain words there", "en", "s", 3), (4, "plain words there", "en", "s", 3), (4, "other words of the same id", "de", None, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", "1 as fp", "2 as score", "3 as `a.b`", "4 as __id", "5 as hits", "6 as n_hit", "7 as piece", "8 as ids", "map(1, 2) as m")
     out = docs
-    for name, stage in P.STAGES[:4]:
+    scored = P.keep_quality(spark, docs, sf)
+    assert scored.columns == docs.columns and scored.count() <= docs.count()
+    for name, stage in P.STAGES[1:4]:
         out = stage(spark, out, sf)
         assert out.columns == docs.columns, name
     kept = {(r.doc_id, r.text) for r in out.collect()}
