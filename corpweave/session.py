@@ -40,10 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of ``df`` with a reliable checkpoint in the shared folder."""
+#: Rows of a checkpoint's file, where their number is known, and files at least.
+ROWS, FILES = 20_000, 6
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cuts the lineage of ``df`` with a reliable checkpoint in the shared folder.
+
+    ``rows`` says how many there are at most, so that few rows do not become as many files as a shuffle has partitions."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    return (df if rows is None else df.coalesce(max(FILES, -(-rows // ROWS)))).checkpoint()
 
 
 def named(df: DataFrame, *without: str) -> list[Column]:
