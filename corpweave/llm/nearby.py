@@ -27,10 +27,10 @@ from corpweave.llm import simhash
 from corpweave.session import cut, map_arrow
 
 SHINGLE = 5
-#: Two similar texts differ in twelve bits at most in 19 of 20 cases.
-RADIUS = 12
+#: Nearly all similar texts differ in so many bits at most; README has the share.
+RADIUS = 13
 #: Segments (bits, radius) that find all within RADIUS bits.
-SEGMENTS = ((14, 2), (14, 2), (14, 2), (11, 1), (11, 1))
+SEGMENTS = ((13, 2), (13, 2), (13, 2), (13, 2), (12, 1))
 #: Texts near one in a bucket that it is compared with each; more make a dense region.
 MOST = 4
 #: Bits of a sketch: the parity of the elements that fall on each, so sets that differ in d elements differ in at most d bits.
@@ -194,13 +194,13 @@ def _apart(spans: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame |
     A region is what ``spans`` (a, b) connect; None if each is one group."""
     of_a, of_b = (groups.select(F.col("node").alias(k), F.col("group").alias(f"group_{k}")) for k in "ab")
     both = spans.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("group_a", "a").alias("a"), F.coalesce("group_b", "b").alias("b"))
-    between = cut(both.where("a <> b").distinct())
-    if between.isEmpty():
+    between = cut(both.where("a <> b").distinct(), spans.count())
+    if not (n := between.count()):
         return None
-    regions = simhash.components(between).select(F.col("node").alias("group"), F.col("root").alias("region"))
+    regions = simhash.components(between, rows=n).select(F.col("node").alias("group"), F.col("root").alias("region"))
     ends = spans.select(F.col("a").alias("node")).distinct().unionByName(spans.select(F.col("b").alias("node")).distinct()).distinct()
     m = ends.join(groups, "node", "left").select("node", F.coalesce("group", "node").alias("group"))
-    m = cut(m.join(regions, "group").join(nodes.select("node", "fp"), "node"))
+    m = cut(m.join(regions, "group").join(nodes.select("node", "fp"), "node"), 2 * spans.count())
     sizes = m.groupBy("region", "group").agg(F.count("*").alias("n"))
     main = sizes.groupBy("region").agg(F.max_by("group", F.struct("n", "group")).alias("largest"))
     return m.join(main, "region").select("region", "node", "group", "fp", (F.col("group") == F.col("largest")).alias("main"))
@@ -208,7 +208,7 @@ def _apart(spans: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame |
 
 def _region_links(apart: DataFrame, sets: DataFrame, tile: int = TILE) -> DataFrame:
     """Links (a, b) of groups of a region: all texts outside its largest group against all of the region, in tiles."""
-    rows = cut(apart.join(sets, "node"))
+    rows = cut(apart.join(sets, "node"), 8 * apart.count())  # sets are large rows
     sizes = rows.groupBy("region").agg(F.ceil(F.count_if(~F.col("main")) / F.lit(tile)).cast("int").alias("lefts"), F.ceil(F.count("*") / F.lit(4 * tile)).cast("int").alias("rights"))
     rows = rows.join(sizes, "region")
 
@@ -231,28 +231,29 @@ def roots(docs: DataFrame, prints: DataFrame, unique: bool = False) -> DataFrame
     """(node, root) of the nodes that have links: the root is the same for what links connect, directly or not.
 
     ``docs`` has (id, text) and ``prints`` is what ``signed`` makes of it, stored; ``unique`` says that no id repeats."""
-    nodes = cut(prints.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
-    found = simhash.met(nodes, SEGMENTS, RADIUS, MOST)
+    nodes = cut(prints.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), prints.count())
+    found = simhash.met(nodes, SEGMENTS, RADIUS, MOST, rows=prints.count())
     of_a, of_b = (nodes.select(F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"sketch_{k}")) for k in "ab")
     pairs = found.select("a", "b").distinct().join(of_a, "a").join(of_b, "b").where("5 * na >= 4 * nb and 5 * nb >= 4 * na")
     # of na + nb elements of similar sets at most a ninth is in one set only
-    pairs = cut(pairs.where(9 * _differing(F.col("sketch_a"), F.col("sketch_b")) <= F.col("na") + F.col("nb")).select("a", "b"))
+    pairs = cut(pairs.where(9 * _differing(F.col("sketch_a"), F.col("sketch_b")) <= F.col("na") + F.col("nb")).select("a", "b"), found.count())
 
-    def sets_for(some: DataFrame) -> DataFrame:
-        ids = cut(some.distinct().join(nodes, "node").select(F.col("id").alias("of")).distinct())
+    def sets_for(some: DataFrame, rows: int) -> DataFrame:
+        ids = cut(some.distinct().join(nodes, "node").select(F.col("id").alias("of")).distinct(), rows)
         of = F.broadcast(ids) if ids.count() <= SENT else ids
         sets = sets_of(docs.join(of, F.col("id").eqNullSafe(F.col("of")), "left_semi"))
         return cut(sets if unique else sets.dropDuplicates(["node"]))
 
-    sets = sets_for(pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()))
+    n = pairs.count()
+    sets = sets_for(pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()), 2 * n)
     of_a, of_b = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
     met = pairs.join(of_a, "a").join(of_b, "b")
-    linked = cut(met.where(similar(_sharing(F.col("set_a"), F.col("set_b")), F.size("set_a"), F.size("set_b"))).select("a", "b"))
-    groups = simhash.components(linked).withColumnRenamed("root", "group")
+    linked = cut(met.where(similar(_sharing(F.col("set_a"), F.col("set_b")), F.size("set_a"), F.size("set_b"))).select("a", "b"), n)
+    groups = simhash.components(linked, rows=n).withColumnRenamed("root", "group")
     apart = _apart(found.where(F.col("kind") == simhash.SPAN).select("a", "b"), groups, nodes)
     if apart is None:
         return groups.withColumnRenamed("group", "root")
-    joined = simhash.components(_region_links(apart, sets_for(apart.select("node")))).select(F.col("node").alias("group"), "root")
+    joined = simhash.components(_region_links(apart, sets_for(apart.select("node"), apart.count()))).select(F.col("node").alias("group"), "root")
     moved = groups.join(joined, "group", "left").select("node", F.coalesce("root", "group").alias("root"))
     single = joined.select(F.col("group").alias("node"), "root").join(groups.select("node"), "node", "left_anti")
     return moved.unionByName(single)
@@ -270,7 +271,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     unique = prints.groupBy("id").count().where("count > 1").isEmpty()
     named = simhash.named_by(prints.select("id", F.col("node").alias("fp")), roots(texts, prints, unique))
     if unique:
-        gone = cut(prints.join(named, prints.node == named.fp).where("not (id <=> component)").select("id"))
+        gone = cut(prints.join(named, prints.node == named.fp).where("not (id <=> component)").select("id"), prints.count())
         gone = F.broadcast(gone) if gone.count() <= SENT else gone
         return plain.join(gone, id_.eqNullSafe(gone["id"]), "left_anti").toDF(*names)
     text_at = at.index(at[names.index(text_col)])

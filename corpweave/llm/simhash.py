@@ -104,10 +104,11 @@ def _keys(batches: Iterator[pa.RecordBatch], segments: tuple[tuple[int, int], ..
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), part.column(0).take(at_), part.column(1).take(at_)], names=["key", "node", "fp"])
 
 
-def bucket_links(level: np.ndarray, node: np.ndarray, fp: np.ndarray, reach: int, mask: int, radius: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def bucket_links(level: np.ndarray, node: np.ndarray, fp: np.ndarray, reach: int, mask: int, before: list[tuple[int, int]], radius: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(a, b, kind) for the rows of a bucket, sorted by level: what its nodes within ``radius`` bits are to one another.
 
-    Two nodes meet here if the bucket's value is the union of theirs, so once in a segment, whose bits are ``mask``. A node
+    Two nodes meet here if the bucket's value is the union of theirs, so once in a segment, whose bits are ``mask``, and if they
+    do not meet in one of the segments ``before`` (mask, radius): each pair is looked at in one bucket. A node
     with up to ``most`` others gives a PAIR with each. One with more gives SPANs that connect it with all of them, to the
     nearest in each component that it touches; a bucket has fewer SPANs than nodes."""
     label = np.unique(node, return_inverse=True)[1]
@@ -124,6 +125,9 @@ def bucket_links(level: np.ndarray, node: np.ndarray, fp: np.ndarray, reach: int
             union = own + level[j + begin] == np.bitwise_count((some[i] ^ fp[j + begin]) & np.uint64(mask))
             union &= node[j + begin] != node[i + at]
             i, j = i[union], j[union]
+            for other, near in before:
+                later = np.bitwise_count((some[i] ^ fp[j + begin]) & np.uint64(other)) > near
+                i, j = i[later], j[later]
             if not len(i):
                 continue
             many = np.bincount(i, minlength=len(some))
@@ -166,7 +170,7 @@ def _met(batches: Iterator[pa.RecordBatch], segments: tuple[tuple[int, int], ...
                 out.append((np.array([key[s] >> 2]), np.array([np.iinfo(np.int64).max]), TOO_LARGE))
             else:
                 order, tag = np.argsort(key[s:e] & 3, kind="stable"), int(key[s] >> 48)
-                out.extend(bucket_links((key[s:e] & 3)[order], node[s:e][order], fp[s:e][order], segments[tag][1], masks[tag], radius, most))
+                out.extend(bucket_links((key[s:e] & 3)[order], node[s:e][order], fp[s:e][order], segments[tag][1], masks[tag], [(masks[k], segments[k][1]) for k in range(tag)], radius, most))
 
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
@@ -195,19 +199,21 @@ def _met(batches: Iterator[pa.RecordBatch], segments: tuple[tuple[int, int], ...
     yield emit()
 
 
-def met(nodes: DataFrame, segments: tuple[tuple[int, int], ...] = SEGMENTS, radius: int = RADIUS, most: int = 0, large: int = LARGE) -> DataFrame:
-    """(a, b, kind) of the nodes (node, fp), one for each text or fingerprint that counts: see ``bucket_links``."""
+def met(nodes: DataFrame, segments: tuple[tuple[int, int], ...] = SEGMENTS, radius: int = RADIUS, most: int = 0, large: int = LARGE, rows: int | None = None) -> DataFrame:
+    """(a, b, kind) of the nodes (node, fp), one for each text or fingerprint that counts: see ``bucket_links``.
+
+    ``rows`` says how many nodes there are, about, if it is known."""
     if not complete(segments, radius):
         raise ValueError(f"segments {segments} do not find all within {radius} bits")
     schema = "a long, b long, kind int"
-    rows = nodes.select("node", "fp").mapInArrow(partial(_keys, segments=segments), "key long, node long, fp long")
-    dealt = rows.repartition(F.shiftright("key", 2)).sortWithinPartitions("key")
+    keyed = nodes.select("node", "fp").mapInArrow(partial(_keys, segments=segments), "key long, node long, fp long")
+    dealt = keyed.repartition(F.shiftright("key", 2)).sortWithinPartitions("key")
     of = partial(_met, segments=segments, radius=radius, most=most, large=large)
-    found = cut(dealt.mapInArrow(partial(of, tiled=False), schema).distinct())
+    found = cut(dealt.mapInArrow(partial(of, tiled=False), schema).distinct(), rows)
     big = found.where(F.col("kind") == TOO_LARGE).select(F.col("a").alias("of"))
     if big.isEmpty():
         return found
-    again = cut(rows.withColumn("of", F.shiftright("key", 2)).join(big, "of"))
+    again = cut(keyed.withColumn("of", F.shiftright("key", 2)).join(big, "of"))
     tiles = again.groupBy("of").agg(F.ceil(F.count("*") / F.lit(large / 2)).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     pairs = again.join(tiles, "of").select("key", "node", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
@@ -216,21 +222,22 @@ def met(nodes: DataFrame, segments: tuple[tuple[int, int], ...] = SEGMENTS, radi
     return found.where(F.col("kind") != TOO_LARGE).unionByName(cut(tiled.mapInArrow(partial(of, tiled=True), schema).distinct()))
 
 
-def links(fps: DataFrame, radius: int = RADIUS, segments: tuple[tuple[int, int], ...] = SEGMENTS) -> DataFrame:
+def links(fps: DataFrame, radius: int = RADIUS, segments: tuple[tuple[int, int], ...] = SEGMENTS, rows: int | None = None) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints ``fp`` at ``radius`` or fewer differing bits; no pair is missed."""
-    return met(fps.select(F.col("fp").alias("node"), "fp"), segments, radius).select("a", "b")
+    return met(fps.select(F.col("fp").alias("node"), "fp"), segments, radius, rows=rows).select("a", "b")
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 100, rows: int | None = None) -> DataFrame:
     """(node, root) for the nodes of the undirected edges (a, b); root is the smallest node that can be reached.
 
     Alternates large-star and small-star steps, which need a number of rounds logarithmic in a chain's length; each
-    round is checkpointed, so that a lost executor costs one round at most."""
+    round is checkpointed, so that a lost executor costs one round at most. ``rows`` is the number of edges at most, if
+    it is known."""
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows)
     before = state(e)
     for _ in range(rounds if before[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -238,7 +245,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = cut(small)
+        e = cut(small, 2 * before[0])
         now = state(e)
         if now == before:
             break
@@ -252,18 +259,19 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 def classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, root, component) for the distinct fingerprints of (id, fp): the root is the same in a component, and the
     component is its smallest id."""
-    return named_by(prints, components(links(prints.select("fp").distinct(), radius)))
+    n = prints.count()
+    return named_by(prints, components(links(prints.select("fp").distinct(), radius, rows=n), rows=n))
 
 
 def named_by(prints: DataFrame, roots: DataFrame) -> DataFrame:
     """As ``classes``, for given (node, root) of the fingerprints that are linked."""
-    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    linked = cut(roots.join(least, roots.node == least.fp).select("node", "root", "least"))
+    least, n = prints.groupBy("fp").agg(F.min("id").alias("least")), prints.count()
+    linked = cut(roots.join(least, roots.node == least.fp).select("node", "root", "least"), n)
     # on its own, so that the join with a root that very many fingerprints have can be split
-    smallest = cut(linked.groupBy("root").agg(F.min("least").alias("component")))
+    smallest = cut(linked.groupBy("root").agg(F.min("least").alias("component")), n)
     of = linked.select("node", "root").join(smallest, "root")
     both = least.join(of, least.fp == of.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component"))
-    return cut(both)  # so that a join with a fingerprint that very many documents have can be split as well
+    return cut(both, n)  # so that a join with a fingerprint that very many documents have can be split as well
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

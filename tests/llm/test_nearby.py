@@ -32,7 +32,7 @@ def groups(texts):
         return i
 
     for i, j in combinations(range(len(sets)), 2):
-        if (prints[i] ^ prints[j]).bit_count() > 12:
+        if (prints[i] ^ prints[j]).bit_count() > 13:
             continue
         both = len(sets[i] & sets[j])
         if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):

@@ -72,7 +72,7 @@ def test_chains_of_close_prints(spark):
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
-LAYOUTS = [(3, ((32, 1), (32, 1))), (3, ((16, 0),) * 4), (8, ((22, 2), (21, 2), (21, 2))), (12, ((14, 2), (14, 2), (14, 2), (11, 1), (11, 1))), (7, ((32, 3), (32, 3)))]
+LAYOUTS = [(3, ((32, 1), (32, 1))), (3, ((16, 0),) * 4), (8, ((22, 2), (21, 2), (21, 2))), (12, ((14, 2), (14, 2), (14, 2), (11, 1), (11, 1))), (7, ((32, 3), (32, 3))), (13, ((13, 2), (13, 2), (13, 2), (13, 2), (12, 1)))]
 
 
 def near_prints(seed, radius):
