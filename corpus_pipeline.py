@@ -32,7 +32,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id.
 
-    Texts are linked whose SimHash fingerprints of five-word shingles differ in twelve bits or fewer, and whose sets of
+    Texts are linked whose SimHash fingerprints of five-word shingles differ in thirteen bits or fewer, and whose sets of
     these shingles have an exact Jaccard similarity of 0.8 or more."""
     ship(spark)
     return nearby.keep_one(docs)
