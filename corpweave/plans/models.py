@@ -22,8 +22,8 @@ from corpweave.session import cut
 DIM = 64
 #: Configurations of the grid search.
 GRID = [{"c": c, "iterations": i} for c in (0.01, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0) for i in (5, 15)]
-#: Up to so many terms are broadcast, more are joined by a shuffle.
-VOCABULARY = 200_000
+#: The most frequent terms of a contrast.
+VOCABULARY = 20_000
 
 
 def folded(df: DataFrame, n: int = 5) -> DataFrame:
@@ -68,10 +68,12 @@ def mlc_04(spark, sf_dir):
 
 @query("mlc_05_perceptron")
 def mlc_05(spark, sf_dir):
-    """MLC-05: a feed-forward classifier in the place of a multi-label network."""
-    rows = M.featured(segments(spark, sf_dir))
-    n = (rows.agg(F.max("label")).first()[0] or 0) + 1
-    return M.scored(M.perceptron(rows, [DIM, 16, int(n)], 10), rows).select("vec_id", "class_id", "assigned", "top")
+    """MLC-05: a feed-forward classifier in the place of a multi-label network, with early stopping on one fold of documents and a
+    last fit on all rows."""
+    rows = folded(M.featured(segments(spark, sf_dir)), 5).withColumn("held", F.col("fold") == 0).cache()
+    classes = [int(r[0]) for r in rows.select("class_id").distinct().orderBy("class_id").collect()]
+    model, _ = M.stopped_perceptron(rows, [DIM, 16, max(classes, default=0) + 1], classes, "held")
+    return M.scored(model, rows).select("vec_id", "class_id", "assigned", "top")
 
 
 def shifted(spark, sf_dir) -> DataFrame:
@@ -162,26 +164,30 @@ def mlc_12(spark, sf_dir):
 
 
 @query("mlc_13_tfidf_contrast", r"""
-with d as (select doc_id, lang, regexp_extract_all(lower(text), '[a-z]{3,}') as w from (select doc_id, text, case when lang = 'en' then 'en' else 'rest' end as lang from documents)),
-t as (select doc_id, lang, unnest(w) as term from d),
-tf as (select doc_id, lang, term, count(*) as tf from t group by 1, 2, 3),
-n as (select count(*) as n from d), df as (select term, count(*) as df from tf group by 1 having count(*) >= 3 and count(*) <= 0.65 * (select n from n)),
-x as (select doc_id, lang, term, tf * (ln((1 + n) / (1 + df)) + 1) as x from tf join df using (term), n),
-u as (select doc_id, lang, term, x / sqrt(sum(x * x) over (partition by doc_id)) as x from x),
-c as (select lang, count(*) as c from d group by 1),
-m as (select lang, term, sum(x) / any_value(c) as m from u join c using (lang) group by 1, 2),
-g as (select term, coalesce(max(m) filter (lang = 'en'), 0) - coalesce(max(m) filter (lang = 'rest'), 0) as contrast from m group by 1)
+with d as (select doc_id, case when lang = 'en' then 'en' else 'rest' end as side, regexp_extract_all(lower(text), '[a-z]{3,}') as w from documents),
+t as (select doc_id, side, unnest(list_concat(w, [concat(x[1], ' ', x[2]) for x in list_zip(w[:-2], w[2:])])) as term from d),
+tf as (select doc_id, side, term, count(*) as tf from t group by 1, 2, 3),
+n as (select count(*) as n from d),
+df as (select term, count(*) as df from tf group by 1 having count(*) >= 3 and count(*) <= 0.65 * (select n from n) order by sum(tf) desc, term limit 20000),
+x as (select doc_id, side, term, tf * (ln((1 + n) / (1 + df)) + 1) as x from tf join df using (term), n),
+u as (select doc_id, side, term, x / sqrt(sum(x * x) over (partition by doc_id)) as x from x),
+c as (select side, count(*) as c from d group by 1),
+m as (select side, term, sum(x) / any_value(c) as m from u join c using (side) group by 1, 2),
+g as (select term, coalesce(max(m) filter (side = 'en'), 0) - coalesce(max(m) filter (side = 'rest'), 0) as contrast from m group by 1)
 select term, round(contrast, 6) as contrast from g order by round(contrast, 6) desc, term limit 20""")
 def mlc_13(spark, sf_dir):
-    """MLC-13: mean difference of normalised TF-IDF weights between English documents and all others.
+    """MLC-13: mean difference of normalised TF-IDF weights of words and pairs of words between English documents and all others.
 
-    The vocabulary is broadcast up to a size, so that counts of frequent terms need not meet in one task."""
+    The vocabulary has 20,000 terms at most, so it is broadcast, and counts of frequent terms need not meet in one task."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("lang") == "en", "en").otherwise("rest").alias("side"))
-    tf = d.select("doc_id", "side", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0)).alias("term")).groupBy("doc_id", "side", "term").agg(F.count("*").alias("tf"))
+    w = d.select("doc_id", "side", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0).alias("w"))
+    two = F.expr("zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)), (x, y) -> concat(x, ' ', y))")
+    tf = w.select("doc_id", "side", F.explode(F.concat("w", two)).alias("term")).groupBy("doc_id", "side", "term").agg(F.count("*").alias("tf"))
     sides = {r[0]: r[1] for r in d.groupBy("side").count().collect()}
     n = sum(sides.values())
-    df = cut(tf.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= 3) & (F.col("df") <= 0.65 * n)))
-    x = tf.join(F.broadcast(df) if df.count() <= VOCABULARY else df, "term").withColumn("x", F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1))
+    terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where((F.col("df") >= 3) & (F.col("df") <= 0.65 * n))
+    df = cut(terms.orderBy(F.desc("all"), "term").limit(VOCABULARY).select("term", "df"))
+    x = tf.join(F.broadcast(df), "term").withColumn("x", F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1))
     length = x.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
     u = x.join(length, "doc_id").withColumn("u", F.col("x") / F.col("l"))
     side = lambda k: F.sum(F.when(F.col("side") == k, F.col("u")).otherwise(0.0)) / max(sides.get(k, 0), 1)

@@ -87,8 +87,10 @@ def test_grid_search_goes_on_from_its_log(spark, tmp_path):
 
 
 def test_perceptron_is_a_network_of_its_weights(spark, sf, seg):
-    rows = M.featured(segments(spark, sf))
-    model = M.perceptron(rows, [64, 16, 10], 10)
+    """What the query returns are the outputs of the network with the stored weights, after early stopping."""
+    rows = P.folded(M.featured(segments(spark, sf)), 5).withColumn("held", F.col("fold") == 0).cache()
+    model, rounds = M.stopped_perceptron(rows, [64, 16, 10], list(range(10)), "held")
+    assert 1 <= rounds <= 40 and np.allclose(M.perceptron(rows, [64, 16, 10], 5 * rounds).weights.toArray(), model.weights.toArray())
     w = model.weights.toArray()
     a, b = w[: 64 * 16].reshape(16, 64, order="F"), w[64 * 16 : 64 * 16 + 16]
     c, d = w[64 * 16 + 16 : 64 * 16 + 16 + 160].reshape(10, 16, order="F"), w[-10:]
