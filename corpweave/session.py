@@ -40,16 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
-#: Rows of a checkpoint's file, where their number is known, and files at least.
-ROWS, FILES = 20_000, 6
+#: Up to so many rows a checkpoint is dealt anew, to files of so many rows, and so many files at least.
+FEW, ROWS, FILES = 1_000_000, 20_000, 6
 
 
 def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cuts the lineage of ``df`` with a reliable checkpoint in the shared folder.
 
-    ``rows`` says how many there are at most, so that few rows do not become as many files as a shuffle has partitions."""
+    ``rows`` says how many there are at most, if it is known, so that few rows do not become as many files as a shuffle
+    has partitions."""
     shared_dir(df.sparkSession)
-    return (df if rows is None else df.coalesce(max(FILES, -(-rows // ROWS)))).checkpoint()
+    few = rows is not None and rows <= FEW
+    return (df.repartition(max(FILES, -(-rows // ROWS))) if few else df).checkpoint()
 
 
 def named(df: DataFrame, *without: str) -> list[Column]:
