@@ -231,8 +231,8 @@ def components(edges: DataFrame, rounds: int = 100, rows: int | None = None) ->
     """(node, root) for the nodes of the undirected edges (a, b); root is the smallest node that can be reached.
 
     Alternates large-star and small-star steps, which need a number of rounds logarithmic in a chain's length; each
-    round is checkpointed, so that a lost executor costs one round at most. ``rows`` is the number of edges at most, if
-    it is known."""
+    round is checkpointed, so that a lost executor costs one round at most, and so are the smallest neighbours, so that the
+    join with a node that very many edges have can be split. ``rows`` is the number of edges at most, if it is known."""
 
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -241,9 +241,9 @@ def components(edges: DataFrame, rounds: int = 100, rows: int | None = None) ->
     before = state(e)
     for _ in range(rounds if before[0] else 0):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * before[0])
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), 2 * before[0])
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         e = cut(small, 2 * before[0])
         now = state(e)
