@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpweave.session import cut, shared_dir
+from corpweave.session import cut, removed, shared_dir
 
 K = 5
 #: Queries of a block, bins of a histogram, and candidates scored at once.
@@ -154,7 +154,8 @@ class Block:
 def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = 256, block: int = BLOCK, bins: int = BINS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query the k highest inner products of quantised vectors.
 
-    With several blocks of queries, the result of each is written to the shared folder before the next one is asked."""
+    With several blocks of queries, the result of each is written to the shared folder before the next one is asked; they are
+    gathered in a checkpoint in the end."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), quantised(F.col(f"`{vector_col}`"), scale).alias("v"), is_query.alias("asks")).where("id is not null and v is not null")
     rows = cut(rows.select(F.monotonically_increasing_id().alias("row"), "id", "v", "asks"))
@@ -177,6 +178,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
             if blocks > 1 or len(mine) > block:
                 found.write.parquet(f"{at}/block={part}-{first}")
                 found = None
-    found = spark.read.schema(schema).parquet(at) if found is None else found
+    if found is None:
+        found = cut(spark.read.schema(schema).parquet(at))
+        removed(spark, at)
     rank = F.expr("row_number() over (partition by asker order by `order` desc, score desc, vec_id)")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
