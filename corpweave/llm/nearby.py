@@ -242,7 +242,7 @@ def roots(docs: DataFrame, prints: DataFrame, unique: bool = False) -> DataFrame
         ids = cut(some.distinct().join(nodes, "node").select(F.col("id").alias("of")).distinct(), rows)
         of = F.broadcast(ids) if ids.count() <= SENT else ids
         sets = sets_of(docs.join(of, F.col("id").eqNullSafe(F.col("of")), "left_semi"))
-        return cut(sets if unique else sets.dropDuplicates(["node"]))
+        return cut(sets if unique else sets.dropDuplicates(["node"]), rows)
 
     n = pairs.count()
     sets = sets_for(pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()), 2 * n)
@@ -267,7 +267,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     plain = docs.toDF(*at)
     id_, text = (F.col(at[names.index(c)]) for c in (id_col, text_col))
     texts = plain.select(id_.alias("id"), text.alias("text"))
-    prints = cut(signed(texts))
+    prints = cut(signed(texts), texts.count())
     unique = prints.groupBy("id").count().where("count > 1").isEmpty()
     named = simhash.named_by(prints.select("id", F.col("node").alias("fp")), roots(texts, prints, unique))
     if unique:
