@@ -216,17 +216,20 @@ _POISSON = np.cumsum([np.exp(-1) / float(np.prod(range(1, k + 1))) for k in rang
 
 
 @query("smp_11_pooled_bootstrap", f"""
-with u as (select draw, event_id % 2 as side, value, {_number_sql("'7'", "event_id", "draw")} / 4294967296.0 as u from events, range(0, 500) r(draw)),
-k as (select draw, side, value, {' + '.join(f'cast(u > {float(c)!r} as int)' for c in _POISSON)} as k from u),
+with h as (select event_id % 2 as side, value, part, md5(concat_ws(':', '7', event_id, part)) as h from events, range(0, 63) p(part)),
+u as (select part * 8 + place as draw, side, value, cast('0x' || substr(h, cast(4 * place + 1 as int), 4) as int) / 65536.0 as u from h, range(0, 8) a(place)),
+k as (select draw, side, value, {' + '.join(f'cast(u > {float(c)!r} as int)' for c in _POISSON)} as k from u where draw < 500),
 m as (select draw, sum(k * value) filter (side = 0) / sum(k) filter (side = 0) - sum(k * value) filter (side = 1) / sum(k) filter (side = 1) as d from k group by 1)
 select round(avg(d), 6) as mean, round(quantile_cont(d, 0.025), 6) as low, round(quantile_cont(d, 0.975), 6) as high, round(avg(cast(d > 0 as int)), 6) as share_above from m""")
 def smp_11(spark, sf_dir):
-    """SMP-11: 500 resamples of a difference of means, by Poisson counts that each row draws from hashes of its own key."""
+    """SMP-11: 500 resamples of a difference of means, by Poisson counts that each row draws from hashes of its own key, eight
+    to a hash."""
     e = table(spark, sf_dir, "events").select("event_id", "value", (F.col("event_id") % 2).alias("side"))
-    draws = F.broadcast(spark.range(500).withColumnRenamed("id", "draw"))
-    u = F.expr(_number("'7'", "event_id", "draw")) / 4294967296.0
-    times = sum(((F.col("u") > float(c)).cast("int") for c in _POISSON), F.lit(0))
-    d = e.crossJoin(draws).select("draw", "side", "value", u.alias("u")).withColumn("k", times).where("k > 0")
+    parts = F.broadcast(spark.range(63).withColumnRenamed("id", "part"))
+    h = e.crossJoin(parts).select("side", "value", "part", F.md5(F.concat_ws(":", F.lit("7"), "event_id", "part")).alias("h"))
+    u = F.explode(F.expr("transform(sequence(0, 7), at -> named_struct('draw', part * 8 + at, 'u', cast(conv(substr(h, 4 * at + 1, 4), 16, 10) as int) / 65536D))"))
+    rows = h.select("side", "value", u.alias("r")).where("r.draw < 500").select(F.col("r.draw").alias("draw"), "side", "value", F.col("r.u").cast("double").alias("u"))
+    d = rows.withColumn("k", sum(((F.col("u") > float(c)).cast("int") for c in _POISSON), F.lit(0))).where("k > 0")
     m = d.groupBy("draw").agg(*(F.try_divide(F.sum(F.when(F.col("side") == s, F.col("k") * F.col("value"))), F.sum(F.when(F.col("side") == s, F.col("k")))).alias(f"m{s}") for s in (0, 1)))
     g = m.select((F.col("m0") - F.col("m1")).alias("d"))
     return g.agg(F.round(F.avg("d"), 6).alias("mean"), *(F.round(F.percentile("d", F.lit(p)), 6).alias(n) for n, p in (("low", 0.025), ("high", 0.975))), F.round(F.avg((F.col("d") > 0).cast("int")), 6).alias("share_above"))
