@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpweave.llm import decontaminate, language, licenses, packing, pii, quality, simhash, topk, urls, warc
+from corpweave.llm import decontaminate, language, licenses, packing, pii, quality, rules, simhash, topk, urls, warc
 from corpweave.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -215,6 +215,67 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def _op11_sql() -> str:
+    word, edges = "[^\\x20\\x09-\\x0D]+", "[.,;:!?]"
+    sets = ["a-z", "A-Z", "0-9", "\\n", " \\t\\r\\x0B\\x0C", ".,;:?", "!", "#*$%&|<>", "()\\[\\]{}\'\'\"/\\\\_=+@-"]
+    each = ", ".join(f"length(regexp_replace(t, '[^{x}]', '', 'g'))" for x in sets)
+    part = "case when {0} > 0 then {0} * log2({0} / (({0} + {1}) / 2)) else 0 end + case when {1} > 0 then {1} * log2({1} / (({0} + {1}) / 2)) else 0 end".format
+    return f"""
+with d as (
+  select row_number() over () as r, doc_id, lang, text is null as missing, coalesce(text, '') as t from documents
+), w as (
+  select *, regexp_extract_all(t, '{word}') as w, [x for x in string_split(t, chr(10)) if regexp_matches(x, '{word}')] as lines, [{each}] as h,
+    length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) as ascii,
+    regexp_extract_all(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{edges}', '', 'g'), '{word}') as p from d
+), windows as (
+  select r, i, count(*) over (partition by r, array_to_string(w[i : i + {rules.WINDOW - 1}], ' ')) as c from (select r, w, unnest(range(1, len(w) - {rules.WINDOW - 2})) as i from w)
+), again as (
+  select r, count(distinct i + k) as n from windows, range(0, {rules.WINDOW}) x(k) where c > 1 group by r
+), b as (
+  select w.r, doc_id, lang, missing, p, list_concat(h, [ascii - list_sum(h), length(t) - ascii]) as h, length(t) as chars, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+    cast(h[8] as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(n, 0) as bigint) as n_repeat_words,
+    len(w) < {rules.LEAST} or 100 * coalesce(n, 0) > {rules.REPEATED} * len(w) as base_failed from w left join again using (r)
+), good as (select * from b where not base_failed),
+cls as (
+  select lang, k, sum(h[k]) as n from good, range(1, {len(rules.NAMES) + 1}) x(k) where lang is not null group by lang, k
+), clsref as (
+  select lang, k, n / sum(n) over (partition by lang) as q from cls
+), tok as (
+  select lang, unnest(p) as word from good where lang is not null
+), cnt as (
+  select lang, word, count(*) as n from tok group by all
+), tot as (
+  select lang, sum(n) as total from cnt group by lang having sum(n) >= {rules.LEARNED}
+), ref as (
+  select lang, word, n / total as q from (select *, row_number() over (partition by lang order by n desc, word) as pos from cnt) join tot using (lang) where pos <= {rules.COMMON}
+), most as (
+  select lang, sum(q) as q, count(*) + 1 as bins from ref group by lang
+), own as (
+  select r, word, count(*) as c, any_value(n) as n from (select r, unnest(p) as word, len(p) as n from good) group by r, word
+), hit as (
+  select r, lang, sum(c / n) as p, sum(q) as q, sum({part("(c / n)", "q")}) as total from own join ref using (word) group by r, lang
+), near as (
+  select good.r as r, most.lang as lang, bins, case when len(good.p) = 0 then 1 else sqrt(greatest((coalesce(total, 0) + most.q - coalesce(hit.q, 0) + {part("greatest(1 - coalesce(hit.p, 0), 0)", "greatest(1 - most.q, 0)")}) / 2, 0)) end as near
+  from good cross join most left join hit on hit.r = good.r and hit.lang = most.lang
+), far as (
+  select r, clsref.lang as lang, sqrt(greatest(sum({part("(h[k] / chars)", "q")}) / 2, 0)) as far from good join clsref on true group by r, clsref.lang
+), best as (
+  select r, lang, bins, far, near from near join far using (r, lang) qualify row_number() over (partition by r order by round(far + near, 11), lang) = 1
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, best.lang as ref_lang, round(far, 6) as char_distance, round(near, 6) as word_distance,
+  not base_failed and not coalesce(chars >= {rules.CHARS} and far * far > {rules.CHAR_LIMIT} + {len(rules.NAMES)} / (8 * ln(2) * chars), false)
+    and not coalesce(len(p) >= {rules.WORDS} and near * near > {rules.WORD_LIMIT} + bins / (8 * ln(2) * len(p)), false) as kept
+from b left join best using (r)
+"""
+
+
+@_query("op11_quality_rules", _op11_sql())
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every document, and whether its histograms are near enough to those of a language."""
+    found = rules.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over all documents."""
