@@ -37,7 +37,7 @@ EDGES = b".,;:!?"
 COMMON, LEARNED = 100, 2000
 #: Least words and characters for a histogram to be judged, and the divergence that is allowed beside that by chance.
 WORDS, CHARS = 50, 200
-WORD_LIMIT, CHAR_LIMIT = 0.06, 0.08
+WORD_LIMIT, CHAR_LIMIT = 0.07, 0.08
 #: Entries of a task's counts that are held at once.
 HELD = 200_000
 #: Words from which repeats are found by sorting instead of a set.
