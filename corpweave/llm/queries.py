@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpweave.llm import decontaminate, language, licenses, packing, pii, quality, rules, simhash, topk, urls, warc
+from corpweave.llm import decontaminate, language, licenses, negatives, packing, pii, quality, rules, simhash, topk, urls, warc
 from corpweave.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,6 +276,31 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
+_OP12_SQL = """
+with v as (
+  select row_number() over () as row, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * cast(x as double)) for x in embedding] as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len([1 for x in embedding if x is null or not isfinite(x)]) = 0
+), s as (
+  select a.row as anchor, a.vec_id as anchor_id, c.vec_id as id, a.label = c.label as same, cast(case
+      when len(a.v) = len(c.v) and len(a.v) > 0 then list_dot_product(a.v, c.v)
+      else coalesce(list_sum([coalesce(a.v[i], 0) * coalesce(c.v[i], 0) for i in range(1, least(len(a.v), len(c.v)) + 1)]), 0) end as bigint) as score
+  from v a join v c on a.vec_id % 100 = 0 and a.row <> c.row
+), p as (
+  select anchor, anchor_id, id as positive_id, score as positive_score, row_number() over (partition by anchor order by score desc, id) as at_ from s where same qualify at_ <= 5
+)
+select p.anchor_id as anchor_id, positive_id, cast(row_number() over (partition by p.anchor, p.at_ order by score desc, id) as integer) as rank, id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor = p.anchor and not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10
+"""
+
+
+@_query("op12_hard_negatives", _OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every row whose id is divisible by 100, with a seventh of all labels moved."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mined(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over all documents."""
