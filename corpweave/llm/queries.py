@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpweave.llm import decontaminate, language, licenses, negatives, packing, pii, quality, rules, simhash, topk, urls, warc
+from corpweave.llm import decontaminate, language, licenses, negatives, packing, pii, quality, rules, simhash, topk, trie, urls, warc
 from corpweave.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -301,6 +301,44 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mined(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
+_OP13_SQL = """
+with t as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), md5(coalesce(octet_length(encode(role)), 0) || ':' || coalesce(role, '') || coalesce(text, ''))) as k,
+    md5(coalesce(octet_length(encode(role)), 0) || ':' || coalesce(role, '') || coalesce(text, '')) as m, coalesce(octet_length(encode(text)), 0) as b from conversations where conv_id is not null
+), c as (
+  select conv_id, conv_id - conv_id % 5 as base, (xor(4294967295, list_reduce(list_prepend(4294967295, [cast(ascii(x) as bigint) for x in string_split(cast(conv_id as varchar), '')]),
+    lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))))) % 9 as h from (select distinct conv_id from t)
+), r as (
+  select c.conv_id as conv_id, k, m, b from c join t on t.conv_id = c.base where k <= h
+  union all
+  select c.conv_id, k, m, b from c join t on t.conv_id = c.conv_id where k > h
+), s as (
+  select c.conv_id as conv_id, count(m) as len, coalesce(string_agg(m, '' order by k), '') as path, list(b order by k) as b from c left join r on r.conv_id = c.conv_id group by c.conv_id
+), x as (
+  select conv_id, len, substr(path, 1, 32 * d) as path, d, case when d = 0 then 0 else b[d] end as b from (select *, unnest(range(0, len + 1)) as d from s)
+), n as (
+  select path, d, min(conv_id) as conv_id, count(*) as n, any_value(b) as b, string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (len = d) as ends from x group by path, d
+), kids as (
+  select substr(path, 1, 32 * (d - 1)) as path, count(*) as kids from n where d > 0 group by 1
+), o as (
+  select n.*, coalesce(kids, 0) as kids from n left join kids using (path)
+), u as (
+  select substr(path, 1, 32 * k) as path, sum(case when kids = 0 then 1 else 0 end) as leaves, sum((n - 1) * b) as saved from (select *, unnest(range(0, d + 1)) as k from o) group by 1
+)
+select o.conv_id as conv_id, cast(o.d as bigint) as depth, p.conv_id as parent_conv_id, cast(o.n as bigint) as n_convs, cast(o.kids as bigint) as n_children, cast(leaves as bigint) as n_leaves,
+  cast(saved as bigint) as saved_tokens, sha256(coalesce(o.ends, '')) as ends_sha256
+from o join u using (path) left join n p on o.d > 0 and p.path = substr(o.path, 1, 32 * (o.d - 1)) and p.d = o.d - 1
+"""
+
+
+@_query("op13_prefix_trie", _OP13_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations, each with its first turns from the one whose id is the next lower multiple of five."""
+    base = F.col("conv_id") - F.col("conv_id") % 5
+    rows = trie.turns(_table(spark, sf_dir, "conversations"), near=base)
+    return trie.nodes(trie.spliced(rows, F.col("near"), F.crc32(F.col("id").cast("string")) % 9, 8))
+
+
 @_query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over all documents."""
