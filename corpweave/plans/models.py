@@ -10,7 +10,9 @@ from corpweave.functions import vectors as V
 from corpweave.operators import distances as D
 from corpweave.operators import gaps as G
 from corpweave.operators import models as M
+from corpweave.operators import networks as N
 from corpweave.operators import relational as R
+from corpweave.operators import search as SEARCH
 from corpweave.operators import segmentation
 from corpweave.plans import distances as _metrics  # noqa: F401  registers the queries that METRICS names
 from corpweave.plans.base import SEG, draw, segments, table
@@ -76,6 +78,39 @@ def mlc_05(spark, sf_dir):
     return M.scored(model, rows).select("vec_id", "class_id", "assigned", "top")
 
 
+def labelled(b: Base, near: float = 0.05) -> DataFrame:
+    """Segments with several labels: all classes whose centroids are nearly as similar as the most similar one; with their fold, and
+    whether early stopping holds their document out."""
+    top = F.array_max("scores")
+    every = F.filter(F.transform("scores", lambda x, i: F.when(x >= top - near, i.cast("int"))), lambda i: i.isNotNull())
+    rows = b.seg.withColumn("scores", V.products(F.col("v"), b.classes.rows)).select("vec_id", "doc", "v", every.alias("labels"))
+    at = F.conv(F.substring(draw(42, "doc"), 1, 8), 16, 10).cast("long")
+    return rows.withColumn("fold", at % 5).withColumn("inner", F.shiftright(at, 8) % 10 == 0)
+
+
+@query("mlc_05_network")
+def mlc_05_network(spark, sf_dir):
+    """MLC-05: a network with batch normalisation, dropout and a sigmoid for each label, by AdamW over mini-batches of blocks, with
+    early stopping on a tenth of the documents and a last fit on all rows; a probability for each label of all rows."""
+    b = Base(spark, sf_dir)
+    rows = labelled(b)
+    found = N.refitted(rows, N.Setting(layers=2, hidden=DIM // 2, lr=3e-3), DIM, len(b.ids), inner="inner")
+    p = rows.select("vec_id", F.array_size("labels").alias("n_labels"), N.probabilities(F.col("v"), found.network).alias("p"))
+    return p.select("vec_id", "n_labels", (F.array_position("p", F.array_max("p")) - 1).cast("int").alias("assigned"), F.size(F.filter("p", lambda x: x >= 0.5)).alias("n_assigned"), F.array_max("p").alias("top"), F.lit(found.epochs).alias("epochs"), F.lit(found.held).alias("held"))
+
+
+@query("mlc_04_search")
+def mlc_04_search(spark, sf_dir):
+    """MLC-04 and STR-06: sixteen logistic models and sixteen networks over five grouped folds, all settings and folds in the same
+    scans; what the log has under the same data and settings is not fitted again."""
+    b = Base(spark, sf_dir)
+    rows, at = labelled(b), folder(spark)
+    config = {"rows": rows.count(), "d": DIM, "seed": 42, "folds": SEARCH.FOLDS}
+    first = SEARCH.grid(SEARCH.LOGISTIC)[:2]
+    SEARCH.searched(rows, len(b.ids), DIM, at, config, first, [], fold="fold", inner="inner")  # as if it had been stopped here
+    return SEARCH.searched(rows, len(b.ids), DIM, at, config, epochs=40, fold="fold", inner="inner").select("model", "config", "mean", "sd", "per_fold", "per_class")
+
+
 def shifted(spark, sf_dir) -> DataFrame:
     """Segments whose second corpus lies a little farther along the first axis, so that a classifier can tell the two apart."""
     v = V.unit(F.transform("v", lambda x, i: F.when(i == 0, x + 0.25 * F.col("corpus")).otherwise(x)))
