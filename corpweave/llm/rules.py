@@ -70,9 +70,15 @@ def repeated(words: list[bytes], size: int = WINDOW) -> int:
     if n < 2:
         return 0
     if len(words) < LONG:
-        windows = list(zip(*(words[i:] for i in range(size))))
-        if len(set(windows)) == n:
+        # equal windows have equal codes, so without equal codes nothing repeats
+        h = np.fromiter(map(hash, words), np.int64, len(words))
+        code = h[:n].copy()
+        for i in range(1, size):
+            code = code * 1000003 + h[i : i + n]
+        code.sort()
+        if (code[1:] != code[:-1]).all():
             return 0
+        windows = list(zip(*(words[i:] for i in range(size))))
         counts = Counter(windows)
         again = np.fromiter((counts[w] > 1 for w in windows), bool, n)
     else:
@@ -115,36 +121,42 @@ def plain_words(data: bytes) -> list[bytes]:
     return data.lower().translate(None, EDGES).split()
 
 
-@dataclass
 class References:
     """Histograms by language: shares of character classes, and of the common words with all others last."""
 
-    langs: list[str]
-    classes: np.ndarray
-    words: list[dict[bytes, int]]
-    shares: list[np.ndarray]
-
-    def nearest(self, c: Counted, words: Counter, n: int) -> tuple[str, float, float] | None:
+    def __init__(self, langs: list[str], classes: np.ndarray, words: list[dict[bytes, int]], shares: list[np.ndarray]):
+        self.langs, self.classes, self.words, self.shares = langs, classes, words, shares
+        self.bins = [len(s) for s in shares]
+        self.matrix = np.zeros((len(langs), max(self.bins, default=1)))
+        self.places: dict[bytes, list[tuple[int, int]]] = {}
+        for k, (of, s) in enumerate(zip(words, shares)):
+            self.matrix[k, : len(s) - 1], self.matrix[k, -1] = s[:-1], s[-1]
+            for w, i in of.items():
+                self.places.setdefault(w, []).append((k, i))
+
+    def nearest(self, c: Counted, words: Counter, n: int) -> tuple[str, float, float]:
         """(language, character distance, word distance) of the reference with the least sum, the first of equals."""
-        found = None
-        for k, lang in enumerate(self.langs):
-            far = distance(c.classes / c.classes.sum(), self.classes[k])
-            own = np.zeros(len(self.shares[k]))
-            for w, i in self.words[k].items():
-                own[i] = words.get(w, 0)
-            own[-1] = n - own.sum()
-            near = distance(own / n, self.shares[k]) if n else 1.0
-            if found is None or far + near < found[1] + found[2] - 1e-12:
-                found = (lang, far, near)
-        return found
-
-
-def distance(p: np.ndarray, q: np.ndarray) -> float:
-    """Jensen-Shannon distance of two histograms, base 2."""
-    m = (p + q) / 2
-    a, b = p > 0, q > 0
-    total = (p[a] * np.log2(p[a] / m[a])).sum() + (q[b] * np.log2(q[b] / m[b])).sum()
-    return math.sqrt(max(total / 2, 0.0))
+        far = distance(c.classes / c.classes.sum(), self.classes)
+        if not n:
+            near = np.ones(len(self.langs))
+        else:
+            own = np.zeros(self.matrix.shape)
+            for w in words.keys() & self.places.keys():
+                for k, i in self.places[w]:
+                    own[k, i] = words[w]
+            own[:, -1] = n - own.sum(axis=1)
+            near = distance(own / n, self.matrix)
+        k = int(np.argmin(np.round(far + near, 11)))
+        return self.langs[k], float(far[k]), float(near[k])
+
+
+def _entropy(p: np.ndarray) -> np.ndarray:
+    return (p * np.log2(np.maximum(p, 1e-300))).sum(axis=-1)
+
+
+def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon distances of histograms in the last axis, base 2."""
+    return np.sqrt(np.maximum((_entropy(p) + _entropy(q)) / 2 - _entropy((p + q) / 2), 0.0))
 
 
 def chance(bins: int, n: int) -> float:
@@ -157,12 +169,14 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     plain = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text")).where("lang is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
-        held: Counter = Counter()
+        words: dict[str, Counter] = {}
+        classes: dict[str, np.ndarray] = {}
 
         def out() -> list:
-            rows = list(held.items())
-            held.clear()
-            return [pa.array([x[k] for x, _ in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.binary()))] + [pa.array([n for _, n in rows], pa.int64())]
+            rows = [(lang, -1, w, n) for lang, of in words.items() for w, n in of.items()]
+            rows += [(lang, k, b"", n) for lang, of in classes.items() for k, n in enumerate(of.tolist())]
+            words.clear(), classes.clear()
+            return [pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.int64()))]
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
@@ -170,11 +184,9 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                 c = counted(data)
                 if c.failed:
                     continue
-                for k, n in enumerate(c.classes.tolist()):
-                    held[lang, k, b""] += n
-                for w, n in Counter(plain_words(data)).items():
-                    held[lang, -1, w] += n
-                if len(held) > HELD:
+                classes[lang] = classes[lang] + c.classes if lang in classes else c.classes
+                words.setdefault(lang, Counter()).update(plain_words(data))
+                if sum(map(len, words.values())) > HELD:
                     yield out()
         yield out()
 
@@ -204,15 +216,14 @@ def judged(docs: DataFrame, learned: References, kept: list[str], text_col: str
     """The columns ``kept`` and FIELDS for each document."""
     at = docs.columns.index(text_col)
     inner = [docs.columns.index(c) for c in kept]
-    union = {w for words in learned.words for w in words}
 
     def one(data: bytes) -> tuple:
         c = counted(data)
         if c.failed or not learned.langs:
             return *c.base, c.failed, None, None, None, not c.failed
         some = plain_words(data)
-        lang, far, near = learned.nearest(c, Counter(w for w in some if w in union), len(some))
-        bins = len(learned.shares[learned.langs.index(lang)])
+        lang, far, near = learned.nearest(c, Counter(some), len(some))
+        bins = learned.bins[learned.langs.index(lang)]
         chars = int(c.classes.sum())
         odd = chars >= CHARS and far * far > CHAR_LIMIT + chance(len(NAMES), chars)
         odd |= len(some) >= WORDS and near * near > WORD_LIMIT + chance(bins, len(some))
