@@ -4,7 +4,7 @@ Each text is encoded once per language with a zstandard raw-content dictionary o
 names it. A text is folded first (lower case, letters only) and encoded in blocks, so that the dictionary keeps its
 advantage over what a long text teaches the encoder about itself. A narrow margin between the two best languages
 rejects the choice. All languages that the training rows name are learned, each from a bounded sample of its documents,
-which are taken whole; time and memory grow with the number of languages.
+which are taken whole; time grows with the number of languages, memory only up to a bound.
 
 Defined results: a null text, or one without letters, is ``und`` with score zero; equal sizes go to the language with
 more training documents; languages that are null take no part in learning; with nothing to learn from, all texts are ``und``;
@@ -22,9 +22,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Training documents of each language at most, and bytes that they may have together; one is taken whatever its size.
+#: Training documents of each language at most, bytes that they may have together (one is taken whatever its size), and
+#: bytes of all languages, of which no language gets more than an equal share.
 SAMPLE = 256
 DICTIONARY = 1 << 19
+ALL = 1 << 26
 #: Bytes encoded at once, and zstandard's level.
 BLOCK = 4096
 LEVEL = 9
@@ -71,35 +73,41 @@ class Languages:
         return name, share, float(second - best), share < margin
 
 
-def dictionaries(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, size: int = DICTIONARY) -> dict[str, bytes]:
-    """A dictionary for each language: whole documents in the order of a hash of their ids, at most ``sample`` of them,
-    as long as they have ``size`` bytes together; the first is taken whatever its size.
+def dictionaries(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, size: int = DICTIONARY, total: int = ALL) -> dict[str, bytes]:
+    """A dictionary for each language: different documents in the order of a hash of their ids and texts, at most ``sample`` of
+    them, as long as they have ``size`` bytes together; the first is taken
+    whatever its size, but no language gets more than its share of ``total``.
 
-    Counts all languages first, so that only rows near the sample's share are read in full. Comes in the order of the
-    languages' numbers of documents."""
+    Counts all languages first, so that only rows near the sample's share are read in full. Repeated rows count once, and rows
+    without an id by their texts. Comes in the order of the languages' numbers of documents."""
+    spot = F.xxhash64(F.lit("language"), "id", "text")
     rows = train.select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").alias("id"))
-    rows = rows.where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row for each language
+    rows = rows.where("lang is not null and text is not null").withColumn("spot", spot)
+    each = rows.groupBy("lang", "spot").agg(F.count("*").alias("n"))
+    counts = each.groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("different")).orderBy(F.desc("n"), "lang").collect()  # a row for each language
     if not counts:
         return {}
-    shares = train.sparkSession.createDataFrame([(r[0], min(1.0, 1.5 * sample / r[1] + 50 / r[1])) for r in counts], "lang string, share double")
-    spot = F.shiftrightunsigned(F.xxhash64(F.lit("language"), "id"), 11) / F.lit(float(1 << 53))
-    near = rows.withColumn("spot", spot).join(F.broadcast(shares), "lang").where("spot <= share")
-    order = Window.partitionBy("lang").orderBy("spot", "text")  # about one and a half samples of a language
+    share = max(1, total // len(counts))
+    size = min(size, share)
+    shares = train.sparkSession.createDataFrame([(r[0], min(1.0, 1.5 * sample / r[2] + 50 / r[2])) for r in counts], "lang string, share double")
+    place = F.shiftrightunsigned("spot", 11) / F.lit(float(1 << 53))
+    near = rows.withColumn("place", place).join(F.broadcast(shares), "lang").where("place <= share")
+    near = near.groupBy("lang", "place", "spot").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("place", "spot")  # about one and a half samples of a language
     ranked = near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= sample)
     upto = F.sum(F.octet_length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     taken = ranked.withColumn("upto", upto).where((F.col("upto") <= size) | (F.col("at") == 1)).select("lang", "at", "text")
     parts: dict[str, list[tuple[int, bytes]]] = {}
     for r in taken.toLocalIterator():
         parts.setdefault(r[0], []).append((r[1], folded(r[2])))
-    learned = {lang: b"".join(x for _, x in sorted(some, reverse=True)) for lang, some in parts.items()}
+    learned = {lang: b"".join(x for _, x in sorted(some, reverse=True))[-share:] for lang, some in parts.items()}
     return {r[0]: learned[r[0]] for r in counts if learned.get(r[0])}
 
 
 def identify(text: Column, learned: dict[str, bytes], margin: float = MARGIN, level: int = LEVEL) -> Column:
     """A struct of lang, score, margin in bytes and rejected for a text column.
 
-    ``learned`` is a dictionary for each language and travels with the tasks."""
+    ``learned`` is a dictionary for each language and travels with the tasks; ``dictionaries`` bounds all of them together."""
 
     @F.arrow_udf(FIELDS)
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -6,7 +6,7 @@ bounded sample of labelled documents. A logistic curve fitted on held-back folds
 scores; nothing but the text is an input of a score.
 
 Defined results: a null text counts as empty and is scored as one; labels other than 0 and 1, and null ones, take no
-part; of contradicting labels of one id the lower counts; without both classes every score is 0.5; an empty table
+part; of contradicting labels of one id the lower counts, and of its texts the one with the smallest digest; without both classes every score is 0.5; an empty table
 gives no rows; equal margins have equal scores.
 """
 
@@ -25,6 +25,8 @@ from corpweave.session import cut
 
 #: Labelled documents that are learned from, of each class at most.
 SAMPLE = 2500
+#: Bytes of their features at most, so that a few thousand very long documents fit the driver; the first ones by the hash stay.
+BYTES = 1 << 28
 #: N-gram sizes in bytes and the number of slots.
 SIZES = (1, 2, 3, 4)
 HASHED = 1 << 18
@@ -211,25 +213,38 @@ def features_column(text: Column) -> Column:
     return of(text)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """Fits a model on the labelled documents among ``docs``, at most ``sample`` of each class by a hash of their ids."""
+def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most: int = BYTES) -> Model:
+    """Fits a model on the labelled documents among ``docs``, at most ``sample`` of each class by a hash of their ids, and ``most``
+    bytes of features; of several texts of one id the one with the smallest digest counts."""
     plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     marked = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("label"))
     marked = marked.where(F.col("label").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.min("label").alias("label"))
     known = plain.select("id").distinct().join(marked, "id")
     counts = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     chosen: dict = {}
+    spots: dict = {}
     for c in sorted(counts):
         near = known.where(F.col("label") == c).select("id", F.xxhash64(F.lit("quality"), "id").alias("at"))
-        chosen |= {r[0]: c for r in near.orderBy("at", "id").limit(sample).collect()}
+        some = near.orderBy("at", "id").limit(sample).collect()
+        chosen |= {r[0]: c for r in some}
+        spots |= {r[0]: k for k, r in enumerate(some)}
     if len(counts) < 2:
         return fit(Rows.of([]), [])
     wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], known.select("id").schema)  # at most 2 * sample ids
-    found = plain.join(F.broadcast(wanted), "id").select("id", features_column(F.col("text")).alias("slots"))
+    text = F.coalesce("text", F.lit(""))
+    one = plain.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min(F.struct(F.md5(text).alias("digest"), text.alias("text"))).alias("first"))
+    found = cut(one.select("id", features_column(F.col("first.text")).alias("slots")))
+    size, fits = 0, []
+    for n, i in sorted(((r[1], r[0]) for r in found.select("id", F.octet_length("slots")).collect()), key=lambda x: (spots[x[1]], chosen[x[1]])):
+        size += n
+        if size <= most or len(fits) < 2:
+            fits.append(i)
+    if len(fits) < found.count():
+        found = found.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fits], known.select("id").schema)), "id")
     names: list[tuple[str, int]] = []
 
     def parts() -> Iterator[bytes]:
-        for r in cut(found).toLocalIterator():
+        for r in found.toLocalIterator():
             names.append((str(r[0]), r[0]))
             yield r[1]
 

@@ -36,15 +36,16 @@ def test_whole_query_equals_plain_python(spark, sf):
     train = [r for r in docs if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.lang is not None and r.text is not None]
     seed = xxhash.xxh64_intdigest(b"language", 42)
 
-    def spot(i):
-        return (xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), seed) >> 11) / 2**53
+    def spot(r):
+        h = xxhash.xxh64_intdigest(r.doc_id.to_bytes(8, "little", signed=True), seed)
+        return xxhash.xxh64_intdigest(r.text.encode(), h)
 
     learned, by = {}, {}
     for r in train:
         by.setdefault(r.lang, []).append(r)
     for lang, rows in sorted(by.items(), key=lambda x: (-len(x[1]), x[0])):
         size, parts = 0, []
-        for k, r in enumerate(sorted(rows, key=lambda r: (spot(r.doc_id), r.text))[: L.SAMPLE]):
+        for k, r in enumerate(sorted(rows, key=lambda r: (spot(r) >> 11, spot(r)))[: L.SAMPLE]):
             size += len(r.text.encode())
             if size <= L.DICTIONARY or k == 0:
                 parts.append(L.folded(r.text))
@@ -55,6 +56,22 @@ def test_whole_query_equals_plain_python(spark, sf):
     assert got == {r.doc_id: model.choose(r.text)[:2] for r in docs}
 
 
+def test_missing_and_repeated_ids(spark):
+    """Many rows without an id, one id for all rows, and one row very often: languages are learned, from different texts."""
+    for ids in ("null", "7", "id % 3"):
+        df = spark.range(40_000).selectExpr(f"cast({ids} as long) as doc_id", "concat('das ist der text nummer ', id) as text", "if(id % 4 = 0, 'de', 'nl') as lang")
+        learned = L.dictionaries(df)
+        assert list(learned) == ["nl", "de"] and all(d.count(b"nummer") >= 200 for d in learned.values())
+    once = spark.range(20_000).selectExpr("1L as doc_id", "'immer der gleiche text' as text", "'de' as lang").unionByName(spark.createDataFrame([(2, "un autre texte", "fr"), (3, "encore un texte", "fr")], "doc_id long, text string, lang string"))
+    assert L.dictionaries(once)["de"] == L.folded("immer der gleiche text") and L.dictionaries(once)["fr"].count(b"texte") == 2
+
+
+def test_dictionaries_are_bounded(spark):
+    long = spark.createDataFrame([(1, "wort " * 5000, "de"), (2, "mot " * 5000, "fr")], "doc_id long, text string, lang string")
+    assert all(len(v) > 15_000 for v in L.dictionaries(long, size=1000).values())  # one whole document
+    assert all(len(v) == 250 for v in L.dictionaries(long, total=500).values())
+
+
 def test_letters():
     assert L.folded("½ ²①Ⅷ 7 \u0301 _-") == b"" and L.folded("A½b") == b" a b " and L.folded("ª") == " ª ".encode()
     model = L.Languages({"a": b" the ", "b": b" der "})
