@@ -119,3 +119,16 @@ def grouped_split(df: DataFrame, group: str, by: list[str], class_col: str, firs
     g = df.groupBy(group, *by).agg(F.min_by(class_col, first).alias("__class"))
     g = among_first(g, [*by, "__class"], order, group, F.ceil(F.col("n") * share), "__train")
     return df.join(g.select(group, (~F.col("__train")).alias("test")), group)
+
+
+def area_under_curve(df: DataFrame, by: list[str], score: str, truth: str) -> DataFrame:
+    """(by, auc): the share of pairs of a row of truth 1 and one of truth 0 that scores order rightly, ties as one half; null
+    without both.
+
+    Scores are counted by value; running counts over ranges of them mean that no task has to sort a group."""
+    from corpweave.operators.ranges import running
+
+    counts = df.groupBy(*by, score).agg(F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) == 0).alias("neg"))
+    r = running(counts, by, score, ["neg"])
+    right = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
+    return r.groupBy(*by).agg(F.try_divide(right, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from corpweave.operators.relational import capped
 from corpweave.plans.base import SEG, draw, segments
 from corpweave.plans.gaps import rounded, unit_means
 from corpweave.registry import query
+from corpweave.session import cut, removed, shared_dir
 
 DIM = 64
 
@@ -185,3 +188,39 @@ def dis_12(spark, sf_dir):
     d = F.array_max(F.zip_with("x", "z", lambda x, z: F.abs(x - z)))
     ok = F.when(F.col("d") <= 1e-4, F.col("d")).otherwise(F.raise_error(F.lit("a recomputed centroid differs")))
     return a.join(F.broadcast(b), "class_id").select("class_id", d.alias("d")).select("class_id", F.round(ok, 6).alias("difference"))
+
+
+@query("dis_12_all_gates", f"""
+with {SEG}, n as (select class_id, cast(count(*) filter (corpus = 0) as bigint) as n0, cast(count(*) filter (corpus = 1) as bigint) as n1 from seg group by 1), {unit_means('seg', 'class_id', 'corpus', name='u')}
+select n.class_id as class_id, n0, n1, round(1 - list_dot_product(a.c, b.c), 6) as gap, true as passed from n join u a on a.class_id = n.class_id and a.corpus = 0 join u b on b.class_id = n.class_id and b.corpus = 1""")
+def dis_12_all(spark, sf_dir):
+    """DIS-12: four gates of each class that fail the query: its rows against a canonical run's, its centroids' gap against one from
+    sums of components, against the canonical run's gap, and a gap between nothing and two."""
+    s = segments(spark, sf_dir)
+
+    def run(rows: DataFrame) -> DataFrame:
+        c = G.centroids(rows, "class_id", "corpus")
+        a, b = (c.where(F.col("corpus") == k).select("class_id", F.col("centroid").alias(n)) for k, n in ((0, "x"), (1, "y")))
+        gap = a.join(F.broadcast(b), "class_id").select("class_id", (1 - V.dot(F.col("x"), F.col("y"))).alias("gap"))
+        n = rows.groupBy("class_id").agg(F.count_if(F.col("corpus") == 0).alias("n0"), F.count_if(F.col("corpus") == 1).alias("n1"))
+        return n.join(F.broadcast(gap), "class_id")
+
+    kept = f"{shared_dir(spark).rstrip('/')}/canonical-{uuid.uuid4().hex}"
+    run(s).write.parquet(kept)
+    canonical = cut(spark.read.parquet(kept)).select("class_id", F.col("n0").alias("c0"), F.col("n1").alias("c1"), F.col("gap").alias("c"))
+    removed(spark, kept)
+    long = s.select("class_id", "corpus", F.posexplode("v").alias("i", "y")).groupBy("class_id", "i").agg(F.avg(F.when(F.col("corpus") == 0, F.col("y"))).alias("p"), F.avg(F.when(F.col("corpus") == 1, F.col("y"))).alias("q"))
+    again = long.groupBy("class_id").agg((1 - F.sum(F.col("p") * F.col("q")) / F.sqrt(F.sum(F.col("p") * F.col("p")) * F.sum(F.col("q") * F.col("q")))).alias("again"))
+    return gates(run(s).join(F.broadcast(canonical), "class_id", "full").join(F.broadcast(again), "class_id", "left"))
+
+
+def gates(both: DataFrame) -> DataFrame:
+    """(class_id, n0, n1, gap, passed) of rows that also have another run's counts (c0, c1), its gap (c) and one found another way
+    (again); the first gate that a class fails is an error that names it."""
+    far = lambda a, b, most: ~F.coalesce(F.abs(F.col(a) - F.col(b)) <= most, F.lit(False))
+    said = lambda what: F.raise_error(F.concat(F.lit(f"{what} of class "), F.col("class_id").cast("string"))).cast("boolean")
+    ok = F.when(~(F.col("n0").eqNullSafe(F.col("c0")) & F.col("n1").eqNullSafe(F.col("c1"))), said("gate 1: other counts than in the canonical run"))
+    ok = ok.when(far("gap", "again", 1e-4), said("gate 2: another gap from sums of components"))
+    ok = ok.when(far("gap", "c", 1e-6), said("gate 3: another gap than in the canonical run"))
+    ok = ok.when(~F.coalesce(F.col("gap").between(-1e-9, 2 + 1e-9), F.lit(False)), said("gate 4: no gap between zero and two"))
+    return both.select("class_id", "n0", "n1", F.round("gap", 6).alias("gap"), ok.otherwise(True).alias("passed"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpweave.functions import vectors as V
@@ -14,6 +14,7 @@ from corpweave.operators import networks as N
 from corpweave.operators import relational as R
 from corpweave.operators import search as SEARCH
 from corpweave.operators import segmentation
+from corpweave.operators.quantiles import quantiles
 from corpweave.plans import distances as _metrics  # noqa: F401  registers the queries that METRICS names
 from corpweave.plans.base import SEG, draw, segments, table
 from corpweave.plans.gaps import SCORED, Base
@@ -213,18 +214,22 @@ select term, round(contrast, 6) as contrast from g order by round(contrast, 6) d
 def mlc_13(spark, sf_dir):
     """MLC-13: mean difference of normalised TF-IDF weights of words and pairs of words between English documents and all others.
 
-    The vocabulary has 20,000 terms at most, so it is broadcast, and counts of frequent terms need not meet in one task."""
+    Terms are counted first without their documents: those of a document are sorted, so that each one's first is known and one
+    count gives both its documents and all its places. The vocabulary has 20,000 terms at most and is broadcast; what it holds of
+    the documents is dealt by document once, for counts and lengths alike."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("lang") == "en", "en").otherwise("rest").alias("side"))
     w = d.select("doc_id", "side", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), 0).alias("w"))
     two = F.expr("zip_with(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)), (x, y) -> concat(x, ' ', y))")
-    tf = w.select("doc_id", "side", F.explode(F.concat("w", two)).alias("term")).groupBy("doc_id", "side", "term").agg(F.count("*").alias("tf"))
+    terms = w.select("doc_id", "side", F.concat("w", two).alias("t"))
     sides = {r[0]: r[1] for r in d.groupBy("side").count().collect()}
     n = sum(sides.values())
-    terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all")).where((F.col("df") >= 3) & (F.col("df") <= 0.65 * n))
-    df = cut(terms.orderBy(F.desc("all"), "term").limit(VOCABULARY).select("term", "df"))
-    x = tf.join(F.broadcast(df), "term").withColumn("x", F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1))
-    length = x.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
-    u = x.join(length, "doc_id").withColumn("u", F.col("x") / F.col("l"))
+    told = F.expr("zip_with(t, concat(array(cast(null as string)), slice(t, 1, greatest(size(t) - 1, 0))), (x, y) -> struct(x as term, not (x <=> y) as first))")
+    each = terms.select(F.sort_array("t").alias("t")).where("size(t) > 0").select(F.inline(told))
+    counts = each.groupBy("term").agg(F.sum(F.col("first").cast("long")).alias("df"), F.count("*").alias("all")).where((F.col("df") >= 3) & (F.col("df") <= 0.65 * n))
+    df = cut(counts.orderBy(F.desc("all"), "term").limit(VOCABULARY).select("term", "df"))
+    tf = terms.select("doc_id", "side", F.explode("t").alias("term")).join(F.broadcast(df), "term").repartition("doc_id").groupBy("doc_id", "side", "term", "df").agg(F.count("*").alias("tf"))
+    x = tf.withColumn("x", F.col("tf") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1))
+    u = x.withColumn("u", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id"))))
     side = lambda k: F.sum(F.when(F.col("side") == k, F.col("u")).otherwise(0.0)) / max(sides.get(k, 0), 1)
     g = u.groupBy("term").agg(F.round(side("en") - side("rest"), 6).alias("contrast"))
     return g.orderBy(F.desc("contrast"), "term").limit(20)
@@ -257,8 +262,10 @@ def vec_19(spark, sf_dir):
     chance = np.linalg.qr(np.random.default_rng(42).normal(size=(DIM, len(basis))))[0].T
     out = None
     for name, b in (("span", basis), ("random", chance)):
-        n = s.select(V.norm(V.products(F.col("v"), b)).alias("n"))
-        g = n.agg(F.lit(name).alias("basis"), F.max("n").alias("most"), F.percentile("n", F.lit(0.99)).alias("p99"), F.avg("n").alias("mean"), F.median("n").alias("median")).withColumn("expected", F.lit(float(np.sqrt(len(b) / DIM))))
+        n = s.select(F.lit(name).alias("basis"), V.norm(V.products(F.col("v"), b)).alias("n"))
+        q = quantiles(n, "basis", "n", {"p99": 0.99, "median": 0.5})
+        g = n.groupBy("basis").agg(F.max("n").alias("most"), F.avg("n").alias("mean")).join(F.broadcast(q), "basis")  # a row
+        g = g.select("basis", "most", "p99", "mean", "median").withColumn("expected", F.lit(float(np.sqrt(len(b) / DIM))))
         out = g if out is None else out.unionByName(g)
     return out
 
@@ -337,3 +344,43 @@ def udf_07(spark, sf_dir):
         m = m.select("m.metric", F.col("class_id").cast("int").alias("class_id"), "m.value")
         out = m if out is None else out.unionByName(m)
     return out
+
+
+#: UDF-07: metrics that SQL can't say: name: what gives (class_id, value).
+MORE = {
+    "gaussian_w2": lambda spark, sf_dir: _metrics.dis_03(spark, sf_dir).select("class_id", F.sqrt(F.col("mean_term") + F.col("cov_term")).alias("value")),
+    "gaussian_shape_share": lambda spark, sf_dir: _metrics.dis_03(spark, sf_dir).select("class_id", F.try_divide("cov_term", F.col("mean_term") + F.col("cov_term")).alias("value")),
+    "grassmann": lambda spark, sf_dir: _metrics.dis_04(spark, sf_dir).select("class_id", F.col("distance").alias("value")),
+    "emd": lambda spark, sf_dir: _metrics.dis_06(spark, sf_dir).select("class_id", F.col("emd").alias("value")),
+    "sinkhorn": lambda spark, sf_dir: _metrics.dis_06(spark, sf_dir).select("class_id", F.col("sinkhorn").alias("value")),
+    "two_sample_auc": lambda spark, sf_dir: class_auc(spark, sf_dir),
+}
+
+
+def class_auc(spark, sf_dir) -> DataFrame:
+    """(class_id, value): area under the curve of a classifier between the corpora within each class, over folds of documents; all
+    classes and folds are fitted in the same scans."""
+    rows = folded(segments(spark, sf_dir), 3).cache()
+    ids = [int(r[0]) for r in rows.select("class_id").distinct().orderBy("class_id").collect()]
+    weights = {}
+    of = {k: N.packed(rows.where(F.col("class_id") == k).select("vec_id", "v", F.array(F.col("corpus").cast("int")).alias("labels"), "fold"), 2, fold="fold")[0] for k in ids}
+    for k in ids:
+        for fold, w in enumerate(N.logistic_models(of[k], [N.Logistic(3.0, False, f) for f in range(3)], DIM, 2, most=30)):
+            weights[k, fold] = w[:, 1] - w[:, 0]
+    table_ = spark.createDataFrame([(k, f, w.tolist()) for (k, f), w in weights.items()], "class_id int, fold int, w array<double>")  # one for each class and fold
+    score = F.round(V.dot(F.col("v"), F.slice("w", 1, DIM)) + F.element_at("w", DIM + 1), 9)
+    scored = rows.withColumn("fold", F.col("fold").cast("int")).join(F.broadcast(table_), ["class_id", "fold"]).select("class_id", "fold", "corpus", score.alias("score"))
+    out = R.area_under_curve(scored, ["class_id", "fold"], "score", "corpus")
+    rows.unpersist()
+    return out.groupBy("class_id").agg(F.avg("auc").alias("value"))
+
+
+@query("udf_07_all_metrics")
+def udf_07_all(spark, sf_dir):
+    """UDF-07: the metrics of the registry that SQL can't say, in one long table: Gaussian and its share of shape, subspaces, exact and
+    entropic transport, and a two-sample classifier."""
+    out = None
+    for name, of in MORE.items():
+        m = of(spark, sf_dir).select(F.lit(name).alias("metric"), F.col("class_id").cast("int").alias("class_id"), F.col("value").cast("double").alias("value"))
+        out = m if out is None else out.unionByName(m)
+    return out

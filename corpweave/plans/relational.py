@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpweave.operators import relational as R
 from corpweave.plans.base import SEG, draw, segments, table
+from corpweave.operators.quantiles import quantiles
 from corpweave.registry import query
 
 
@@ -190,8 +191,8 @@ def agg_13(spark, sf_dir):
 
 @query("agg_14_median", "select o_orderpriority, round(median(o_totalprice), 6) as m from orders group by 1")
 def agg_14(spark, sf_dir):
-    """AGG-14: exact median."""
-    return _orders(spark, sf_dir).groupBy("o_orderpriority").agg(F.round(F.median("o_totalprice"), 6).alias("m"))
+    """AGG-14: exact median, by histogram selection."""
+    return quantiles(_orders(spark, sf_dir), "o_orderpriority", "o_totalprice", {"m": 0.5}).withColumn("m", F.round("m", 6))
 
 
 @query("agg_17_corpus_summary", f"""

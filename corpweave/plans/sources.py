@@ -15,6 +15,7 @@ from corpweave.registry import query
 from corpweave.session import cut, shared_dir
 from corpweave.sources import readers, writers
 from corpweave.streaming import jobs
+from corpweave.streaming.log import RecordLog
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -184,6 +185,13 @@ def snk_06(spark, sf_dir):
     return writers.status(spark, "documents", "completed", rows=_docs(spark, sf_dir).count())
 
 
+@query("snk_06_counters", "select 'documents' as stage, 'completed' as state, cast(count(*) as bigint) as rows, cast(count(text) as bigint) as texts from documents")
+def snk_06_counters(spark, sf_dir):
+    """SNK-06: a stage's status and counters, without the time."""
+    n, texts = _docs(spark, sf_dir).agg(F.count("*"), F.count("text")).first()
+    return writers.status(spark, "documents", "completed", rows=n, texts=texts).select("stage", "state", F.col("counters")["rows"].alias("rows"), F.col("counters")["texts"].alias("texts"))
+
+
 @query("snk_07_fingerprint", "select true as same, false as other_version, false as more_rows")
 def snk_07(spark, sf_dir):
     """SNK-07: a stage is skipped while its inputs' fingerprint is the same; another version or a further file changes it."""
@@ -239,6 +247,26 @@ def str_06(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey").join(done, "o_orderkey", "left_anti")
 
 
+@query("str_06_record_log", """
+with n as (select l_orderkey, count(*) as n from lineitem group by 1)
+select o_orderkey, coalesce(n, 0) as n_lines, case when o_orderkey % 2 = 0 and o_orderkey % 10 <> 0 then 'before' else 'after' end as made from orders left join n on l_orderkey = o_orderkey""")
+def str_06_record_log(spark, sf_dir):
+    """STR-06 and SNK-02: counts of lines of each order, kept in a log of records. Work under another configuration is stale, a second
+    run is stopped half-way, a tenth of its lines are torn; the third run repairs the log and makes what is missing."""
+    at, schema = folder(spark), "o_orderkey long, n_lines long, made string"
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    work = table(spark, sf_dir, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
+    made = lambda rows, name: rows.select("o_orderkey", F.coalesce("n", F.lit(0)).alias("n_lines"), F.lit(name).alias("made"))
+    RecordLog(spark, at, schema, {"version": 1}).append(made(work.where("o_orderkey % 3 = 0"), "stale"))
+    log = RecordLog(spark, at, schema, {"version": 2})
+    log.append(made(work.where("o_orderkey % 2 = 0 and o_orderkey % 10 <> 0"), "before"))
+    torn = F.concat(F.md5(F.lit("")), F.lit(" "), F.substring(F.to_json(F.struct("o_orderkey")), 1, 9))
+    work.where("o_orderkey % 10 = 0").select(torn.alias("value")).write.text(f"{at}/segment-torn")  # what another writer left
+    log.repair()
+    log.append(made(log.left(work, "o_orderkey"), "after"))
+    return log.records()
+
+
 @query("str_07_draw_cache", f"with {SEG} select 'first' as state, class_id, cast(count(*) as bigint) as n from seg group by 2 union all select 'reused', class_id, count(*) from seg group by 2 union all select 'other seed', class_id, count(*) from seg where vec_id % 2 = 1 group by 2")
 def str_07(spark, sf_dir):
     """STR-05 and STR-07: a draw's aggregates are kept on disk with their parameters. The second call reuses them (it could not
