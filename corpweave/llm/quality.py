@@ -15,17 +15,19 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpweave.session import cut
 
 #: Labelled documents that are learned from, of each class at most.
 SAMPLE = 2500
-#: Bytes of their features at most, so that a few thousand very long documents fit the driver; the first ones by the hash stay.
+#: Bytes of their features at most, so that a few thousand very long documents fit the task that learns; the first ones by the hash stay.
 BYTES = 1 << 28
 #: N-gram sizes in bytes and the number of slots.
 SIZES = (1, 2, 3, 4)
@@ -230,29 +232,36 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         spots |= {r[0]: k for k, r in enumerate(some)}
     if len(counts) < 2:
         return fit(Rows.of([]), [])
-    wanted = docs.sparkSession.createDataFrame([(i,) for i in chosen], known.select("id").schema)  # at most 2 * sample ids
+    kind = known.schema["id"].dataType
+    of = lambda rows: docs.sparkSession.createDataFrame(rows, StructType([StructField("id", kind), StructField("y", LongType())]))  # noqa: E731  at most 2 * sample ids
     text = F.coalesce("text", F.lit(""))
-    one = plain.join(F.broadcast(wanted), "id").groupBy("id").agg(F.min(F.struct(F.md5(text).alias("digest"), text.alias("text"))).alias("first"))
-    found = cut(one.select("id", features_column(F.col("first.text")).alias("slots")))
+    one = plain.join(F.broadcast(of(list(chosen.items()))), "id").groupBy("id", "y").agg(F.min(F.struct(F.md5(text).alias("digest"), text.alias("text"))).alias("first"))
+    found = cut(one.select("id", "y", features_column(F.col("first.text")).alias("slots")))
     size, fits = 0, []
     for n, i in sorted(((r[1], r[0]) for r in found.select("id", F.octet_length("slots")).collect()), key=lambda x: (spots[x[1]], chosen[x[1]])):
         size += n
         if size <= most or len(fits) < 2:
-            fits.append(i)
-    if len(fits) < found.count():
-        found = found.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fits], known.select("id").schema)), "id")
-    names: list[tuple[str, int]] = []
-
-    def parts() -> Iterator[bytes]:
-        for r in found.toLocalIterator():
-            names.append((str(r[0]), r[0]))
-            yield r[1]
-
-    rows = Rows.of(parts())
-    order = sorted(range(len(names)), key=lambda i: (names[i][0], rows[i].tobytes()))
-    rows, y = rows.some(np.array(order, np.int64)), [chosen[names[i][1]] for i in order]
-    total = sum(counts.values())
-    return fit(rows, y, prior=counts[1] / total)
+            fits.append((i, chosen[i]))
+    if size > most:
+        found = found.join(F.broadcast(of(fits)), ["id", "y"])
+    prior = counts[1] / sum(counts.values())
+    fitted = found.select(F.col("id").cast("string").alias("id"), "y", "slots").coalesce(1).mapInArrow(partial(_fitted, prior=prior), "weights binary, bias double, slope double, shift double").first()
+    return Model(np.frombuffer(fitted[0]), *tuple(fitted)[1:])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch], prior: float) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (id, label, slots), of which there is a bounded number; the driver does not hold them."""
+    held, ends, names, y = bytearray(), [0], [], []
+    for batch in batches:
+        for i, label, slots in zip(*(batch.column(k) for k in range(3))):
+            names.append(i.as_py())
+            y.append(label.as_py())
+            held += memoryview(slots.as_buffer())
+            ends.append(len(held) // 4)
+    rows = Rows(np.frombuffer(held, "<i4"), np.array(ends))
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    m = fit(rows.some(np.array(order, np.int64)), [y[i] for i in order], prior=prior)
+    yield pa.RecordBatch.from_arrays([pa.array([m.weights.astype(float).tobytes()], pa.binary()), *(pa.array([float(x)]) for x in (m.bias, m.slope, m.shift))], names=["weights", "bias", "slope", "shift"])
 
 
 def score_column(text: Column, model: Model) -> Column:
