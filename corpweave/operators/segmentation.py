@@ -10,11 +10,12 @@ MARGIN = 10
 LEAST = 20
 
 
-def segments(text: Column, budget: int = BUDGET, margin: int = MARGIN, least: int = LEAST) -> Column:
+def segments(text: Column, budget: int = BUDGET, margin: int = MARGIN, least: int = LEAST, sentences: Column | None = None) -> Column:
     """An array of pieces. Sentences are packed in order while their tokens and two more stay within the budget less a
     margin; a longer sentence stands alone; pieces under ``least`` words are dropped. Tokens are runs of letters and
-    digits and single other characters, in place of a model's tokenizer."""
-    sentences = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+    digits and single other characters, in place of a model's tokenizer. ``sentences`` are those of the text, if something
+    better than a mark and a space tells them."""
+    sentences = sentences if sentences is not None else F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
     sized = F.transform(sentences, lambda s: F.struct(s.alias("s"), F.regexp_count(s, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")).alias("n")))
     limit = budget - margin - 2
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))

@@ -13,7 +13,7 @@ from corpweave.operators import models as M
 from corpweave.operators import networks as N
 from corpweave.operators import relational as R
 from corpweave.operators import search as SEARCH
-from corpweave.operators import segmentation
+from corpweave.operators import segmentation, sentences
 from corpweave.operators.quantiles import quantiles
 from corpweave.plans import distances as _metrics  # noqa: F401  registers the queries that METRICS names
 from corpweave.plans.base import SEG, draw, segments, table
@@ -44,6 +44,16 @@ def mlc_01(spark, sf_dir):
     return s.select("doc_id", "segment_index", "segment_id", "word_count", F.md5("text").alias("digest"))
 
 
+@query("mlc_01_sentences")
+def mlc_01_sentences(spark, sf_dir):
+    """MLC-01: pieces of whole sentences within a token budget, of all documents; abbreviations, starters and collocations are learned
+    from the documents themselves."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learned = sentences.learn(d)
+    pieces = d.select("doc_id", F.posexplode(segmentation.segments(F.col("text"), sentences=sentences.sentences(F.col("text"), learned))).alias("segment_index", "text"))
+    return pieces.select("doc_id", "segment_index", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).alias("word_count"), F.md5("text").alias("digest"))
+
+
 @query("mlc_03_logistic")
 def mlc_03(spark, sf_dir):
     """MLC-03, MLC-06 and SRC-22: a multinomial model is fitted, stored, loaded with a check of its width, and scores all rows."""
