@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpweave.functions import vectors as V
 from corpweave.operators import distances as D
 from corpweave.operators import gaps as G
+from corpweave.operators import pivots
 from corpweave.operators.relational import capped
 from corpweave.plans.base import SEG, draw, segments
 from corpweave.plans.gaps import rounded, unit_means
@@ -35,6 +36,14 @@ def jon_10(spark, sf_dir):
     return both.select(F.col("id").alias("vec_id"), F.round("gap", 6).alias("gap"))
 
 
+@query("jon_10_pruned", f"{_PAIRS} select x as vec_id, round(min(gap), 6) as gap from p group by 1 union all select y, round(min(gap), 6) from p group by 1")
+def jon_10_pruned(spark, sf_dir):
+    """JON-10: the same by pivots, which leave out cells that can't hold anything nearer."""
+    a, b = _sides(spark, sf_dir)
+    both = pivots.nearest(a, b, "class_id", DIM).unionByName(pivots.nearest(b, a, "class_id", DIM))
+    return both.select(F.col("id").alias("vec_id"), F.round("gap", 6).alias("gap"))
+
+
 _NEAR = f"{_PAIRS}, u as (select class_id, min(gap) as g from p group by class_id, x), w as (select class_id, min(gap) as g from p group by class_id, y), s as (select class_id, avg(g) as m, max(g) as t from u group by 1), q as (select class_id, avg(g) as m, max(g) as t from w group by 1)"
 
 
