@@ -174,10 +174,19 @@ def placed(patterns: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
+#: Names that the steps of ``pack`` use; columns of these names are called otherwise meanwhile.
+_OWN = frozenset({"__bucket", "__n", "__before", "__at", "__rank", "sequence_id", "offset"})
+
+
 def pack(pieces: DataFrame, capacity: int = CAPACITY, length_col: str = "length") -> DataFrame:
-    """The pieces with sequence_id and offset: no sequence is longer than ``capacity`` or has a gap.
+    """The pieces with sequence_id and offset, which take the place of columns of these names: no sequence is longer than
+    ``capacity`` or has a gap.
 
     Reads ``pieces`` twice; checkpoint them first if they are dear."""
+    if not _OWN.isdisjoint(pieces.columns):
+        kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+        plain = pieces.select(*named(pieces, "sequence_id", "offset")).toDF(*(f"c{i}" for i in range(len(kept))))
+        return pack(plain, capacity, f"c{kept.index(length_col)}").toDF(*kept, "sequence_id", "offset")
     counts = {int(n): int(c) for n, c in pieces.groupBy(length_col).count().collect()}
     if not counts:
         return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

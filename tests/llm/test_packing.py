@@ -99,3 +99,22 @@ def test_odd_rows_and_round_trip(spark):
         assert joined[r.sequence_id][r.offset : r.offset + r.length].tobytes() == bytes(r.ids)
     assert sum(map(len, joined.values())) == sum(len(ids(t or "")) + 1 for _, t in rows)
     assert packing.pack(packing.tokenised(docs.limit(0), PATH)).count() == 0
+
+
+def test_columns_with_the_names_of_steps_pass_through(spark):
+    rows = spark.createDataFrame([(i, 5 + i % 3) for i in range(200)], "doc_id long, length long")
+    own = {"__bucket": "mine", "__n": 7, "__before": 8, "__at": 9, "__rank": 10}
+    odd = rows.withColumns({k: F.lit(v) for k, v in own.items()} | {"offset": F.lit(-1), "sequence_id": F.lit("s")})
+    got = packing.pack(odd, 16)
+    assert got.columns == ["doc_id", "length", *own, "sequence_id", "offset"]
+    found = got.collect()
+    assert all(tuple(r)[2:7] == tuple(own.values()) for r in found) and sorted(r.doc_id for r in found) == list(range(200))
+    by = {}
+    for r in found:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 16
