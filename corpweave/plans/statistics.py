@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpweave.functions import stats as S
+from corpweave.operators import kendall
 from corpweave.operators import regression as Reg
 from corpweave.operators import relational as R
 from corpweave.plans.base import SEG, segments, table
@@ -81,6 +82,17 @@ def sta_05(spark, sf_dir):
     return p.agg(F.round(F.sum(F.col("sx") * F.col("sy")) / F.sqrt(F.sum(F.abs("sx")) * F.sum(F.abs("sy"))), 6).alias("tau"))
 
 
+@query("sta_05_kendall_orders", """
+with o as (select o_orderkey as k, floor(o_totalprice / 1000) as x, o_custkey % 50 as y from orders),
+p as (select sum(sign(a.x - b.x) * sign(a.y - b.y)) as s, sum(abs(sign(a.x - b.x))) as nx, sum(abs(sign(a.y - b.y))) as ny from o a join o b on a.k < b.k)
+select round(s / sqrt(nx * ny), 6) as tau from p""")
+def sta_05_orders(spark, sf_dir):
+    """STA-05: Kendall's tau-b over all orders, with ties, by blocks of both orders instead of all pairs."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.floor(F.col("o_totalprice") / 1000).alias("x"), (F.col("o_custkey") % 50).alias("y"))
+    tau = kendall.tau_b(o, "x", "y", "o_orderkey")
+    return spark.createDataFrame([(None if tau is None else round(tau, 6),)], "tau double")
+
+
 @query("sta_06_fisher", """
 with r as (select l_linenumber, corr(l_quantity, l_tax) as r, count(*) as n from lineitem group by 1), z as (select *, atanh(greatest(-0.999, least(0.999, r))) as z from r)
 select l_linenumber, round(tanh(z - 1.96 / sqrt(n - 3)), 6) as low, round(tanh(z + 1.96 / sqrt(n - 3)), 6) as high from z where n >= 4""")
