@@ -237,3 +237,23 @@ def test_search_query(spark, sf):
     assert len(rows) == 32 and len({(r.model, r.config) for r in rows}) == 32
     assert all(len(r.per_fold) == 5 and abs(r.mean - np.mean(r.per_fold)) < 1e-12 for r in rows)
     assert max(r.mean for r in rows if r.model == "logistic") > 0.5
+
+
+def test_an_epoch_is_one_scan_and_shards_are_averaged(spark, monkeypatch):
+    """However many blocks there are, an epoch is one scan; shards are trained by themselves and averaged by their rows."""
+    blocks, n = N.packed(frame(spark, data()), 3, fold="fold", inner="inner", size=64)
+    own, scans, of = local(blocks, 3), [], N.summed
+    monkeypatch.setattr(N, "summed", lambda *a, **k: (scans.append(1), of(*a, **k))[1])
+    s = N.Setting(2, 5, 1e-2, 0.01, 0.3, fold=1)
+    got = N.trained(blocks, n, [s], 3, 3, epochs=1, patience=None, shard=4)[0].network
+    assert len(scans) == 1
+    rows = lambda of: sum((b[3] != 1).sum() for b in of.values())
+    shards = [{b: own[b] for b in own if b % 3 == k} for k in range(3)]
+    assert sum(map(rows, shards)) == rows(own) and n == 9
+    want = sum(plain_training(b, s, 3, 3, 1, 1, inner=False)[0].weights * rows(b) for b in shards) / rows(own)
+    assert np.allclose(got.weights, want, atol=1e-9)
+    scans.clear()
+    found = N.trained(blocks, n, [N.Setting(2, 16, 2e-2, 0.0, 0.1)], 3, 3, epochs=20, patience=None, shard=4)[0].network
+    assert len(scans) == 20
+    x, y = (np.concatenate([b[k] for b in own.values()]) for k in (1, 2))
+    assert N.f1(N.hits(found.logits(x), y)) > 0.75
