@@ -351,10 +351,11 @@ def gap_13(spark, sf_dir):
 with a as (select case when quality = 1 then 'good' else 'bad' end as subset, regexp_matches(lower(text), '\b(?:the|and)\b') as m, regexp_matches(lower(text), '\b(?:der|die)\b') as e from documents join labels using (doc_id))
 select subset, cast(count(*) as bigint) as n, cast(count(*) filter (m and not e) as bigint) as first_only, cast(count(*) filter (e and not m) as bigint) as second_only, cast(count(*) filter (m and e) as bigint) as both, cast(count(*) filter (not m and not e) as bigint) as neither from a group by 1""")
 def gap_14(spark, sf_dir):
-    """GAP-14: lexical categories of subsets."""
+    """GAP-14: lexical categories of subsets; a missing text has none."""
     from corpweave.functions.text import lexical_category
 
-    d = table(spark, sf_dir, "documents").select("doc_id", lexical_category(F.col("text"), ["the", "and"], ["der", "die"], ("first_only", "second_only")).alias("c"))
+    category = lexical_category(F.col("text"), ["the", "and"], ["der", "die"], ("first_only", "second_only"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("text").isNotNull(), category).alias("c"))
     both = d.join(table(spark, sf_dir, "labels"), "doc_id").select(F.when(F.col("quality") == 1, "good").otherwise("bad").alias("subset"), "c")
     names = {"first_only": "first_only", "second_only": "second_only", "both": "both", "neither": "neither_unclear"}
     return both.groupBy("subset").agg(F.count("*").alias("n"), *(F.count_if(F.col("c") == v).alias(k) for k, v in names.items()))
