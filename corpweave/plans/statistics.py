@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,14 +238,27 @@ m as (select draw, sum(k * value) filter (side = 0) / sum(k) filter (side = 0) -
 select round(avg(d), 6) as mean, round(quantile_cont(d, 0.025), 6) as low, round(quantile_cont(d, 0.975), 6) as high, round(avg(cast(d > 0 as int)), 6) as share_above from m""")
 def smp_11(spark, sf_dir):
     """SMP-11: 500 resamples of a difference of means, by Poisson counts that each row draws from hashes of its own key, eight
-    to a hash."""
-    e = table(spark, sf_dir, "events").select("event_id", "value", (F.col("event_id") % 2).alias("side"))
-    parts = F.broadcast(spark.range(63).withColumnRenamed("id", "part"))
-    h = e.crossJoin(parts).select("side", "value", "part", F.md5(F.concat_ws(":", F.lit("7"), "event_id", "part")).alias("h"))
-    u = F.explode(F.expr("transform(sequence(0, 7), at -> named_struct('draw', part * 8 + at, 'u', cast(conv(substr(h, 4 * at + 1, 4), 16, 10) as int) / 65536D))"))
-    rows = h.select("side", "value", u.alias("r")).where("r.draw < 500").select(F.col("r.draw").alias("draw"), "side", "value", F.col("r.u").cast("double").alias("u"))
-    d = rows.withColumn("k", sum(((F.col("u") > float(c)).cast("int") for c in _POISSON), F.lit(0))).where("k > 0")
-    m = d.groupBy("draw").agg(*(F.try_divide(F.sum(F.when(F.col("side") == s, F.col("k") * F.col("value"))), F.sum(F.when(F.col("side") == s, F.col("k")))).alias(f"m{s}") for s in (0, 1)))
+    to a hash. A task adds up what its rows give to each draw; rows are not multiplied."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("value").cast("double").alias("value"), (F.col("event_id") % 2).alias("side")).where("side in (0, 1)")
+    counts = (np.arange(1 << 16)[:, None] / 65536.0 > _POISSON).sum(axis=1).astype(float)
+
+    def drawn(batches):
+        total = np.zeros((63 * 8, 6))
+        for batch in batches:
+            ids, value, side = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_numpy()
+            there = np.asarray(value.is_valid()).astype(float)
+            value = value.fill_null(0.0).to_numpy()
+            of = np.stack([x for k in (0, 1) for x in ((side == k) * value, (side == k) * 1.0, (side == k) * there)], axis=1)
+            for part in range(63):
+                tail = b":%d" % part
+                h = np.frombuffer(b"".join([hashlib.md5(b"7:%d" % i + tail).digest() for i in ids]), ">u2").reshape(-1, 8)
+                total[8 * part : 8 * part + 8] += counts[h].T @ of
+        yield pa.RecordBatch.from_arrays([pa.array(range(500)), *(pa.array(x) for x in total[:500].T)], names=["draw", "s0", "k0", "n0", "s1", "k1", "n1"])
+
+    names = ["s0", "k0", "n0", "s1", "k1", "n1"]
+    parts = e.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(drawn, "draw long, " + ", ".join(f"{c} double" for c in names))
+    d = parts.groupBy("draw").agg(*(F.sum(c).alias(c) for c in names))
+    m = d.select(*(F.when(F.col(f"n{k}") > 0, F.try_divide(f"s{k}", f"k{k}")).alias(f"m{k}") for k in (0, 1)))
     g = m.select((F.col("m0") - F.col("m1")).alias("d"))
     return g.agg(F.round(F.avg("d"), 6).alias("mean"), *(F.round(F.percentile("d", F.lit(p)), 6).alias(n) for n, p in (("low", 0.025), ("high", 0.975))), F.round(F.avg((F.col("d") > 0).cast("int")), 6).alias("share_above"))
 
