@@ -65,3 +65,14 @@ def test_further_metrics(spark, sf):
     for k, r in one.items():
         assert math.isclose(by["gaussian_w2"][k] ** 2, r.mean_term + r.cov_term) and math.isclose(by["gaussian_shape_share"][k], r.cov_term / (r.mean_term + r.cov_term))
     assert all(0 <= x <= 1 for x in by["two_sample_auc"].values() if x is not None) and len(by["two_sample_auc"]) == len(by["emd"])
+
+
+def test_a_query_that_gives_several_metrics_is_run_once(spark, sf, monkeypatch):
+    from corpweave.plans import models as P
+
+    seen = []
+    table = lambda name, x: lambda spark, _: (seen.append(name), spark.createDataFrame([(1, 2.0, x), (2, 3.0, None)], "class_id int, emd double, sinkhorn double"))[1]
+    names = {"dis_06": {"emd": "emd", "sinkhorn": "sinkhorn"}}
+    monkeypatch.setattr(P, "MORE", [(table("dis_06", 0.5), names["dis_06"])])
+    rows = {tuple(r) for r in registry.queries()["udf_07_all_metrics"](spark, sf).collect()}
+    assert seen == ["dis_06"] and rows == {("emd", 1, 2.0), ("emd", 2, 3.0), ("sinkhorn", 1, 0.5), ("sinkhorn", 2, None)}
