@@ -12,6 +12,7 @@ marks always do."""
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,9 +26,13 @@ from corpweave.session import cut
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 #: Types that go out with the tasks at most.
 MOST = 1_000_000
-_WORD = re.compile(r"\S+")
+#: Different tokens and pairs that a task counts before it sends them on.
+HELD = 500_000
+_GAP = re.compile(r"(\s+)")
 #: Quotes and brackets around a word, and marks behind it.
 _OPEN, _CLOSE = "\"'([{«“‘„", "\"')]}»”’"
+#: What a token that may end a sentence ends with.
+_LAST = frozenset("!?.…" + _CLOSE)
 
 
 @dataclass(frozen=True)
@@ -54,11 +59,11 @@ def kind(word: str) -> str:
 def ends(words: list[str], learned: Learned) -> list[int]:
     """Places of the words that end a sentence, the last one always."""
     out = []
-    for i, w in enumerate(words):
-        end = kind(w)
+    for i in [i for i, w in enumerate(words) if w[-1] in _LAST]:
         if i + 1 == len(words):
-            out.append(i)
-            continue
+            break
+        w = words[i]
+        end = kind(w)
         if not end:
             continue
         after = words[i + 1].lstrip(_OPEN)
@@ -83,16 +88,16 @@ def ends(words: list[str], learned: Learned) -> list[int]:
                 continue
         if not after[:1].islower():
             out.append(i)
-    return out
+    return [*out, len(words) - 1] if words else out
 
 
 def sentences_of(text: str | None, learned: Learned) -> list[str]:
-    if not text:
+    parts = _GAP.split((text or "").strip())  # words and what is between them
+    if not parts[0]:
         return []
-    spans = [m.span() for m in _WORD.finditer(text)]
     at, out = 0, []
-    for e in ends([text[a:b] for a, b in spans], learned):
-        out.append(text[spans[at][0] : spans[e][1]])
+    for e in ends(parts[::2], learned):
+        out.append("".join(parts[2 * at : 2 * e + 1]))
         at = e + 1
     return out
 
@@ -119,31 +124,66 @@ def likelihood(k1: Column, n1: Column, k2: Column, n2: Column) -> Column:
     return 2 * (part(k1, n1, p1) + part(k2, n2, p2) - part(k1, n1, p) - part(k2, n2, p))
 
 
+def told(docs: DataFrame, text_col: str) -> DataFrame:
+    """(before, type, n, period, small, upper, first): counts of word types, where ``before`` is null, and of pairs over a period whose
+    second word is not written small.
+
+    What a token tells follows from itself and the one before it, so a task counts tokens, and pairs behind an end of a sentence,
+    and looks at different ones alone; it sends sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, pairs, ending = Counter(), Counter(), _Ending()
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                w = (x or "").split()
+                tokens.update(w)
+                pairs.update([(w[i], w[i + 1]) for i in [i for i, t in enumerate(w) if t[-1] in _LAST] if i + 1 < len(w) and ending[w[i]]])
+                if len(tokens) + len(pairs) > HELD:
+                    yield sent(tokens, pairs)
+                    tokens, pairs, ending = Counter(), Counter(), _Ending()
+        yield sent(tokens, pairs)
+
+    def sent(tokens: Counter, pairs: Counter) -> pa.RecordBatch:
+        sums: dict[tuple, list[int]] = {}
+        known = {w: typed(w) for w in tokens}
+        for w, n in tokens.items():
+            own, period, small, upper = known[w]
+            if own:
+                one = sums.setdefault((None, own), [0] * 5)
+                for k, flag in enumerate((True, period, small, upper)):
+                    one[k] += n * flag
+        for (v, w), n in pairs.items():
+            own, _, small, _ = known[w]
+            if own:
+                sums[None, own][4] += n
+                if kind(v) == "period" and not small:
+                    sums.setdefault((bare(v)[:-1] if bare(v).endswith(".") else bare(v).rstrip("."), own), [0] * 5)[0] += n
+        columns = [pa.array([k[i] for k in sums], pa.string()) for i in range(2)] + [pa.array([v[i] for v in sums.values()], pa.int64()) for i in range(5)]
+        return pa.RecordBatch.from_arrays(columns, names=["before", "type", "n", "period", "small", "upper", "first"])
+
+    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "before string, type string, n long, period long, small long, upper long, first long")
+
+
+class _Ending(dict):
+    """Whether a token's end is one that a sentence may have, for those met so far."""
+
+    def __missing__(self, word: str) -> bool:
+        self[word] = kind(word) in ("mark", "period")
+        return self[word]
+
+
+def typed(word: str) -> tuple[str | None, bool, bool, bool]:
+    """A token's type (none if it has no letter), and whether it ends with a period, and is written small or with a capital."""
+    own, period, start = bare(word), kind(word) == "period", word.lstrip(_OPEN)[:1]
+    own = own[:-1] if own.endswith(".") and period else own.rstrip(".")
+    return own if any(c.isalpha() for c in own) else None, period, start.islower(), start.isupper()
+
+
 def learn(docs: DataFrame, text_col: str = "text") -> Learned:
     """What the documents tell about their abbreviations, starters and collocations."""
-    @F.arrow_udf("array<struct<type:string,period:boolean,small:boolean,upper:boolean,first:boolean,before:string>>")
-    def told(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for a in batches:
-            out = []
-            for x in a:
-                rows, before = [], None
-                for w in _WORD.findall(x.as_py() or ""):
-                    own, end = bare(w), kind(w)
-                    period = end == "period"
-                    own = own[:-1] if own.endswith(".") and period else own.rstrip(".")
-                    if any(c.isalpha() for c in own):
-                        start = w.lstrip(_OPEN)[:1]
-                        rows.append({"type": own, "period": period, "small": start.islower(), "upper": start.isupper(), "first": before is not None and before[1] in ("mark", "period"), "before": before[0] if before and before[1] == "period" else None})
-                        before = (own, end)
-                    else:
-                        before = (own, end) if end else None
-                out.append(rows)
-            yield pa.array(out, a_type)
-
-    a_type = pa.list_(pa.struct([("type", pa.string()), *((c, pa.bool_()) for c in ("period", "small", "upper", "first")), ("before", pa.string())]))
-    rows = docs.select(F.explode(told(F.col(f"`{text_col}`"))).alias("w")).select("w.*")
-    flags = [F.sum(F.col(c).cast("long")).alias(c) for c in ("period", "small", "upper", "first")]
-    types = cut(rows.groupBy("type").agg(F.count("*").alias("n"), *flags))
+    flags = ["n", "period", "small", "upper", "first"]
+    rows = cut(told(docs, text_col).repartition("before", "type").groupBy("before", "type").agg(*(F.sum(c).alias(c) for c in flags)))
+    types = rows.where("before is null").drop("before")
     total, periods, firsts = types.agg(F.sum("n"), F.sum("period"), F.sum("first")).first()
     if not total:
         return Learned()
@@ -160,8 +200,8 @@ def learn(docs: DataFrame, text_col: str = "text") -> Learned:
     starters = types.where((first > 0) & (likelihood(first, F.lit(firsts or 1), n - first, F.lit(total - (firsts or 0))) >= STARTER) & (first / (firsts or 1) > n / total))
     small = types.where((F.col("upper") > 0) & (F.col("small") > F.col("upper") - first) & (F.col("small") > 0))
     # collocations over an abbreviation's, initial's or number's period
-    pairs = rows.where("before is not null and not small").groupBy("before", "type").agg(F.count("*").alias("both"))
-    pairs = pairs.where("both > 1").join(types.select(F.col("type").alias("before"), F.col("n").alias("n1")), "before").join(types.select("type", F.col("n").alias("n2")), "type")
+    pairs = rows.where("before is not null and n > 1").select("before", "type", F.col("n").alias("both"))
+    pairs = pairs.join(types.select(F.col("type").alias("before"), F.col("n").alias("n1")), "before").join(types.select("type", F.col("n").alias("n2")), "type")
     near = likelihood(F.col("both"), F.col("n1"), F.col("n2") - F.col("both"), F.lit(total) - F.col("n1"))
     odd = F.length("before") == 1
     short = abbreviations.select(F.col("type").alias("before"), F.lit(True).alias("short"))

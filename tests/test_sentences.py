@@ -55,3 +55,15 @@ def test_whole_pieces_equal_plain_python(spark, sf):
     want = {r.doc_id: [(len(p.split()), md5(p.encode()).hexdigest()) for p in pieces(r.text, learned)] for r in docs.collect()}
     plain = {k: v for k, v in want.items() if v}
     assert got.keys() == plain.keys() and sum(got[k] == plain[k] for k in got) == len(got)
+
+
+def test_a_task_sends_counts_and_no_tokens(spark, monkeypatch):
+    docs = spark.createDataFrame([(t,) for t in texts()], "text string")
+    once, many = (S.told(d.coalesce(1), "text") for d in (docs, docs.union(docs).union(docs)))
+    assert once.count() == many.count()
+    of = lambda df: {(r.before, r.type): tuple(r)[2:] for r in df.groupBy("before", "type").sum().collect()}
+    want = of(once)
+    assert {k: tuple(3 * x for x in v) for k, v in want.items()} == of(many)
+    assert want[None, "dr"][:4] == (18, 18, 0, 18) and want["mr", "jones"][0] == 12 and want[None, "the"][4] > 0 and (None, "3.5") not in want
+    monkeypatch.setattr(S, "HELD", 5)
+    assert of(once) == want
