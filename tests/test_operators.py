@@ -194,3 +194,26 @@ def test_gap_bounds(spark, sf):
     assert all(0 <= r.gap <= 2 for r in b.gap().collect() if r.gap is not None)
     shares = G.profile(b.documents(), b.ids, "corpus").groupBy("corpus").agg(F.sum("share").alias("s")).collect()
     assert all(math.isclose(r.s, 1) for r in shares) and segments(spark, sf).count() == 500
+
+
+def test_blocks_go_to_a_bounded_number_of_cells(spark):
+    rows = spark.range(600).select(F.lit(0).alias("g"), F.col("id").alias("vec_id"), F.array(F.col("id").cast("double")).alias("v"))
+    for side, ids in zip(D.celled(rows, rows, "g", size=2, cell=1), ("ids", "others")):
+        copies = side.groupBy(ids).count()
+        assert copies.agg(F.max("count")).first()[0] <= D.SIDE and copies.agg(F.sum(F.size(ids))).first()[0] == 600
+
+
+def test_most_similar_sends_some_for_each_cell(spark):
+    v = np.round(np.random.default_rng(3).normal(size=(300, 4)), 1)  # many ties
+    v[7] = np.nan
+    rows = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(v)], "g int, vec_id long, v array<double>")
+    for held in (64, 0):
+        found = D.most_similar(rows, rows, "g", 4, 5, size=10, cell=30, held=held).collect()
+        got = {}
+        for r in sorted(found, key=lambda r: (r.q, -r.s, r.i)):
+            got.setdefault(r.q, []).append((r.i, r.s))
+        s = np.round(v @ v.T, 9)
+        for q in set(range(300)) - {7}:
+            want = sorted(((-s[q, i], i) for i in range(300) if i not in (q, 7)))[:5]
+            assert [(i, -x) for i, x in got[q][:5]] == [(i, x) for x, i in want]
+        assert 7 not in got and (held == 0 or len(found) == 5 * 299)
