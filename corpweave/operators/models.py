@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpweave.functions import vectors as V
-from corpweave.operators.relational import balanced, grouped_split, one_vs_rest
+from corpweave.operators.relational import balanced, grouped_split, one_vs_rest, smallest
 
 
 def featured(df: DataFrame, vector: str = "v", label: str = "class_id") -> DataFrame:
@@ -105,13 +105,25 @@ def separating_directions(df: DataFrame, order, most: int = 200, stop: float = 0
 
     Each step draws a balanced sample with a seed of its own, removes the directions so far, measures accuracy on 15 %
     of the documents, and stops when it is at ``stop`` or less, or when no new direction is left. ``order`` gives the
-    order of rows for a seed and a key; ``start`` goes on from directions that were stored."""
-    d = df.select(F.size("v")).first()[0]
+    order of rows for a seed and a key; ``start`` goes on from directions that were stored.
+
+    What all steps have in common is made once; a step's vectors are made once for the split and the classifiers, by one Python
+    worker for each task."""
+    df = df.select(*dict.fromkeys((by, corpus, key, doc, "v"))).persist()
+    try:
+        return _separating(df, order, most, stop, by, corpus, key, doc, iterations, start)
+    finally:
+        df.unpersist()
+
+
+def _separating(df: DataFrame, order, most: int, stop: float, by: str, corpus: str, key: str, doc: str, iterations: int, start: Projection | None) -> Projection:
+    d, least = df.select(F.size("v")).first()[0], smallest(df, [by, corpus])
     found = start.directions if start else np.zeros((0, d))
     accuracy = list(start.accuracy) if start else []
     while len(found) < most:
-        sample = balanced(df, [by, corpus], order(42 + len(found), key), key)
-        left = sample.withColumn("v", V.without(F.col("v"), found)) if len(found) else sample
+        sample = balanced(df, [by, corpus], order(42 + len(found), key), key, least)
+        # kept before it is filtered, or the filter would compute the vectors once more
+        left = (sample.withColumn("v", V.without(F.col("v"), found)) if len(found) else sample).persist()
         split = grouped_split(left.where("v is not null"), doc, [corpus], by, key, order(42 + len(found), doc), 0.85)
         rows = featured(split, label=corpus).cache()
         try:
@@ -123,6 +135,7 @@ def separating_directions(df: DataFrame, order, most: int = 200, stop: float = 0
             w = logistic(rows, iterations=iterations).coefficients.toArray()
         finally:
             rows.unpersist()
+            left.unpersist()
         grown = V.orthonormal(np.vstack([found, w]))
         if len(grown) == len(found):
             break

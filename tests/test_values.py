@@ -391,3 +391,17 @@ def test_steps_run_once_after_what_they_need():
     for wrong in ("d", "nothing"):
         with pytest.raises(ValueError):
             ran(None, "", [wrong], steps)
+
+
+def test_vectors_of_a_step_are_made_once(spark, sf, monkeypatch):
+    seen, counts, without = [], spark.sparkContext.accumulator(0), M.V.without
+
+    def counted(v, basis):
+        seen.append(len(basis))
+        one = F.udf(lambda x: counts.add(1) or x, "array<double>")
+        return without(one(v), basis)
+
+    monkeypatch.setattr(M.V, "without", counted)
+    rows = spark.createDataFrame([(i, i % 2, f"{i % 2}_{i // 8}", 0, [float(i % 2) + (i % 7) / 9, (i % 5) / 9, (i % 3) / 9]) for i in range(400)], "vec_id long, corpus int, doc string, class_id int, v array<double>")
+    M.separating_directions(rows, lambda seed, key: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), most=2)
+    assert seen and counts.value == 400 * len(seen)
