@@ -6,7 +6,7 @@ first, which bounds its gap; then only with cells that could hold something near
 distance to its pivot less its radius.
 
 Vectors travel in blocks. Both sides of a group are dealt into SIDE parts in the order of their cells, and a pair of parts is a
-task's; a block goes once to each part that it needs, with a bit for each of its rows and each cell. So nothing is sent more
+task's; a block goes once to each part that it needs, with a bit for each of its rows and each cell. So a comparison sends nothing more
 than SIDE times, however many cells can't be left out, and a large cell is many tasks."""
 
 from __future__ import annotations
