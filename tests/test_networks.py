@@ -257,3 +257,21 @@ def test_an_epoch_is_one_scan_and_shards_are_averaged(spark, monkeypatch):
     assert len(scans) == 20
     x, y = (np.concatenate([b[k] for b in own.values()]) for k in (1, 2))
     assert N.f1(N.hits(found.logits(x), y)) > 0.75
+
+
+def test_a_last_fit_takes_no_scans_of_its_own(spark, monkeypatch):
+    """The network of all rows is learned beside the one that stops early, and is the one that a fit from the start gives."""
+    df, s, scans, of = frame(spark, data()), N.Setting(2, 8, 2e-2, 0.01, 0.3), [], N.summed
+    blocks, n = N.packed(df, 3, inner="inner", size=64)
+    monkeypatch.setattr(N, "summed", lambda *a, **k: (scans.append(1), of(*a, **k))[1])
+    monkeypatch.setattr(N, "packed", lambda *a, **k: (blocks, n))
+    for shard in (64, 4):
+        monkeypatch.setattr(N, "SHARD", shard)
+        scans.clear()
+        found = N.refitted(df, s, 3, 3, most=12, patience=3, inner="inner")
+        assert len(scans) == len(found.history) + 1 <= found.epochs + 4
+        first = N.trained(blocks, n, [s], 3, 3, 12, 3)[0]
+        assert found.epochs == first.epochs and np.allclose(found.history, first.history) and found.held == max(found.history)
+        last = N.trained(blocks, n, [s], 3, 3, first.epochs, None)[0].network
+        assert np.allclose(found.network.weights, last.weights, atol=1e-9) and np.allclose(found.network.running, last.running, atol=1e-9)
+        assert not np.allclose(last.weights, first.network.weights, atol=1e-3)
