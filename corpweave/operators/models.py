@@ -143,6 +143,34 @@ def _separating(df: DataFrame, order, most: int, stop: float, by: str, corpus: s
     return Projection(found, accuracy)
 
 
+def nullspace_directions(df: DataFrame, order, count: int, by: str = "class_id", corpus: str = "corpus", key: str = "vec_id", iterations: int = 50) -> np.ndarray:
+    """An orthonormal basis of ``count`` directions found anew, on the samples of ``separating_directions`` but in the other published way.
+
+    Projections on the row space of each classifier are kept; what goes before the next one is one matrix, the projection on the
+    intersection of their null spaces, so nothing is orthogonalised direction by direction. Fewer are returned if a classifier has none."""
+    df = df.select(*dict.fromkeys((by, corpus, key, "v"))).persist()
+    try:
+        d, least = df.select(F.size("v")).first()[0], smallest(df, [by, corpus])
+        spaces, basis = np.zeros((d, d)), np.zeros((0, d))
+        for k in range(count):
+            sample = balanced(df, [by, corpus], order(42 + k, key), key, least)
+            left = sample.withColumn("v", V.products(F.col("v"), np.eye(d) - basis.T @ basis)).persist()  # kept, or the filter would make it again
+            rows = featured(left.withColumn("v", V.unit(F.col("v"))).where("v is not null"), label=corpus).cache()
+            try:
+                w = logistic(rows, iterations=iterations).coefficients.toArray()
+            finally:
+                rows.unpersist()
+                left.unpersist()
+            if np.linalg.norm(w) < V.ZERO:
+                break
+            spaces += np.outer(w, w) / (w @ w)
+            values, vectors = np.linalg.eigh(spaces)
+            basis = vectors[:, values > V.ZERO].T
+        return basis
+    finally:
+        df.unpersist()
+
+
 def stored(spark, projection: Projection, path: str) -> None:
     """Writes directions as a table (k, g, accuracy)."""
     rows = [(k, g.tolist(), projection.accuracy[k] if k < len(projection.accuracy) else None) for k, g in enumerate(projection.directions)]
@@ -176,9 +204,18 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.linalg.svd(a @ b.T, compute_uv=False)
 
 
+def parity(a: np.ndarray, b: np.ndarray, least: float = 0.999) -> np.ndarray:
+    """The same cosines, if the spans have as many dimensions and every cosine is greater than ``least``."""
+    c = cosines(a, b)
+    if len(a) != len(b) or not (c > least).all():
+        raise ArithmeticError(f"subspaces of {len(a)} and {len(b)} dimensions differ, least cosine {c.min(initial=1.0)}")
+    return c
+
+
 def alignment(w: np.ndarray, basis: np.ndarray) -> float:
-    """The share of a vector's length that lies in the span of orthonormal rows."""
-    return float(np.linalg.norm(basis @ w) / np.linalg.norm(w))
+    """The share of a vector's length that lies in the span of orthonormal rows; zero for a zero vector."""
+    n = float(np.linalg.norm(w))
+    return float(np.linalg.norm(basis @ w)) / n if n >= 1e-12 else 0.0
 
 
 def principal_components(df: DataFrame, k: int, d: int, vector: str = "v") -> tuple[np.ndarray, np.ndarray, np.ndarray]:

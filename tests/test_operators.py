@@ -178,6 +178,18 @@ def test_separating_directions(spark):
     assert np.array_equal(again.directions, p.directions)
 
 
+def test_directions_by_null_spaces(spark):
+    """The other method finds the span of the first one; it has no step of Gram-Schmidt."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(400, 6)) * 0.3
+    v[:, 0] += np.where(np.arange(400) % 2 == 0, 1.0, -1.0)
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    s = vectors(spark, [(i, i % 2, f"d{i}", i // 2 % 2, x.tolist()) for i, x in enumerate(v)])
+    p = M.separating_directions(s, draw, most=3, stop=0.0, iterations=20)
+    other = M.nullspace_directions(s, draw, 3, iterations=20)
+    assert len(p.directions) == 3 and np.abs(other @ other.T - np.eye(3)).max() < 1e-9 and np.allclose(M.parity(p.directions, other), 1, atol=1e-9)
+
+
 def test_stored_directions(spark, tmp_path):
     p = M.Projection(np.eye(3)[:2], [0.9, 0.6])
     M.stored(spark, p, str(tmp_path / "g"))

@@ -178,6 +178,16 @@ def test_subspace_is_aligned_with_itself(spark, sf, found):
     assert np.allclose(sorted(M.cosines(a, b)), [0, math.cos(0.3)]) and abs(M.alignment(a[0], b) - math.cos(0.3)) < 1e-12
 
 
+def test_subspace_is_found_anew(spark, sf, monkeypatch):
+    """A stored subspace that the rows do not give is told from theirs."""
+    monkeypatch.setattr(P, "_projection", lambda spark, sf_dir: M.Projection(np.eye(64)[5:6], [0.9]))
+    with pytest.raises(ArithmeticError, match="differ"):
+        q("vec_16_alignment", spark, sf)
+    with pytest.raises(ArithmeticError):
+        M.parity(np.eye(3)[:2], np.eye(3)[:1])
+    assert M.alignment(np.zeros(3), np.eye(3)[:2]) == 0
+
+
 def test_span_calibration(spark, sf, moved, found):
     got = {r.basis: r for r in q("vec_19_span_calibration", spark, sf)}
     chance = np.linalg.qr(np.random.default_rng(42).normal(size=(64, len(found.directions))))[0].T
